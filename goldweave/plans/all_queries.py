@@ -2,6 +2,7 @@
 
 from goldweave.plans import (  # noqa: F401
     cleansing_queries,
+    golden_queries,
     matching_queries,
     profiling_queries,
     reporting_queries,

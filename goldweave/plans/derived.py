@@ -49,7 +49,7 @@ RECORD_COLUMNS = {
     "updated_at": "ts",
     "amount": "CASE WHEN value >= 40 OR event_type = 'click' THEN value END",
     "payload": "CASE WHEN event_type <> 'purchase' THEN props END",
-    "rating": "floor(value / 10)",
+    "rating": "CAST(floor(value / 10) AS BIGINT)",
 }
 RECORDS_SQL = ("SELECT " + ", ".join(f"{e} AS {n}" for n, e in RECORD_COLUMNS.items())
                + ", CASE event_type WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'signup' THEN 0.9::DOUBLE "

@@ -44,6 +44,12 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/goldweave/{purpose}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists on the file system the path belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def materialise(df: DataFrame, purpose: str, **metrics) -> tuple[DataFrame, dict]:
     """Write ``df`` to scratch, read it back, and return metrics taken in the same job.
 

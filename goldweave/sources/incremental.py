@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from goldweave.session import path_exists
 from goldweave.sources.writers import merge_rows
 
 
@@ -58,12 +58,7 @@ def load_table(spark: SparkSession, source: DataFrame, path: str, load_type: str
     if load_type == "full":
         source.observe(seen, F.count(F.lit(1)).alias("loaded")).write.mode("overwrite").parquet(path)
         return LoadResult("full", seen.get["loaded"], 0)
-    try:
-        mark = high_water_mark(spark.read.parquet(path), watermark_column)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        mark = None
+    mark = high_water_mark(spark.read.parquet(path), watermark_column) if path_exists(spark, path) else None
     without = source.filter(F.col(watermark_column).isNull()).count()
     rows = newer_than(source, watermark_column, None if mark is None else F.lit(mark))
     rows.observe(seen, F.count(F.lit(1)).alias("loaded")).write.mode("append").parquet(path)

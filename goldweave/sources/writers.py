@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from goldweave.session import path_exists
+
 # What the publishing form offers.
 FORMATS = ("parquet", "csv", "json")
 CODECS = ("snappy", "gzip", "lz4", "none")
@@ -75,12 +76,9 @@ def _versions(spark: SparkSession, root: str) -> DataFrame:
 
 def current_version(spark: SparkSession, root: str) -> int | None:
     """The last committed version, or None for a table that does not exist yet."""
-    try:
-        return _versions(spark, root).agg(F.max("version")).first()[0]
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if not path_exists(spark, f"{root}/_commits"):
+        return None
+    return _versions(spark, root).agg(F.max("version")).first()[0]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
