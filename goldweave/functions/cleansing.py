@@ -22,16 +22,18 @@ def blank_to_null(c: Column) -> Column:
 
 
 def single_spaced(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space as one space, outer spaces removed. A lone space is left alone,
+    which spares a replacement per word."""
+    return F.trim(F.regexp_replace(c, r" \s+|[\t\n\x0B\f\r]\s*", " "))
 
 
 def digits(c: Column) -> Column:
-    return F.regexp_replace(c, "[^0-9]", "")
+    return F.regexp_replace(c, "[^0-9]+", "")
 
 
 def clean_text(c: Column) -> Column:
     """Lower case, ASCII letters, digits and single spaces only. May yield ''."""
-    return single_spaced(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", ""))
+    return single_spaced(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]+", ""))
 
 
 def clean_phone(c: Column) -> Column:

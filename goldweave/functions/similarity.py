@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Ship the code of this module with the tasks, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,12 +27,14 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.nullif(longest, F.lit(0))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays of equal length, in doubles."""
-    def dot(x: Column, y: Column) -> Column:
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dot_product(a: Column, b: Column) -> Column:
+    """Dot product of two float arrays of equal length, in doubles."""
+    products = F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot_product(a, a))
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +78,7 @@ def jaro_winkler_batch(left: list[str], right: list[str]) -> np.ndarray:
 _CELLS = 4_000_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Jaro-Winkler of two text columns; null if either side is null."""
     for a, b in batches:
@@ -90,3 +93,7 @@ def jaro_winkler(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
             out[part] = jaro_winkler_batch(a.iloc[part].tolist(), b.iloc[part].tolist())
             start += len(part)
         yield pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+
+# Otherwise a filter on the score would be pushed below and compute every score twice.
+jaro_winkler = jaro_winkler.asNondeterministic()

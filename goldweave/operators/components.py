@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.operators.skew import HOT_ROWS, hot_keys, salted_join
@@ -39,9 +39,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def _round(edges: DataFrame, n_edges: int) -> DataFrame:
     up = _smallest_parent(edges, "parent", "up")
     lifted = (_lookup(edges, up, "parent", "child", n_edges)
-              .select("child", F.coalesce("up", "parent").alias("parent")).distinct())
-    best = _smallest_parent(lifted, "child", "best")
-    hooked = _lookup(lifted, best, "child", "parent", n_edges)
+              .select("child", F.coalesce("up", "parent").alias("parent")))
+    if n_edges < HOT_ROWS:  # no child can have many parents: one sort per child, no second join
+        hooked = lifted.withColumn("best", F.min("parent").over(Window.partitionBy("child")))
+    else:
+        hooked = _lookup(lifted, _smallest_parent(lifted, "child", "best"), "child", "parent", n_edges)
     pairs = F.array(F.struct(F.col("child"), F.col("best").alias("parent")),
                     F.struct(F.col("parent").alias("child"), F.col("best").alias("parent")))
     return hooked.select(F.inline(pairs)).filter("child <> parent").distinct()

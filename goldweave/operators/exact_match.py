@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.functions import cleansing
-from goldweave.operators.skew import attach
+from goldweave.operators.skew import HOT_ROWS, attach
 from goldweave.session import materialise
 
 # Derived blocking keys a caller may name besides plain columns.
@@ -47,13 +47,22 @@ def digest_key(specs: list[str], stop_values: list[str] | None = None) -> Column
 def exact_groups(df: DataFrame, record_id: str, key: Column) -> DataFrame:
     """Records that share a key with another record: ``record_id, key, group_id, group_size``.
 
-    Only id and key are shuffled. Groups are counted with map-side combine and the counts go
-    back to the rows through a join that splits heavy keys, so no task holds a whole group.
+    Ids and keys are written once, so a costly key (a cleaned text, a digest) is computed once,
+    and only ids and keys are shuffled. Groups are counted with map-side combine and the counts
+    go back to the rows through a join that splits heavy keys: no task holds a whole group.
     """
-    keyed = df.select(record_id, key.alias("key")).filter(F.col("key").isNotNull())
-    facts = (keyed.groupBy("key").agg(F.min(record_id).alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    keyed, seen = materialise(df.select(record_id, key.alias("key")), "keys")
+    return _groups(keyed, record_id, "key", seen["rows"])
+
+
+def _groups(keyed: DataFrame, record_id: str, key: str, rows: int) -> DataFrame:
+    """``rows`` is the measured size of the table: below ``HOT_ROWS`` no key can be hot."""
+    known = keyed.select(record_id, key).filter(F.col(key).isNotNull())
+    facts = (known.groupBy(key).agg(F.min(record_id).alias("group_id"), F.count(F.lit(1)).alias("group_size"))
              .filter("group_size > 1"))
-    return attach(keyed, facts, "key", F.col(record_id), rows="group_size")
+    if rows < HOT_ROWS:
+        return known.join(facts, key)
+    return attach(known, facts, key, F.col(record_id), rows="group_size")
 
 
 def block_members(df: DataFrame, record_id: str, key: Column) -> DataFrame:
@@ -79,10 +88,10 @@ def waterfall(df: DataFrame, record_id: str, passes: list[dict]) -> DataFrame:
                              "use hybrid_clusters for fuzzy ones")
     names = {f"_k{i}": blocking_key(_as_list(p["blocking_key"]), p.get("stop_values"))
              for i, p in enumerate(passes)}
-    remaining = df.select(record_id, *[k.alias(n) for n, k in names.items()])
+    remaining, seen = materialise(df.select(record_id, *[k.alias(n) for n, k in names.items()]), "keys")
     found: list[DataFrame] = []
     for i, p in enumerate(passes):
-        matched = exact_groups(remaining, record_id, F.col(f"_k{i}")).select(
+        matched = _groups(remaining, record_id, f"_k{i}", seen["rows"]).select(
             record_id, F.col("group_id").alias("_cluster"), F.lit(p["name"]).alias("matched_by"))
         if i + 1 < len(passes):
             # Later passes read this result several times: write it once.

@@ -13,7 +13,8 @@ PHONE_IN_TEXT = r"\(?[2-9][0-9]{2}\)?[ -][2-9][0-9]{2}[ -]?[0-9]{4}\b"
 
 def mask_free_text(c: Column) -> Column:
     """Replace e-mail addresses, SSNs and US phone numbers inside a text by a type tag."""
-    out = F.regexp_replace(c, EMAIL_IN_TEXT, "[EMAIL]")
+    # The address pattern is costly on plain words; most texts hold no address at all.
+    out = F.when(c.contains("@"), F.regexp_replace(c, EMAIL_IN_TEXT, "[EMAIL]")).otherwise(c)
     out = F.regexp_replace(out, SSN_IN_TEXT, "[SSN]")
     return F.regexp_replace(out, PHONE_IN_TEXT, "[PHONE]")
 

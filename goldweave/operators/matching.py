@@ -11,6 +11,7 @@ from goldweave.functions.similarity import jaro_winkler
 from goldweave.operators.components import assign_clusters, connected_components
 from goldweave.operators.exact_match import exact_groups
 from goldweave.operators.similarity_join import blocked_value_pairs, similar_by_jaro_winkler, value_members
+from goldweave.operators.skew import attach
 
 # Fixed values: (auto, review) thresholds of the three presets, closed below.
 BAND_PRESETS = {
@@ -107,10 +108,14 @@ def fuzzy_clusters(df: DataFrame, record_id: str, blocks: list[str], column: str
     pairs = blocked_value_pairs(members, blocks, threshold, algorithm, dictionary)
     parts = connected_components(pairs.select(F.col("rep_a").alias("src"), F.col("rep_b").alias("dst")))
     labelled = (members.join(parts, members["rep"] == parts["node"], "left")
-                .select(*blocks, F.col("value").alias(column), F.coalesce("component", "rep").alias("_cluster")))
-    slim = df.select(record_id, *blocks, column)
-    return (slim.join(labelled, [*blocks, column], "left")
-            .select(record_id, F.coalesce("_cluster", record_id).cast("string").alias("cluster_id")))
+                .select(*blocks, F.col("value").alias(column), "n", F.coalesce("component", "rep").alias("_cluster")))
+    keys = [*blocks, column]
+    slim = df.select(record_id, *keys)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) & (F.col(column) != "")
+    clustered = attach(slim.filter(known), labelled, keys, F.col(record_id)).select(record_id, "_cluster")
+    # A record without a block or a value matches nothing and is its own cluster.
+    single = slim.filter(~F.coalesce(known, F.lit(False))).select(record_id, F.col(record_id).alias("_cluster"))
+    return clustered.unionByName(single).select(record_id, F.col("_cluster").cast("string").alias("cluster_id"))
 
 
 def hybrid_edges(df: DataFrame, record_id: str, identifier: Column, blocks: list[str], column: str,
@@ -124,8 +129,8 @@ def hybrid_edges(df: DataFrame, record_id: str, identifier: Column, blocks: list
     by_identifier = exact_groups(df, record_id, identifier).select(
         F.col("group_id").alias("src"), F.col(record_id).alias("dst"), F.lit(1.0).alias("score"))
     members = value_members(df, record_id, blocks, column)
-    same_value = (df.select(record_id, *blocks, F.col(column).alias("value"))
-                  .join(members.filter("n > 1"), [*blocks, "value"])
+    rows = df.select(record_id, *blocks, F.col(column).alias("value"))
+    same_value = (attach(rows, members.filter("n > 1"), [*blocks, "value"], F.col(record_id))
                   .select(F.col("rep").alias("src"), F.col(record_id).alias("dst"), F.lit(1.0).alias("score")))
     similar = blocked_value_pairs(members, blocks, threshold, algorithm).select(
         F.least("rep_a", "rep_b").alias("src"), F.greatest("rep_a", "rep_b").alias("dst"), "score")

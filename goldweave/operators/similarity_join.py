@@ -6,8 +6,9 @@ lost and no group is paired with itself in full. Group columns (``within``) rest
 to values of the same block; without them the result is a dictionary of similar values that
 any number of blocks can use.
 
-A signature group that is still heavy is split by adaptive execution: both joins below are
-inner equi-joins on shuffled inputs, which the skew-join rule may cut on either side.
+Both joins ask for a sort-merge join: the signatures are many times the values they come from,
+which size estimates do not see, so neither side may be broadcast. A signature group that is
+still heavy is split by adaptive execution, on either side of these inner joins.
 """
 
 from __future__ import annotations
@@ -30,80 +31,151 @@ def _lowest_jaro(threshold: float, prefix: int) -> float:
     return max(BOOST_ABOVE, (threshold - weight) / (1 - weight))
 
 
-def _tokens(rest: str) -> str:
-    """Sorted array of (character, occurrence) tokens: the size of the intersection of two such
-    arrays is the number of characters the texts have in common, counted with repeats."""
-    char = f"substring({rest}, i, 1)"
-    seen = f"(length(substring({rest}, 1, i)) - length(replace(substring({rest}, 1, i), {char}, '')))"
-    token = f"concat(translate({char}, '{_RARE_FIRST}', '{_RANKED}'), lpad(cast(99999 - {seen} as string), 5, '0'))"
-    return f"if(length({rest}) = 0, array(), array_sort(transform(sequence(1, length({rest})), i -> {token})))"
+def _tokens(text: str) -> str:
+    """Array of (character, occurrence) tokens, rare letters first. Two texts have as many equal
+    tokens as they have characters in common, counted with repeats."""
+    char = f"substring({text}, i, 1)"
+    seen = f"(length(substring({text}, 1, i)) - length(replace(substring({text}, 1, i), {char}, '')))"
+    token = f"concat(translate({char}, '{_RARE_FIRST}', '{_RANKED}'), lpad(cast(999999 - {seen} as string), 6, '0'))"
+    return f"if(length({text}) = 0, array(), array_sort(transform(sequence(1, length({text})), i -> {token})))"
+
+
+# Signature sizes per number of equal leading characters: (tokens, for shorter texts below this
+# length). A longer common start is selective by itself, and long texts have rare tokens.
+_SIZES = {
+    0: ((3, 16), (2, 48), (1, None)),
+    1: ((2, 48), (1, None)),
+    2: ((1, None),),
+    3: ((0, None),),
+    4: ((0, None),),
+}
+# Classes of the length ratio in percent, each from its entry up to the one before: equally long
+# texts must share more than texts of different length.
+_RATIOS = (90, 75, 0)
+
+
+def _distinct_texts(values: DataFrame, blocks: list[str], column: str) -> DataFrame:
+    """Distinct non-blank values, spread over all tasks.
+
+    The values are small next to the signatures made of them, so adaptive execution would merge
+    them into a few tasks; a repartitioning by number is left as it is.
+    """
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (values.select(*blocks, F.col(column).alias("v")).filter("v is not null and v <> ''").distinct()
+            .repartition(tasks))
 
 
 def similar_by_jaro_winkler(values: DataFrame, column: str, threshold: float,
                             within: list[str] | None = None) -> DataFrame:
     """All pairs of distinct values with Jaro-Winkler ≥ ``threshold``: ``value_a < value_b, score``.
 
-    With m common characters, Jaro ≤ (m/x + m/y + 1)/3 for lengths x and y. Hence for a given
-    number of equal leading characters l the texts share at least c·x·y/(x+y) characters, where
-    c = 3·J − 1 and J is the lowest Jaro value that reaches the threshold. After the common
-    start is removed, the shortest rare-first prefixes of both token arrays must therefore
-    meet (prefix filter). The signature is (l, the l characters, shorter length, token); the
-    longer text asks for every length that can still reach the threshold.
+    With m common characters, Jaro ≤ (m/x + m/y + 1)/3 for lengths x and y. Hence two texts
+    with l equal leading characters need c·x·y/(x+y) common characters, where c = 3·J − 1 and J
+    is the lowest Jaro value that reaches the threshold. So the token arrays of what follows
+    the common start must overlap in n places, and the first (size − n + s) tokens of each
+    array, rare letters first, must share s tokens. A signature is the hash of l, the l
+    characters, a class of the length ratio and s tokens out of these prefixes. Before the
+    score is computed, candidates pass the same bound once more on 64-bit token masks: bits
+    that differ never outnumber the tokens that differ. Hash collisions only add candidates.
     """
     if not 0.4 <= threshold <= 1:
         raise ValueError("threshold must be within 0.4 and 1")
     blocks = within or []
-    texts = values.select(*blocks, F.col(column).alias("v")).filter("v is not null and v <> ''").distinct()
-    families_short, families_long = [], []
-    for prefix in range(MAX_PREFIX + 1):
-        c = 3 * _lowest_jaro(threshold, prefix) - 1
-        short, long = _signatures(prefix, c)
-        families_short.append(short)
-        families_long.append(long)
-    keys = [*blocks, "l", "start", "len", "token"]
-    with_length = texts.withColumn("x", F.length("v"))
-    short = with_length.select(*blocks, F.col("v").alias("va"), F.inline(F.concat(*families_short)))
-    long = with_length.select(*blocks, F.col("v").alias("vb"), F.col("x").alias("x"),
-                              F.inline(F.concat(*families_long)).alias(
-                                  "l", "start", "len", "token", "need", "tokens_b"))
-    common = F.array_intersect("tokens_a", "tokens_b")
-    by_token = (F.col("need") > 0) & (F.element_at(common, 1) == F.col("token")) & (F.size(common) >= F.col("need"))
-    by_start = (F.col("need") <= 0) & (F.col("token") == "")
-    differs_next = (F.col("l") == MAX_PREFIX) | (
-        F.expr("substring(va, l + 1, 1)") != F.expr("substring(vb, l + 1, 1)"))
-    once = (F.col("len") < F.col("x")) | (F.col("va") < F.col("vb"))
-    candidates = (short.join(long, keys).filter(differs_next & once & (F.col("va") != F.col("vb")))
-                  .filter(by_start | by_token)
-                  .select(*blocks, F.least("va", "vb").alias("value_a"), F.greatest("va", "vb").alias("value_b")))
+    texts = _distinct_texts(values, blocks, column)
+    mask = f"aggregate({_tokens('v')}, 0L, (acc, t) -> acc | shiftleft(1L, cast(pmod(xxhash64(t), 64) as int)))"
+    prepared = texts.withColumns({"x": F.length("v"), "mask": F.coalesce(F.expr(mask), F.lit(0))})
+    families = range(MAX_PREFIX + 1)
+    coefficient = [3 * _lowest_jaro(threshold, prefix) - 1 for prefix in families]
+
+    def side(role: str, name: str) -> DataFrame:
+        signatures = [_signatures(prefix, coefficient[prefix], role) for prefix in families]
+        return prepared.select(*blocks, F.col("v").alias(f"v{name}"), F.col("x").alias(f"x{name}"),
+                               F.col("mask").alias(f"mask{name}"), F.explode(F.concat(*signatures)).alias("sig"))
+
+    short = side("shorter", "_s").select("*", "sig.l", "sig.tokens").withColumn("sig", F.col("sig.key"))
+    long = side("longer", "_l").withColumn("sig", F.col("sig.key"))
+    xs, xl = F.col("x_s"), F.col("x_l")
+    c = F.element_at(F.array(*[F.lit(k) for k in coefficient]), F.col("l") + 1)
+    need = F.ceil(c * xs * xl / (xs + xl) - 1e-9)
+    ordered = (xs < xl) | ((xs == xl) & (F.col("v_s") < F.col("v_l")))
+    # A signature without tokens is for pairs that need fewer common tokens than others hold.
+    meant = (F.col("tokens") > 0) | (need - F.col("l") < _designated_tokens()) | (_designated_tokens() == 0)
+    close = F.bit_count(F.col("mask_s").bitwiseXOR(F.col("mask_l"))) <= xs + xl - 2 * need
+    same_start = F.expr("substring(v_s, 1, l) = substring(v_l, 1, l)")
+    differs_next = (F.col("l") == MAX_PREFIX) | F.expr("substring(v_s, l + 1, 1) <> substring(v_l, l + 1, 1)")
+    candidates = (short.join(long.hint("merge"), [*blocks, "sig"])
+                  .filter(ordered & close & (need <= xs) & meant & same_start & differs_next)
+                  .select(*blocks, F.least("v_s", "v_l").alias("value_a"), F.greatest("v_s", "v_l").alias("value_b"))
+                  .distinct())  # a pair may meet in several signatures
     scored = candidates.withColumn("score", F.round(jaro_winkler("value_a", "value_b"), 6))
     return scored.filter(F.col("score") >= threshold)
 
 
-def _signatures(prefix: int, c: float) -> tuple[Column, Column]:
-    """Signature arrays of one family: as the shorter text of a pair, and as the longer one."""
-    rest = f"substring(v, {prefix + 1})"
-    tokens = _tokens(rest)
-    start = f"substring(v, 1, {prefix})"
-    left = f"(x - {prefix})"
-
-    def chosen(need: str, ts: str) -> str:
-        taken = f"slice({ts}, 1, {left} - greatest({need}, 1) + 1)"
-        return f"if({need} <= 0, concat(array(''), {taken}), {taken})"
+def _designated_tokens() -> Column:
+    """Tokens per signature of a pair, from its common start and the length of its shorter text."""
+    out = F.lit(0)
+    for prefix, sizes in _SIZES.items():
+        for tokens, below in reversed(sizes):
+            applies = F.col("l") == prefix
+            out = F.when(applies if below is None else applies & (F.col("x_s") < below), tokens).otherwise(out)
+    return out
 
-    need_short = f"cast(ceil({c} * x / 2 - 1e-9) - {prefix} as int)"
-    as_short = (f"transform({chosen(need_short, 'ts')}, token -> named_struct('l', {prefix}, 'start', {start}, "
-                f"'len', x, 'token', token, 'tokens_a', ts))")
-    need_long = f"cast(ceil({c} * x * y / (x + y) - 1e-9) - {prefix} as int)"
-    per_length = (f"transform({chosen(need_long, 'ts')}, token -> named_struct('l', {prefix}, 'start', {start}, "
-                  f"'len', y, 'token', token, 'need', {need_long}, 'tokens_b', ts))")
-    shortest = f"greatest(cast(ceil({c - 1} * x - 1e-9) as int), {prefix}, 1)"
-    as_long = f"flatten(transform(sequence({shortest}, x), y -> {per_length}))"
-    return _bind(tokens, as_short, prefix), _bind(tokens, as_long, prefix, f"{shortest} <= x")
 
+def _signatures(prefix: int, c: float, role: str) -> Column:
+    """Signature array ``struct(l, tokens, key)`` of a text as the shorter or longer side of a pair.
 
-def _bind(tokens: str, body: str, prefix: int, extra: str = "true") -> Column:
-    """``body`` with ``ts`` bound to the token array, or an empty array where the family is void."""
-    return F.expr(f"flatten(transform(if(x >= {prefix} and x > 0 and {extra}, array({tokens}), array()), ts -> {body}))")
+    For every class of length ratio and every signature size the partner can call for, the
+    prefix of the token array is as long as the least demanding partner requires: the shortest
+    one for the longer side, the one closest in length for the shorter side.
+    """
+    size = f"(x - {prefix})"
+    start = f"substring(v, 1, {prefix})"
+    parts = []
+    for ratio_class, low in enumerate(_RATIOS):
+        high = _RATIOS[ratio_class - 1] if ratio_class else None
+        above = 0
+        for tokens, below in _SIZES[prefix]:
+            if role == "shorter":
+                partner = "x" if high is None else f"(floor(100 * x / {high}) + 1)"
+                applies = f"x >= {above}" + (f" and x < {below}" if below else "")
+                demand = f"{c} * x * {partner} / (x + {partner})"
+            else:
+                partner = f"greatest(ceil({c - 1} * x - 1e-9), ceil({low} * x / 100), {max(prefix, 1)}, {above})"
+                top = "x" if high is None else f"least(x, ceil({high} * x / 100) - 1)"
+                applies = f"{partner} <= {top}" + (f" and {partner} < {below}" if below else "")
+                demand = f"{c} * x * {partner} / (x + {partner})"
+            need = f"cast(ceil({demand} - 1e-9) - {prefix} as int)"
+            head = f"slice(ts, 1, greatest({size} - greatest({need}, {tokens}) + {tokens}, 0))"
+
+            def record(count: int, token: str) -> str:
+                key = f"xxhash64({prefix}, {start}, {ratio_class}, {count}, {token})"
+                return f"named_struct('l', {prefix}, 'tokens', {count}, 'key', {key})"
+
+            bare = f"array({record(0, chr(39) * 2)})"
+            if tokens:
+                chosen = f"transform({_choose(head, tokens)}, t -> {record(tokens, 't')})"
+                chosen = f"if({need} < {tokens}, concat({bare}, {chosen}), {chosen})"
+            else:
+                chosen = bare
+            parts.append(f"if({applies}, {chosen}, array())")
+            above = below
+    body = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+    rest = _tokens(f"substring(v, {prefix + 1})") if any(t for t, _ in _SIZES[prefix]) else "array('')"
+    return F.expr(f"flatten(transform(if(x >= {prefix}, array({rest}), array()), ts -> {body}))")
+
+
+def _choose(items: str, count: int) -> str:
+    """All ``count``-element combinations of a sorted array, each joined into one text."""
+    def after(i: str) -> str:
+        return f"slice(h, {i} + 2, greatest(size(h) - ({i}) - 1, 0))"
+    if count == 1:
+        return items
+    if count == 2:
+        inner = f"transform(h, (t, i) -> transform({after('i')}, u -> concat(t, u)))"
+    else:
+        pairs = f"flatten(transform({after('i')}, (u, j) -> transform({after('i + j + 1')}, w -> concat(t, u, w))))"
+        inner = f"transform(h, (t, i) -> {pairs})"
+    return f"flatten(transform(array({items}), h -> flatten({inner})))"
 
 
 def similar_by_edit_distance(values: DataFrame, column: str, threshold: float,
@@ -117,8 +189,7 @@ def similar_by_edit_distance(values: DataFrame, column: str, threshold: float,
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be within 0 and 1")
     blocks = within or []
-    texts = (values.select(*blocks, F.col(column).alias("v")).filter("v is not null and v <> ''").distinct()
-             .withColumn("x", F.length("v")))
+    texts = _distinct_texts(values, blocks, column).withColumn("x", F.length("v"))
     slack = 1 - threshold
     k_of = f"cast(floor({slack} * {{}} + 1e-9) as int)"
     longest = f"cast(floor(x / {threshold} + 1e-9) as int)"
@@ -139,7 +210,7 @@ def similar_by_edit_distance(values: DataFrame, column: str, threshold: float,
     keys = [*blocks, "len", "k", "part", "piece"]
     once = (F.col("len") < F.col("x")) | (F.col("va") < F.col("vb"))
     close = F.expr("levenshtein(va, vb, k)") >= 0
-    pairs = (short.join(long, keys).filter(once & (F.col("va") != F.col("vb")) & close)
+    pairs = (short.join(long.hint("merge"), keys).filter(once & (F.col("va") != F.col("vb")) & close)
              .select(*blocks, F.least("va", "vb").alias("value_a"), F.greatest("va", "vb").alias("value_b"))
              .distinct())  # a pair may meet in several parts; only true matches get here
     scored = pairs.withColumn("score", F.round(edit_similarity(F.col("value_a"), F.col("value_b")), 6))

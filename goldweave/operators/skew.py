@@ -1,4 +1,9 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+Two ways are used in this package. Where the rows per key are counted anyway, ``attach`` salts
+the heavy keys. Elsewhere the joins have one row per key on their right side and leave a heavy
+key to adaptive execution, which splits the left side of such a join at run time.
+"""
 
 from __future__ import annotations
 
@@ -17,13 +22,18 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 
 
-def hot_keys(counts: DataFrame, key: str, rows: str = "n", min_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys of a ``(key, rows)`` table, at most ``MAX_HOT_KEYS`` of them."""
-    return (counts.filter(F.col(rows) >= min_rows).orderBy(F.desc(rows), key)
-            .limit(MAX_HOT_KEYS).select(key))
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def hot_keys(counts: DataFrame, key: str | list[str], rows: str = "n", min_rows: int | None = None) -> DataFrame:
+    """The heaviest keys of a table of keys and their row counts, at most ``MAX_HOT_KEYS``."""
+    least = HOT_ROWS if min_rows is None else min_rows
+    return (counts.filter(F.col(rows) >= least).orderBy(F.desc(rows), *_names(key))
+            .limit(MAX_HOT_KEYS).select(*_names(key)))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column,
+def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], hot: DataFrame, spread: Column,
                 how: str = "inner", factor: int = SALT_FACTOR) -> DataFrame:
     """Equi-join on ``key`` with the hot keys of ``left`` spread over ``factor`` sub-keys.
 
@@ -33,15 +43,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spr
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the right side is repeated, so only inner and left kinds keep their meaning")
-    flagged = F.broadcast(hot.select(key).distinct().withColumn("_hot", F.lit(True)))
+    keys = _names(key)
+    flagged = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(factor)).cast("int")).otherwise(0)
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(factor - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(flagged, key, "left").withColumn("_salt", salt).drop("_hot")
-    salted_right = right.join(flagged, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    salted_left = left.join(flagged, keys, "left").withColumn("_salt", salt).drop("_hot")
+    salted_right = right.join(flagged, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
-def attach(left: DataFrame, facts: DataFrame, key: str, spread: Column, rows: str = "n",
+def attach(left: DataFrame, facts: DataFrame, key: str | list[str], spread: Column, rows: str = "n",
            how: str = "inner") -> DataFrame:
     """Join per-key facts back to the rows they were counted from, salting the heavy keys.
 

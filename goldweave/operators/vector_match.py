@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldweave.functions.similarity import cosine
+from goldweave.functions.similarity import dot_product, norm
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -52,17 +52,18 @@ def vector_pairs(df: DataFrame, record_id: str, vector: str, minimum: float, ban
     first band it shares, which needs no second shuffle.
     """
     distinct = df.groupBy(F.col(vector).alias("v")).agg(F.min(record_id).alias("rep"), F.count(F.lit(1)).alias("n"))
-    signed = distinct.withColumn("sig", _signatures(bands, bits)("v"))
+    # The bands multiply the vectors, which size estimates do not see: no side may be broadcast.
+    signed = distinct.withColumns({"sig": _signatures(bands, bits)("v"), "norm": norm(F.col("v"))})
 
     def side(s: str) -> DataFrame:
         return signed.select(F.col("v").alias(f"v_{s}"), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"),
-                             F.col("sig").alias(f"sig_{s}"), F.posexplode("sig").alias("band", "bucket"))
+                             F.col("norm").alias(f"norm_{s}"), F.col("sig").alias(f"sig_{s}"), F.posexplode("sig").alias("band", "bucket"))
 
     equal = F.zip_with("sig_a", "sig_b", lambda x, y: x == y)
     first = F.array_position(equal, F.lit(True)) == F.col("band") + 1
-    pairs = side("a").join(side("b"), ["band", "bucket"]).filter((F.col("rep_a") < F.col("rep_b")) & first)
-    return (pairs.select("rep_a", "rep_b", "n_a", "n_b", cosine(F.col("v_a"), F.col("v_b")).alias("score"))
-            .filter(F.col("score") >= minimum))
+    pairs = side("a").join(side("b").hint("merge"), ["band", "bucket"]).filter((F.col("rep_a") < F.col("rep_b")) & first)
+    score = dot_product(F.col("v_a"), F.col("v_b")) / (F.col("norm_a") * F.col("norm_b"))
+    return pairs.select("rep_a", "rep_b", "n_a", "n_b", score.alias("score")).filter(F.col("score") >= minimum)
 
 
 def vector_band(score: Column, match: float, review: float) -> Column:
