@@ -75,7 +75,7 @@ def jaro_winkler_batch(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(jaro > BOOST_ABOVE, jaro + PREFIX_WEIGHT * prefix * (1 - jaro), jaro)
 
 
-_CELLS = 4_000_000
+_CELLS, _PART = 4_000_000, 4096
 
 
 @F.pandas_udf(DoubleType())
@@ -84,13 +84,14 @@ def jaro_winkler(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
     for a, b in batches:
         out = np.full(len(a), np.nan)
         known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
-        size = np.maximum(a.str.len(), b.str.len()).to_numpy()
-        known = known[np.argsort(size[known], kind="stable")]
+        left, right = a.iloc[known].tolist(), b.iloc[known].tolist()
+        size = np.fromiter((max(len(x), len(y)) for x, y in zip(left, right)), dtype=np.int64, count=len(known))
+        order = np.argsort(size, kind="stable")
         start = 0
-        while start < len(known):  # parts of similar length, so padding and memory stay small
-            step = max(1, int(_CELLS // max(1, size[known[min(len(known), start + 4096) - 1]])))
-            part = known[start:start + min(step, 4096)]
-            out[part] = jaro_winkler_batch(a.iloc[part].tolist(), b.iloc[part].tolist())
+        while start < len(order):  # parts of similar length, so padding and memory stay small
+            part = order[start:start + _PART]
+            part = part[:max(1, _CELLS // max(1, int(size[part[-1]])))]
+            out[known[part]] = jaro_winkler_batch([left[i] for i in part], [right[i] for i in part])
             start += len(part)
         yield pd.Series(out).astype(object).where(~np.isnan(out), None)
 
