@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -24,8 +24,9 @@ def type_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cells = melt_strings(df, names).filter(F.col("value").isNotNull())
     hits = (cells.select("column_name", infer_type(F.col("value")).alias("type_name"))
             .groupBy("column_name", "type_name").agg(F.count(F.lit(1)).alias("matched")))
-    totals = hits.groupBy("column_name").agg(F.sum("matched").alias("non_null"))
-    return (hits.join(totals, "column_name").filter(F.col("type_name").isNotNull())
+    # A column has at most one row per known type and one for the rest.
+    non_null = F.sum("matched").over(Window.partitionBy("column_name"))
+    return (hits.withColumn("non_null", non_null).filter(F.col("type_name").isNotNull())
             .withColumn("share", F.col("matched") / F.col("non_null")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.functions.similarity import jaro_winkler
@@ -12,6 +12,7 @@ from goldweave.operators.components import assign_clusters, connected_components
 from goldweave.operators.exact_match import exact_groups
 from goldweave.operators.similarity_join import blocked_value_pairs, similar_by_jaro_winkler, value_members
 from goldweave.operators.skew import attach
+from goldweave.session import materialise
 
 # Fixed values: (auto, review) thresholds of the three presets, closed below.
 BAND_PRESETS = {
@@ -47,7 +48,7 @@ def band_summary(scored: DataFrame, band_column: str, weight: Column | None = No
     """``band, n, percent, action`` over scored pairs; ``weight`` counts record pairs per row."""
     counted = scored.groupBy(F.col(band_column).alias("band")).agg(
         F.sum(weight if weight is not None else F.lit(1)).cast("bigint").alias("n"))
-    total = counted.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy())  # over one row per band
     return counted.select("band", "n", (F.col("n") * 100.0 / total).alias("percent"),
                           band_action(F.col("band")).alias("action"))
 
@@ -104,7 +105,8 @@ def fuzzy_clusters(df: DataFrame, record_id: str, blocks: list[str], column: str
     The graph has one node per block and value, so its size does not depend on how many
     records share a value.
     """
-    members = value_members(df, record_id, blocks, column)
+    # Both sides of the pairs and the labels read the members: write this reduction once.
+    members, _ = materialise(value_members(df, record_id, blocks, column), "members")
     pairs = blocked_value_pairs(members, blocks, threshold, algorithm, dictionary)
     parts = connected_components(pairs.select(F.col("rep_a").alias("src"), F.col("rep_b").alias("dst")))
     labelled = (members.join(parts, members["rep"] == parts["node"], "left")
@@ -128,7 +130,7 @@ def hybrid_edges(df: DataFrame, record_id: str, identifier: Column, blocks: list
     """
     by_identifier = exact_groups(df, record_id, identifier).select(
         F.col("group_id").alias("src"), F.col(record_id).alias("dst"), F.lit(1.0).alias("score"))
-    members = value_members(df, record_id, blocks, column)
+    members, _ = materialise(value_members(df, record_id, blocks, column), "members")
     rows = df.select(record_id, *blocks, F.col(column).alias("value"))
     same_value = (attach(rows, members.filter("n > 1"), [*blocks, "value"], F.col(record_id))
                   .select(F.col("rep").alias("src"), F.col(record_id).alias("dst"), F.lit(1.0).alias("score")))

@@ -88,9 +88,8 @@ def similar_by_jaro_winkler(values: DataFrame, column: str, threshold: float,
     coefficient = [3 * _lowest_jaro(threshold, prefix) - 1 for prefix in families]
 
     def side(role: str, name: str) -> DataFrame:
-        signatures = [_signatures(prefix, coefficient[prefix], role) for prefix in families]
         return prepared.select(*blocks, F.col("v").alias(f"v{name}"), F.col("x").alias(f"x{name}"),
-                               F.col("mask").alias(f"mask{name}"), F.explode(F.concat(*signatures)).alias("sig"))
+                               F.col("mask").alias(f"mask{name}"), F.explode(_signatures(coefficient, role)).alias("sig"))
 
     short = side("shorter", "_s").select("*", "sig.l", "sig.tokens").withColumn("sig", F.col("sig.key"))
     long = side("longer", "_l").withColumn("sig", F.col("sig.key"))
@@ -121,63 +120,64 @@ def _designated_tokens() -> Column:
     return out
 
 
-def _signatures(prefix: int, c: float, role: str) -> Column:
+def _parameters(coefficient: list[float]) -> str:
+    """The families as one array literal: start length, coefficient, and a row per class of length
+    ratio and signature size with the lengths of the shorter text it is for."""
+    families = []
+    for prefix, sizes in _SIZES.items():
+        rows = []
+        for ratio_class, low in enumerate(_RATIOS):
+            high, above = _RATIOS[ratio_class - 1] if ratio_class else 0, 0
+            for tokens, below in sizes:
+                rows.append(f"named_struct('class', {ratio_class}, 'low', {low}, 'high', {high}, 'tokens', {tokens}, "
+                            f"'above', {above}, 'below', {below or 2**31 - 1})")
+                above = below
+        families.append(f"named_struct('l', {prefix}, 'c', {coefficient[prefix]!r}D, 'rows', array({', '.join(rows)}))")
+    return f"array({', '.join(families)})"
+
+
+def _signatures(coefficient: list[float], role: str) -> Column:
     """Signature array ``struct(l, tokens, key)`` of a text as the shorter or longer side of a pair.
 
     For every class of length ratio and every signature size the partner can call for, the
     prefix of the token array is as long as the least demanding partner requires: the shortest
     one for the longer side, the one closest in length for the shorter side.
     """
-    size = f"(x - {prefix})"
-    start = f"substring(v, 1, {prefix})"
-    parts = []
-    for ratio_class, low in enumerate(_RATIOS):
-        high = _RATIOS[ratio_class - 1] if ratio_class else None
-        above = 0
-        for tokens, below in _SIZES[prefix]:
-            if role == "shorter":
-                partner = "x" if high is None else f"(floor(100 * x / {high}) + 1)"
-                applies = f"x >= {above}" + (f" and x < {below}" if below else "")
-                demand = f"{c} * x * {partner} / (x + {partner})"
-            else:
-                partner = f"greatest(ceil({c - 1} * x - 1e-9), ceil({low} * x / 100), {max(prefix, 1)}, {above})"
-                top = "x" if high is None else f"least(x, ceil({high} * x / 100) - 1)"
-                applies = f"{partner} <= {top}" + (f" and {partner} < {below}" if below else "")
-                demand = f"{c} * x * {partner} / (x + {partner})"
-            need = f"cast(ceil({demand} - 1e-9) - {prefix} as int)"
-            head = f"slice(ts, 1, greatest({size} - greatest({need}, {tokens}) + {tokens}, 0))"
-
-            def record(count: int, token: str) -> str:
-                key = f"xxhash64({prefix}, {start}, {ratio_class}, {count}, {token})"
-                return f"named_struct('l', {prefix}, 'tokens', {count}, 'key', {key})"
-
-            bare = f"array({record(0, chr(39) * 2)})"
-            if tokens:
-                chosen = f"transform({_choose(head, tokens)}, t -> {record(tokens, 't')})"
-                chosen = f"if({need} < {tokens}, concat({bare}, {chosen}), {chosen})"
-            else:
-                chosen = bare
-            parts.append(f"if({applies}, {chosen}, array())")
-            above = below
-    body = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
-    rest = _tokens(f"substring(v, {prefix + 1})") if any(t for t, _ in _SIZES[prefix]) else "array('')"
-    return F.expr(f"flatten(transform(if(x >= {prefix}, array({rest}), array()), ts -> {body}))")
-
-
-def _choose(items: str, count: int) -> str:
-    """All ``count``-element combinations of a sorted array, each joined into one text."""
-    def after(i: str) -> str:
-        return f"slice(h, {i} + 2, greatest(size(h) - ({i}) - 1, 0))"
-    if count == 1:
-        return items
-    if count == 2:
-        inner = f"transform(h, (t, i) -> transform({after('i')}, u -> concat(t, u)))"
+    if role == "shorter":
+        partner = "if(p.high = 0, x, floor(100 * x / p.high) + 1)"
+        applies = "x >= p.above and x < p.below"
     else:
-        pairs = f"flatten(transform({after('i')}, (u, j) -> transform({after('i + j + 1')}, w -> concat(t, u, w))))"
-        inner = f"transform(h, (t, i) -> {pairs})"
+        partner = "greatest(ceil((f.c - 1) * x - 1e-9D), ceil(p.low * x / 100), f.l, 1, p.above)"
+        applies = "y <= if(p.high = 0, x, least(x, ceil(p.high * x / 100) - 1)) and y < p.below"
+    need = "cast(ceil(f.c * x * y / (x + y) - 1e-9D) as int) - f.l"
+    head = "slice(ts, 1, greatest(x - f.l - greatest(need, p.tokens) + p.tokens, 0))"
+    key = "xxhash64(f.l, substring(v, 1, f.l), p.class, {}, {})"
+    chosen = f"case p.tokens when 0 then array('') when 1 then {head} when 2 then {_pairs(head)} else {_triples(head)} end"
+    full = f"transform({chosen}, t -> named_struct('l', f.l, 'tokens', p.tokens, 'key', {key.format('p.tokens', 't')}))"
+    bare = f"array(named_struct('l', f.l, 'tokens', 0, 'key', {key.format(0, chr(39) * 2)}))"
+    records = f"if(need < p.tokens, concat({bare}, {full}), {full})"
+    by_need = f"flatten(transform(array({need}), need -> {records}))"
+    by_row = f"flatten(transform(f.rows, p -> flatten(transform(array({partner}), y -> if({applies}, {by_need}, array())))))"
+    rest = _tokens("substring(v, f.l + 1)")
+    return F.expr(f"flatten(transform(filter({_parameters(coefficient)}, f -> x >= f.l), f -> "
+                  f"flatten(transform(array({rest}), ts -> {by_row}))))")
+
+
+def _after(i: str) -> str:
+    return f"slice(h, {i} + 2, greatest(size(h) - ({i}) - 1, 0))"
+
+
+def _pairs(items: str) -> str:
+    """All pairs of a sorted array, each joined into one text."""
+    inner = f"transform(h, (t, i) -> transform({_after('i')}, u -> concat(t, u)))"
     return f"flatten(transform(array({items}), h -> flatten({inner})))"
 
 
+def _triples(items: str) -> str:
+    pairs = f"flatten(transform({_after('i')}, (u, j) -> transform({_after('i + j + 1')}, w -> concat(t, u, w))))"
+    return f"flatten(transform(array({items}), h -> flatten(transform(h, (t, i) -> {pairs}))))"
+
+
 def similar_by_edit_distance(values: DataFrame, column: str, threshold: float,
                              within: list[str] | None = None) -> DataFrame:
     """All pairs of distinct values with ``1 − distance / longer length ≥ threshold``.
@@ -263,8 +263,7 @@ def pair_metrics(members: DataFrame, pairs: DataFrame, blocks: list[str]) -> Dat
     cross = pairs.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("cross"),
                       F.coalesce(F.sum(F.col("n_a") * F.col("n_b") * F.col("score").cast("decimal(10,6)")),
                                  F.lit(0)).alias("score_sum"))
-    both = totals.withColumns({"cross": cross.select("cross").scalar(),
-                               "score_sum": cross.select("score_sum").scalar()})
+    both = totals.withColumn("_x", cross.select(F.struct("cross", "score_sum")).scalar()).select("*", "_x.*")
     resolved = F.col("same") + F.col("cross")
     possible = F.nullif(choose2(F.col("records")), F.lit(0))
     return both.select("records", "candidates", (1 - F.col("candidates") / possible).alias("reduction"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldweave.operators import audit
 from goldweave.operators.matching import band
 from goldweave.plans.catalog import Tables, query
 from goldweave.plans.derived import stamp, stamp_sql
@@ -85,6 +86,18 @@ def publish_roundtrip(t: Tables) -> DataFrame:
     return merged
 
 
+@query("A3 A7 S11", """
+    SELECT event_id, user_id, event_type, props FROM events
+    WHERE event_type IN ('error', 'signup') AND contains(lower(concat_ws(chr(1), event_type, props)), '"k": 4')""")
+def audit_export(t: Tables) -> DataFrame:
+    """A filtered audit report as CSV files, read back with its quotes intact."""
+    path = scratch_dir(t.spark, "audit")
+    events = t.events.select("event_id", "user_id", "event_type", "props")
+    found = audit.search(events, '"K": 4', ["event_type", "props"], ["ERROR", "signup"], status="event_type")
+    writers.export_csv(found, path)
+    return readers.read_files(t.spark, path, "csv", found.schema)
+
+
 # Streams: every query reads the table's file as a stream until it is used up.
 
 def _stream(t: Tables, name: str) -> DataFrame:
