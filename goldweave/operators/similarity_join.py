@@ -152,30 +152,22 @@ def _signatures(coefficient: list[float], role: str) -> Column:
     need = "cast(ceil(f.c * x * y / (x + y) - 1e-9D) as int) - f.l"
     head = "slice(ts, 1, greatest(x - f.l - greatest(need, p.tokens) + p.tokens, 0))"
     key = "xxhash64(f.l, substring(v, 1, f.l), p.class, {}, {})"
-    chosen = f"case p.tokens when 0 then array('') when 1 then {head} when 2 then {_pairs(head)} else {_triples(head)} end"
+    chosen = f"case p.tokens when 0 then array('') when 1 then h when 2 then {_PAIRS} else {_TRIPLES} end"
     full = f"transform({chosen}, t -> named_struct('l', f.l, 'tokens', p.tokens, 'key', {key.format('p.tokens', 't')}))"
     bare = f"array(named_struct('l', f.l, 'tokens', 0, 'key', {key.format(0, chr(39) * 2)}))"
-    records = f"if(need < p.tokens, concat({bare}, {full}), {full})"
-    by_need = f"flatten(transform(array({need}), need -> {records}))"
+    # A one-element array binds a value to a name: need, then the prefix h of the token array.
+    records = f"concat(if(need < p.tokens, {bare}, array()), {full})"
+    by_need = f"flatten(transform(array({need}), need -> flatten(transform(array({head}), h -> {records}))))"
     by_row = f"flatten(transform(f.rows, p -> flatten(transform(array({partner}), y -> if({applies}, {by_need}, array())))))"
     rest = _tokens("substring(v, f.l + 1)")
     return F.expr(f"flatten(transform(filter({_parameters(coefficient)}, f -> x >= f.l), f -> "
                   f"flatten(transform(array({rest}), ts -> {by_row}))))")
 
 
-def _after(i: str) -> str:
-    return f"slice(h, {i} + 2, greatest(size(h) - ({i}) - 1, 0))"
-
-
-def _pairs(items: str) -> str:
-    """All pairs of a sorted array, each joined into one text."""
-    inner = f"transform(h, (t, i) -> transform({_after('i')}, u -> concat(t, u)))"
-    return f"flatten(transform(array({items}), h -> flatten({inner})))"
-
-
-def _triples(items: str) -> str:
-    pairs = f"flatten(transform({_after('i')}, (u, j) -> transform({_after('i + j + 1')}, w -> concat(t, u, w))))"
-    return f"flatten(transform(array({items}), h -> flatten(transform(h, (t, i) -> {pairs}))))"
+# All pairs and triples of the sorted array h, each joined into one text.
+_PAIRS = "flatten(transform(h, (t, i) -> transform(slice(h, i + 2, size(h)), u -> concat(t, u))))"
+_TRIPLES = ("flatten(transform(h, (t, i) -> flatten(transform(slice(h, i + 2, size(h)), (u, j) -> "
+            "transform(slice(h, i + j + 3, size(h)), w -> concat(t, u, w))))))")
 
 
 def similar_by_edit_distance(values: DataFrame, column: str, threshold: float,
