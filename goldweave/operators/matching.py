@@ -97,14 +97,21 @@ def similar_by_weighted_fields(df: DataFrame, blocks: list[str], primary: tuple[
             .filter(F.col("score") >= threshold))
 
 
+def _without_placeholders(df: DataFrame, blocks: list[str], stop_values: list[str] | None) -> DataFrame:
+    if not stop_values:
+        return df
+    return df.withColumns({b: F.when(~F.col(b).cast("string").isin(*stop_values), F.col(b)) for b in blocks})
+
+
 def fuzzy_clusters(df: DataFrame, record_id: str, blocks: list[str], column: str,
                    threshold: float = DEFAULT_THRESHOLD, algorithm: str = "jaro_winkler",
-                   dictionary: bool = True) -> DataFrame:
+                   dictionary: bool = True, stop_values: list[str] | None = None) -> DataFrame:
     """Cluster records whose values are similar inside a block: ``record_id, cluster_id``.
 
     The graph has one node per block and value, so its size does not depend on how many
-    records share a value.
+    records share a value. Placeholders in ``stop_values`` make no block.
     """
+    df = _without_placeholders(df, blocks, stop_values)
     # Both sides of the pairs and the labels read the members: write this reduction once.
     members, _ = materialise(value_members(df, record_id, blocks, column), "members")
     pairs = blocked_value_pairs(members, blocks, threshold, algorithm, dictionary)
@@ -121,7 +128,8 @@ def fuzzy_clusters(df: DataFrame, record_id: str, blocks: list[str], column: str
 
 
 def hybrid_edges(df: DataFrame, record_id: str, identifier: Column, blocks: list[str], column: str,
-                 threshold: float = DEFAULT_THRESHOLD, algorithm: str = "jaro_winkler") -> DataFrame:
+                 threshold: float = DEFAULT_THRESHOLD, algorithm: str = "jaro_winkler",
+                 stop_values: list[str] | None = None) -> DataFrame:
     """Edges of "same identifier, or same block and similar value", with the best score per pair.
 
     Records are tied to the smallest id of their identifier group and of their block and value,
@@ -130,6 +138,7 @@ def hybrid_edges(df: DataFrame, record_id: str, identifier: Column, blocks: list
     """
     by_identifier = exact_groups(df, record_id, identifier).select(
         F.col("group_id").alias("src"), F.col(record_id).alias("dst"), F.lit(1.0).alias("score"))
+    df = _without_placeholders(df, blocks, stop_values)
     members, _ = materialise(value_members(df, record_id, blocks, column), "members")
     rows = df.select(record_id, *blocks, F.col(column).alias("value"))
     same_value = (attach(rows, members.filter("n > 1"), [*blocks, "value"], F.col(record_id))
@@ -141,5 +150,8 @@ def hybrid_edges(df: DataFrame, record_id: str, identifier: Column, blocks: list
 
 
 def hybrid_clusters(df: DataFrame, record_id: str, identifier: Column, blocks: list[str], column: str,
-                    threshold: float = DEFAULT_THRESHOLD, algorithm: str = "jaro_winkler") -> DataFrame:
-    return assign_clusters(df, record_id, hybrid_edges(df, record_id, identifier, blocks, column, threshold, algorithm))
+                    threshold: float = DEFAULT_THRESHOLD, algorithm: str = "jaro_winkler",
+                    stop_values: list[str] | None = None) -> DataFrame:
+    """Clusters over ``hybrid_edges``; every record exactly once."""
+    edges = hybrid_edges(df, record_id, identifier, blocks, column, threshold, algorithm, stop_values)
+    return assign_clusters(df, record_id, edges)

@@ -21,6 +21,8 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     entry = CATALOG[name]
     df = entry.build(Tables(spark, FOLDER))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if entry.sql is None:
         assert df.count() > 0
     else:
@@ -33,3 +35,16 @@ def test_driver_contract(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries)
     assert __spark_entry__.entry(spark).columns[0] == "cluster_id"
+
+
+def test_scans_read_only_what_they_need(spark):
+    tables = Tables(spark, FOLDER)
+    wanted = {
+        "clean_text_documents": "ReadSchema: struct<doc_id:bigint,text:string>",
+        "discrepancies": "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz,o_orderpriority:string>",
+        "value_counts": "ReadSchema: struct<p_brand:string>",
+    }
+    for name, schema in wanted.items():
+        assert schema in CATALOG[name].build(tables)._jdf.queryExecution().executedPlan().toString()
+    plan = CATALOG["audit_search"].build(tables)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
