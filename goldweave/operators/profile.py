@@ -193,12 +193,12 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", k: float = 1.5) ->
     if method == "iqr":
         q1, q3 = exact_quantiles(df, column, [0.25, 0.75])
         if q1 is None:
-            return df.limit(0)
+            return df.filter(F.lit(False))
         low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
     elif method == "zscore":
         mean, sd = df.agg(F.avg(x), F.stddev_samp(x)).first()
         if mean is None or sd is None:
-            return df.limit(0)
+            return df.filter(F.lit(False))
         low, high = mean - k * sd, mean + k * sd
     else:
         raise ValueError(f"unknown method {method!r}; known: iqr, zscore")

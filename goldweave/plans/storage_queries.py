@@ -19,7 +19,7 @@ _SPLIT = "2024-01-16"
 @query("S6", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def full_load(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark, "full")
-    incremental.load_table(t.spark, t.customer.limit(1), path, "full")
+    incremental.load_table(t.spark, t.customer.filter("c_acctbal < 0"), path, "full")
     incremental.load_table(t.spark, t.customer, path, "full")
     return t.spark.read.parquet(path)
 
@@ -72,7 +72,7 @@ def publish_roundtrip(t: Tables) -> DataFrame:
         lambda d: writers.publish(d, f"{root}/parquet", "parquet", "lz4", ["c_nationkey"]),
         lambda d: writers.append(d, f"{root}/appended"),
         lambda d: writers.append(d, f"{root}/appended"),
-        lambda d: writers.truncate_and_load(d.limit(0), f"{root}/replaced"),
+        lambda d: writers.truncate_and_load(d.filter("c_nationkey < 10"), f"{root}/replaced"),
         lambda d: writers.truncate_and_load(d, f"{root}/replaced"),
     ])
     out = []
@@ -134,7 +134,7 @@ def stream_match(t: Tables) -> DataFrame:
     spark, root = t.spark, scratch_dir(t.spark, "master")
     columns = ["user_id", "ts", "event_id", "event_type", "value"]
     early = t.events.filter(F.col("ts") < F.lit(_SPLIT).cast("timestamp_ntz")).select(*columns)
-    start = early.limit(0)
+    start = early.filter(F.lit(False))
     flows.match_batch(early, start, "user_id", "event_id", "ts").write.parquet(f"{root}/batch=-1")
     done: list[int] = []
 

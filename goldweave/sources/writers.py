@@ -97,7 +97,7 @@ def upsert(changes: DataFrame, root: str, keys: list[str], newest: str | None =
     spark = changes.sparkSession
     version = current_version(spark, root)
     if version is None:
-        merged = merge_rows(changes.limit(0), changes, keys, newest)
+        merged = merge_rows(changes.filter(F.lit(False)), changes, keys, newest)
     else:
         merged = merge_rows(spark.read.parquet(f"{root}/version={version}"), changes, keys, newest)
     after = (version or 0) + 1
