@@ -4,34 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goldweave.llm import bpe_words, simhash_bk, templates
+from goldweave.llm import bpe_words, pii_votes, quality, simhash_bk, templates
 from goldweave.session import scratch_dir
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.drop_rejected(docs, _table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: three-word shingles, at most two differing bits."""
     return simhash_bk.drop_near_duplicates(docs, shingle=3, radius=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return templates.drop_contaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+    """Documents that hold a benchmark item, as it is or with other values, go."""
+    return templates.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets."""
+    return pii_votes.masked(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, with the digest of what they decode to."""
+    """Token ids of every document that is left, with digests of the ids and of what they decode to."""
     return bpe_words.encode(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("decontaminate", decontaminate), ("encode", encode)]
+STAGES = [("quality", keep_quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate),
+          ("personal_data", mask_personal_data), ("encode", encode)]
 
-#: Training, thresholds and hashes of several stages have no SQL form; tests compare with brute force.
+#: Several stages (training, 64-bit fingerprints, BPE) have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

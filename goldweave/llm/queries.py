@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm import bpe_words, simhash_bk, templates
+from goldweave.llm import (
+    bpe_words, class_lm, html_blocks, merkle, pii_votes, quality, quotes, shards, simhash_bk, templates,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@registered
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all texts under a class bigram model of those outside fold 2 of 7."""
+    return class_lm.score(table(spark, sf_dir, "documents"), held_out=2, folds=7)
+
+
 @registered
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components: three-word shingles, at most two differing bits."""
@@ -29,13 +37,113 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@registered
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its text and its site; the source is the host, the language the path."""
+    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("text_hash")
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a mailbox, made by Spark: a turn quotes the turn before, and the first line of the one before that."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("said"), F.min("role").alias("by"))
+    one, two = (said.select("conv_id", (F.col("turn") + k).alias("turn"), *[F.col(c).alias(f"{c}{k}") for c in ("said", "by")])
+                for k in (1, 2))
+    quote = F.concat(F.lit("On turn "), F.col("turn") - 1, F.lit(", "), F.coalesce("by1", F.lit("")), F.lit(" wrote:\n"),
+                     F.when(F.col("said2").isNotNull(), F.concat(F.lit(">> "), F.substring_index("said2", "\n", 1), F.lit("\n")))
+                     .otherwise(""), F.lit("> "), F.replace("said1", F.lit("\n"), F.lit("\n> ")), F.lit("\n"))
+    number = F.col("conv_id") * 1048576 + F.col("turn")
+    return turns.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left").select(
+        number.alias("msg_id"), number.alias("sent"),
+        F.concat(F.when(F.col("said1").isNotNull(), quote).otherwise(""), "text").alias("text"))
+
+
+@registered
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads of the mailbox made from the conversations, found by the quoted passages alone."""
+    return quotes.link(mails(spark, sf_dir))
+
+
+SQL["op4_quotes"] = r"""
+WITH turns AS (SELECT conv_id * 1048576 + turn AS msg_id, conv_id, turn, text FROM conversations),
+lined AS (
+  SELECT *, len(list_filter(list_transform(string_split(text, chr(10)),
+             lambda l: trim(regexp_replace(lower(l), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda l: l <> '')) AS n_lines,
+         trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}]+', ' ', 'g')) <> '' AS opens
+  FROM turns),
+linked AS (
+  SELECT t.*, p.msg_id AS before_id, p.n_lines AS before_lines, coalesce(pp.opens, false) AS before_opens,
+         coalesce(p.n_lines > 0, false) AS linked
+  FROM lined t LEFT JOIN lined p ON p.msg_id = t.msg_id - 1 AND p.conv_id = t.conv_id
+  LEFT JOIN lined pp ON pp.msg_id = t.msg_id - 2 AND pp.conv_id = t.conv_id),
+grouped AS (
+  SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS thread FROM linked)
+SELECT msg_id, min(msg_id) OVER w AS thread_id, turn - min(turn) OVER w AS position, turn - min(turn) OVER w AS depth,
+       CASE WHEN linked THEN before_id END AS parent_id,
+       CAST(CASE WHEN before_id IS NULL THEN 0 ELSE before_lines + CASE WHEN before_opens THEN 1 ELSE 0 END END AS BIGINT) AS n_quoted,
+       CAST(CASE WHEN before_id IS NULL THEN 0 ELSE before_lines + CASE WHEN before_opens THEN 1 ELSE 0 END END AS BIGINT) AS n_linked,
+       CASE WHEN before_id IS NULL THEN text ELSE trim(text, chr(32) || chr(9) || chr(13) || chr(10)) END AS text
+FROM grouped WINDOW w AS (PARTITION BY conv_id, thread)
+"""
+
+
+@registered
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform shuffle of all documents into 16 shards of equal counts."""
+    return shards.shuffled(table(spark, sf_dir, "documents"), n_shards=16)
+
+
 @registered
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other values in its slots."""
     return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@registered
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@registered
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of an edited one, and their likeness."""
+    return merkle.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+def _tree_sql(text: str) -> str:
+    piece = merkle.PIECE.replace("'", "''")
+    return (f"list_transform(regexp_extract_all({text}, '{piece}'), lambda p: md5(p) || CASE WHEN right(p, 1) <> chr(10) "
+            f"THEN ',' WHEN md5(p) < '4' THEN '/' ELSE ';' END)")
+
+
+_ROOT_SQL = ("sha256(array_to_string(list_transform(regexp_extract_all(array_to_string({0}, ''), '[^/]+/?'), lambda s: "
+             "md5(array_to_string(list_transform(regexp_extract_all(s, '[^;/]+[;/]?'), lambda q: md5(q)), ''))), ''))")
+_PRINT_SQL = _ROOT_SQL + " || '|' || array_to_string(list_transform({0}, lambda l: left(l, 8) || right(l, 1)), '')"
+_SET_SQL = "list_distinct(list_transform({0}, lambda l: left(l, 8)))"
+_NEAR_SQL = ("CASE WHEN " + _ROOT_SQL + " = " + _ROOT_SQL.replace("{0}", "{1}") + " THEN 1.0 ELSE CAST(2.0 * len(list_intersect("
+             + _SET_SQL + ", " + _SET_SQL.replace("{0}", "{1}") + ")) AS DOUBLE) / greatest(len(" + _SET_SQL + ") + len("
+             + _SET_SQL.replace("{0}", "{1}") + "), 1) END")
+SQL["op8_merkle"] = f"""
+WITH own AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+beside AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, length(text) AS n FROM own
+           WINDOW w AS (ORDER BY doc_id DESC)),
+edited AS (SELECT *, substring(text, 1, n - n // 3) || substring(next_text, 1, n // 3) AS edited FROM beside),
+trees AS (SELECT doc_id, n, edited, {_tree_sql("text")} AS a, {_tree_sql("edited")} AS b, {_tree_sql("next_text")} AS c FROM edited)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_PRINT_SQL.format("a")} AS fingerprint,
+       {_PRINT_SQL.format("b")} AS edited_fingerprint, CAST({_NEAR_SQL.format("a", "b")} AS DOUBLE) AS near_edited,
+       CAST({_NEAR_SQL.format("a", "c")} AS DOUBLE) AS near_next FROM trees
+"""
+
+
 @registered
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests."""
     return bpe_words.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@registered
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base counts and digest, and all spans."""
+    return pii_votes.digests(table(spark, sf_dir, "documents"))
