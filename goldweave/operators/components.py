@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldweave.operators.skew import HOT_ROWS, hot_keys, salted_join
-from goldweave.session import materialise
+from goldweave.session import discard, materialise
 
+#: Rounds after which the loop gives up with an error; a round at least halves long chains.
 MAX_ROUNDS = 60
 
 
@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     two steps, after Kiveris et al., "Connected Components in MapReduce and Beyond" (2014):
     every parent is replaced by its own smallest parent, then every child keeps its smallest
     parent and its other parents are hooked to that one. Both steps look up one row per node
-    by key, and a node with very many edges is salted. The edges are written after each round,
-    which cuts the lineage; the loop ends when a round changes nothing.
+    by key; the edges of a hub are split by adaptive execution, which such joins allow. The edges are
+    written after each round, which cuts the lineage, and the round before is removed; the loop
+    ends when a round changes nothing.
     """
     a, b = F.col(src), F.col(dst)
     start = (edges.filter(a.isNotNull() & b.isNotNull() & (a != b))
@@ -27,23 +28,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     metrics = {"checksum": F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))}
     forest, seen = materialise(start, "components", **metrics)
     for _ in range(MAX_ROUNDS):
-        after, now = materialise(_round(forest, seen["rows"]), "components", **metrics)
+        after, now = materialise(_round(forest), "components", **metrics)
         if now == seen:
             nodes = forest.select(F.col("child").alias("node"), F.col("parent").alias("component"))
             roots = forest.select(F.col("parent").alias("node"), F.col("parent").alias("component")).distinct()
+            discard(after)
             return nodes.unionByName(roots)
+        discard(forest)
         forest, seen = after, now
     raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
 
 
-def _round(edges: DataFrame, n_edges: int) -> DataFrame:
+def _round(edges: DataFrame) -> DataFrame:
     up = _smallest_parent(edges, "parent", "up")
-    lifted = (_lookup(edges, up, "parent", "child", n_edges)
-              .select("child", F.coalesce("up", "parent").alias("parent")))
-    if n_edges < HOT_ROWS:  # no child can have many parents: one sort per child, no second join
-        hooked = lifted.withColumn("best", F.min("parent").over(Window.partitionBy("child")))
-    else:
-        hooked = _lookup(lifted, _smallest_parent(lifted, "child", "best"), "child", "parent", n_edges)
+    lifted = edges.join(up, "parent", "left").select("child", F.coalesce("up", "parent").alias("parent"))
+    hooked = lifted.join(_smallest_parent(lifted, "child", "best"), "child")
     pairs = F.array(F.struct(F.col("child"), F.col("best").alias("parent")),
                     F.struct(F.col("parent").alias("child"), F.col("best").alias("parent")))
     return hooked.select(F.inline(pairs)).filter("child <> parent").distinct()
@@ -53,14 +52,6 @@ def _smallest_parent(edges: DataFrame, key: str, name: str) -> DataFrame:
     return edges.groupBy(F.col("child").alias(key)).agg(F.min("parent").alias(name))
 
 
-def _lookup(edges: DataFrame, per_node: DataFrame, key: str, spread: str, n_edges: int) -> DataFrame:
-    """Left join of one row per node; only a table that can hold a hot node is salted."""
-    if n_edges < HOT_ROWS:
-        return edges.join(per_node, key, "left")
-    counts = edges.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(edges, per_node, key, hot_keys(counts, key), F.col(spread), "left")
-
-
 def assign_clusters(records: DataFrame, record_id: str, edges: DataFrame) -> DataFrame:
     """Every record exactly once: ``record_id, cluster_id``; a record without edges is its own cluster."""
     parts = connected_components(edges).withColumnRenamed("node", record_id)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.functions import cleansing
-from goldweave.operators.skew import HOT_ROWS, attach
+from goldweave.operators.skew import attach
 from goldweave.session import materialise
 
 # Derived blocking keys a caller may name besides plain columns.
@@ -51,17 +51,14 @@ def exact_groups(df: DataFrame, record_id: str, key: Column) -> DataFrame:
     and only ids and keys are shuffled. Groups are counted with map-side combine and the counts
     go back to the rows through a join that splits heavy keys: no task holds a whole group.
     """
-    keyed, seen = materialise(df.select(record_id, key.alias("key")), "keys")
-    return _groups(keyed, record_id, "key", seen["rows"])
+    keyed, _ = materialise(df.select(record_id, key.alias("key")), "keys")
+    return _groups(keyed, record_id, "key")
 
 
-def _groups(keyed: DataFrame, record_id: str, key: str, rows: int) -> DataFrame:
-    """``rows`` is the measured size of the table: below ``HOT_ROWS`` no key can be hot."""
+def _groups(keyed: DataFrame, record_id: str, key: str) -> DataFrame:
     known = keyed.select(record_id, key).filter(F.col(key).isNotNull())
     facts = (known.groupBy(key).agg(F.min(record_id).alias("group_id"), F.count(F.lit(1)).alias("group_size"))
              .filter("group_size > 1"))
-    if rows < HOT_ROWS:
-        return known.join(facts, key)
     return attach(known, facts, key, F.col(record_id), rows="group_size")
 
 
@@ -88,15 +85,15 @@ def waterfall(df: DataFrame, record_id: str, passes: list[dict]) -> DataFrame:
                              "use hybrid_clusters for fuzzy ones")
     names = {f"_k{i}": blocking_key(_as_list(p["blocking_key"]), p.get("stop_values"))
              for i, p in enumerate(passes)}
-    remaining, seen = materialise(df.select(record_id, *[k.alias(n) for n, k in names.items()]), "keys")
+    remaining, _ = materialise(df.select(record_id, *[k.alias(n) for n, k in names.items()]), "keys")
     found: list[DataFrame] = []
     for i, p in enumerate(passes):
-        matched = _groups(remaining, record_id, f"_k{i}", seen["rows"]).select(
+        matched = _groups(remaining, record_id, f"_k{i}").select(
             record_id, F.col("group_id").alias("_cluster"), F.lit(p["name"]).alias("matched_by"))
-        if i + 1 < len(passes):
-            # Later passes read this result several times: write it once.
-            matched, _ = materialise(matched, "waterfall")
-        remaining = remaining.join(matched.select(record_id), record_id, "left_anti")
+        # Later passes read the matches and what is left of the records: both are written once.
+        matched, _ = materialise(matched, "waterfall")
+        left = remaining.join(matched.select(record_id), record_id, "left_anti")
+        remaining = materialise(left, "waterfall-left")[0] if i + 1 < len(passes) else left
         found.append(matched)
     # A row left over after all passes is its own cluster.
     single = remaining.select(record_id, F.col(record_id).alias("_cluster"),

@@ -129,17 +129,17 @@ def orphans(df: DataFrame, parent: DataFrame, key: str, parent_key: str) -> Data
 
 # Order statistics -----------------------------------------------------------
 
-_BINS = 1024
-_SMALL = 100_000
+#: Accuracy of the sketches: a rank is known to one part in this many.
+_ACCURACY = 100_000
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float | None]:
     """Exact interpolated quantiles without sorting the column or gathering it in one buffer.
 
-    Every round counts the values in 1,024 equal-width bins of the interval that still holds
-    the wanted ranks, with partial counts per task, and keeps the one bin per rank. The
-    interval filter reaches the scan. A round ends the search for a rank when its interval
-    holds a single value or few enough rows to be grouped by value.
+    Every round brackets the wanted ranks by percentile sketches, which combine per task, and
+    counts the rows below and on the brackets exactly; it goes on inside the bracket, whose filter
+    reaches the scan and which holds a few parts in ``_ACCURACY`` of the rows. The driver sees two values and
+    three counts per rank and round.
     """
     values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
     low, high, n = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
@@ -147,7 +147,7 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> l
         return [None] * len(probabilities)
     positions = [p * (n - 1) for p in probabilities]
     ranks = sorted({math.floor(h) for h in positions} | {min(math.ceil(h), n - 1) for h in positions})
-    found = _order_statistics(values, ranks, 0, low, high, n)
+    found = {r: _order_statistic(values, r, low, high, n) for r in ranks}
     out = []
     for h in positions:
         a, b = found[math.floor(h)], found[min(math.ceil(h), n - 1)]
@@ -155,36 +155,22 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> l
     return out
 
 
-def _order_statistics(values: DataFrame, ranks: list[int], before: int, low: float, high: float,
-                      n: int) -> dict[int, float]:
-    """Values at the sorted zero-based ``ranks``; ``before`` rows lie below ``low`` and ``n`` within."""
-    if low == high:
-        return dict.fromkeys(ranks, low)
-    inside = values.filter(F.col("x").between(low, high))
-    width = (high - low) / _BINS
-    if n <= _SMALL or low + width <= low:  # few rows, or the resolution of a double is reached
-        return _pick(inside, ranks, before)
-    bin_of = F.least(F.floor((F.col("x") - low) / width), F.lit(_BINS - 1))
-    bins = (inside.groupBy(bin_of.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .orderBy("b").collect())  # at most 1,024 rows
-    out: dict[int, float] = {}
-    for _, count, lo, hi in bins:
-        here = [r for r in ranks if before <= r < before + count]
-        if here:
-            out.update(_order_statistics(values, here, before, lo, hi, count))
-        before += count
-    return out
-
-
-def _pick(inside: DataFrame, ranks: list[int], before: int) -> dict[int, float]:
-    """Values at the ranks of a set whose size the caller has checked."""
-    out, seen, wanted = {}, before, list(ranks)
-    for x, n in inside.groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x").collect():
-        seen += n
-        while wanted and wanted[0] < seen:
-            out[wanted.pop(0)] = x
-    return out
+def _order_statistic(values: DataFrame, rank: int, low: float, high: float, n: int) -> float:
+    """The value at the zero-based ``rank`` of ``n`` values from ``low`` to ``high``."""
+    inside = values
+    while low < high:
+        share, slack = (rank + 0.5) / n, 2 / _ACCURACY + 1 / n
+        low, high = inside.agg(F.percentile_approx(
+            "x", [max(share - slack, 0.0), min(share + slack, 1.0)], _ACCURACY)).first()[0]
+        x = F.col("x")
+        below, upto, under = inside.agg(F.count_if(x < low), F.count_if(x <= low), F.count_if(x < high)).first()
+        if below <= rank < upto:
+            return low
+        if rank >= under:
+            return high
+        inside = inside.filter((x > low) & (x < high))
+        rank, (low, high, n) = rank - upto, inside.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    return low
 
 
 def outliers(df: DataFrame, column: str, method: str = "iqr", k: float = 1.5) -> DataFrame:

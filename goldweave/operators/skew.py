@@ -10,32 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: number of salts per hot key.
-SALT_FACTOR = 10
+# Rows of one key that one task may hold; a key with more is spread over as many tasks as it needs.
+ROWS_PER_TASK = 1_000_000
 
-# A key is treated as hot from this many rows on.
-HOT_ROWS = 1_000_000
-
-# At most this many keys are salted. A key outside the first MAX_HOT_KEYS holds less than
-# 1 / MAX_HOT_KEYS of all rows, so it cannot unbalance a stage; it takes the plain path.
-# The list of hot keys therefore has a fixed upper bound and may be broadcast.
-MAX_HOT_KEYS = 10_000
+# A salted key holds at least this share of all rows, so there are at most 1 / LEAST_SHARE of them and
+# their list may be broadcast. A key below it is no larger than the tasks of a job with that many.
+LEAST_SHARE = 1e-5
 
 
 def _names(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def hot_keys(counts: DataFrame, key: str | list[str], rows: str = "n", min_rows: int | None = None) -> DataFrame:
-    """The heaviest keys of a table of keys and their row counts, at most ``MAX_HOT_KEYS``."""
-    least = HOT_ROWS if min_rows is None else min_rows
-    return (counts.filter(F.col(rows) >= least).orderBy(F.desc(rows), *_names(key))
-            .limit(MAX_HOT_KEYS).select(*_names(key)))
+def hot_keys(counts: DataFrame, key: str | list[str], rows: str = "n", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The heavy keys of a table of keys and their row counts, with the number of salts each needs (``_salts``)."""
+    total = counts.agg(F.sum(rows)).scalar()
+    heavy = (F.col(rows) > rows_per_task) & (F.col(rows) >= total * LEAST_SHARE)
+    return counts.filter(heavy).select(*_names(key), F.ceil(F.col(rows) / rows_per_task).cast("int").alias("_salts"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], hot: DataFrame, spread: Column,
-                how: str = "inner", factor: int = SALT_FACTOR) -> DataFrame:
-    """Equi-join on ``key`` with the hot keys of ``left`` spread over ``factor`` sub-keys.
+                how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` with the hot keys of ``left`` spread over as many sub-keys as ``hot`` says.
 
     Left rows of a hot key get a salt from the hash of ``spread``, which is stable under
     retries; the right rows of that key are repeated once per salt. Cold keys keep salt 0
@@ -44,11 +40,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], hot: Da
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the right side is repeated, so only inner and left kinds keep their meaning")
     keys = _names(key)
-    flagged = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(factor)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(factor - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(flagged, keys, "left").withColumn("_salt", salt).drop("_hot")
-    salted_right = right.join(flagged, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    flagged = F.broadcast(hot.select(*keys, "_salts").dropDuplicates(keys))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    salted_left = left.join(flagged, keys, "left").withColumn("_salt", salt).drop("_salts")
+    salted_right = right.join(flagged, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -63,4 +63,13 @@ def materialise(df: DataFrame, purpose: str, **metrics) -> tuple[DataFrame, dict
     seen = Observation()
     watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
     watched.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back, seen.get
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the scratch table behind a DataFrame that ``materialise`` returned and nothing reads any more."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
