@@ -25,10 +25,14 @@ def pseudonym(c: Column, salt: str) -> Column:
 
 
 def mask_all_but(c: Column, keep: int) -> Column:
-    """Replace letters and digits by X and 9, except for the last ``keep`` characters."""
-    head = F.regexp_replace(F.regexp_replace(F.substring(c, F.lit(1), F.greatest(F.length(c) - keep, F.lit(0))),
+    """Replace letters and digits by X and 9, except for the last ``keep`` characters.
+
+    A value of up to twice ``keep`` characters is masked whole: its end would be most of it.
+    """
+    kept = F.when(F.length(c) > 2 * keep, keep).otherwise(0)
+    head = F.regexp_replace(F.regexp_replace(F.substring(c, F.lit(1), F.length(c) - kept),
                                              "[A-Za-z]", "X"), "[0-9]", "9")
-    return F.concat(head, F.right(c, F.lit(keep)))
+    return F.concat(head, F.right(c, kept))
 
 
 def email_domain_only(c: Column) -> Column:
@@ -62,9 +66,13 @@ def gdpr_policy(column_types: dict[str, str]) -> dict[str, str]:
     return {c: by_type[t] for c, t in column_types.items() if t in by_type}
 
 
-def hipaa_policy(column_roles: dict[str, str]) -> dict[str, str]:
-    """Stricter: names and contact data hashed, streets removed, postal codes cut to three digits."""
-    by_role = {"person_name": "hash", "address": "null", "city": "null", "postal_code": "zip3",
-               "phone": "hash", "email": "hash", "npi": "hash", "license": "hash", "tax_id": "hash",
-               "ssn": "hash", "text": "text"}
-    return {c: by_role[r] for c, r in column_roles.items() if r in by_role}
+def hipaa_policy(column_roles: dict[str, str | None], safe: set[str] = frozenset()) -> dict[str, str]:
+    """Stricter: identifiers, names and contact data hashed, streets, cities and birth dates removed, postal
+    codes cut to three digits. A column without a known role is refused unless ``safe`` lists it."""
+    by_role = {"person_name": "hash", "entity_name": "hash", "address": "null", "city": "null", "postal_code": "zip3",
+               "phone": "hash", "email": "hash", "website": "hash", "npi": "hash", "dea": "hash", "license": "hash",
+               "tax_id": "hash", "ssn": "hash", "duns": "hash", "birth_date": "null", "text": "text"}
+    open_columns = sorted(c for c, r in column_roles.items() if r not in by_role and c not in safe)
+    if open_columns:
+        raise ValueError(f"columns without a rule: {open_columns}; give them a role or list them as safe")
+    return {c: by_role[r] for c, r in column_roles.items() if c not in safe}

@@ -20,6 +20,8 @@ _ROLE_BY_NAME = [
     (r"licen[sc]e", "license"),
     (r"tax_?id|(^|_)ein($|_)", "tax_id"),
     (r"duns", "duns"),
+    (r"(^|_)ssn($|_)|social_?security", "ssn"),
+    (r"birth|(^|_)dob($|_)", "birth_date"),
     (r"zip|postal", "postal_code"),
     (r"address|street", "address"),
     (r"(^|_)city($|_)", "city"),

@@ -130,12 +130,21 @@ def ruleset_customer(t: Tables) -> DataFrame:
     return ruleset.apply_ruleset(df, config, {"c_name": "entity_name", "name_tail": None})
 
 
-@query("C22 C23", """
+@query("C22 C24", """
+    SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS o_orderdate, trim(o_orderstatus) AS o_orderstatus FROM orders""")
+def date_format_orders(t: Tables) -> DataFrame:
+    """The rule set's date format applies to every date column."""
+    df = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
+    return ruleset.apply_ruleset(df, {"global_settings": {"date_format": "MM/DD/YYYY"}}, {"o_orderstatus": None})
+
+
+@query("C22", """
     SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso_day, strftime(o_orderdate, '%m/%d/%Y') AS us_day,
         strftime(o_orderdate, '%d-%m-%Y') AS eu_day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso_8601,
         strftime(o_orderdate, '%m/%d/%Y') = strftime(o_orderdate, '%m/%d/%Y') AS survives
     FROM orders""")
-def date_format_orders(t: Tables) -> DataFrame:
+def date_styles_orders(t: Tables) -> DataFrame:
+    """All styles side by side, and whether a text survives parsing."""
     day = F.col("o_orderdate")
     us = c.format_date(day, "MM/DD/YYYY")
     return t.orders.select(
@@ -144,6 +153,24 @@ def date_format_orders(t: Tables) -> DataFrame:
         (c.format_date(c.parse_date(us, "MM/DD/YYYY"), "MM/DD/YYYY") == us).alias("survives"))
 
 
+_GAPPY = "c_custkey, CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance"
+
+
+def _gappy(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"),
+                             F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("balance"))
+
+
+@query("C23", f"SELECT {_GAPPY} FROM customer")
+def nulls_kept(t: Tables) -> DataFrame:
+    return ruleset.apply_ruleset(_gappy(t), {"global_settings": {"null_handling": "keep"}}, {"segment": None})
+
+
+@query("C23", f"SELECT * FROM (SELECT {_GAPPY} FROM customer) WHERE segment IS NOT NULL AND balance IS NOT NULL")
+def nulls_removed(t: Tables) -> DataFrame:
+    return ruleset.apply_ruleset(_gappy(t), {"global_settings": {"null_handling": "remove"}}, {"segment": None})
+
+
 def _sql_valid(column: str, type_name: str) -> str:
     if type_name == "SSN":  # the oracle's regex engine has no lookahead
         return (f"coalesce(regexp_matches({column}, '^[0-8][0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}$') "
@@ -224,8 +251,8 @@ def mask_pii_documents(t: Tables) -> DataFrame:
     WITH raw AS ({CONTACTS_SQL})
     SELECT contact_id, sha256('pepper' || ssn) AS ssn, sha256('pepper' || tax_id) AS tax_id,
         CASE WHEN contains(email, '@') THEN '***@' || regexp_extract(email, '[^@]*$') END AS email,
-        regexp_replace(regexp_replace(substr(phone, 1, greatest(length(phone) - 4, 0)), '[A-Za-z]', 'X', 'g'),
-                       '[0-9]', '9', 'g') || right(phone, 4) AS phone, zip_code
+        regexp_replace(regexp_replace(substr(phone, 1, length(phone) - CASE WHEN length(phone) > 8 THEN 4 ELSE 0 END), '[A-Za-z]', 'X', 'g'),
+                       '[0-9]', '9', 'g') || CASE WHEN length(phone) > 8 THEN right(phone, 4) ELSE '' END AS phone, zip_code
     FROM raw""")
 def mask_gdpr_contacts(t: Tables) -> DataFrame:
     policy = masking.gdpr_policy(_TYPED)
@@ -233,14 +260,16 @@ def mask_gdpr_contacts(t: Tables) -> DataFrame:
                                 policy, salt="pepper")
 
 
+_HASHED = ["ssn", "tax_id", "npi", "dea", "license_no", "full_name", "phone", "email", "website"]
+
+
 @query("T7", f"""
     WITH raw AS ({CONTACTS_SQL})
-    SELECT contact_id, sha256('pepper' || full_name) AS full_name, CAST(NULL AS VARCHAR) AS address,
-        CAST(NULL AS VARCHAR) AS city, substr(trim(zip_code), 1, 3) AS zip_code, sha256('pepper' || phone) AS phone,
-        sha256('pepper' || email) AS email, sha256('pepper' || npi) AS npi, trim(state) AS state
+    SELECT contact_id, {', '.join(f"sha256('pepper' || {c}) AS {c}" for c in _HASHED)}, CAST(NULL AS VARCHAR) AS address,
+        CAST(NULL AS VARCHAR) AS city, substr(trim(zip_code), 1, 3) AS zip_code, trim(state) AS state, country
     FROM raw""")
 def redact_hipaa_contacts(t: Tables) -> DataFrame:
-    df = contacts(t).select("contact_id", "full_name", "address", "city", F.trim("zip_code").alias("zip_code"),
-                            "phone", "email", "npi", F.trim("state").alias("state"))
-    roles = {col: ruleset.role_of(col) for col in df.columns if col not in ("contact_id", "state")}
-    return masking.apply_policy(df, masking.hipaa_policy(roles), salt="pepper")
+    """Every contact column; what no role covers has to be listed as safe."""
+    df = contacts(t).withColumns({"zip_code": F.trim("zip_code"), "state": F.trim("state")})
+    policy = masking.hipaa_policy({col: ruleset.role_of(col) for col in df.columns}, safe={"contact_id", "state", "country"})
+    return masking.apply_policy(df, policy, salt="pepper")

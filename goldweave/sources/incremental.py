@@ -19,7 +19,7 @@ def high_water_mark(target: DataFrame, column: str):
 def newer_than(source: DataFrame, column: str, mark: Column | None) -> DataFrame:
     """Rows strictly above the mark; rows without a mark are never newer. Reaches the scan."""
     known = source.filter(F.col(column).isNotNull())
-    return known if mark is None else known.filter(F.col(column) > mark)
+    return known if mark is None else known.filter(mark.isNull() | (F.col(column) > mark))
 
 
 def incremental_rows(source: DataFrame, target: DataFrame | None, column: str, keys: list[str] | None = None,
@@ -27,7 +27,8 @@ def incremental_rows(source: DataFrame, target: DataFrame | None, column: str, k
     """The target after a load, as a plan: old rows and rows above the mark.
 
     ``lookback`` (an interval) re-reads a window below the mark and merges it by ``keys``, for
-    sources whose rows arrive late.
+    sources whose rows arrive late; of several changes to one key the newest wins. A target
+    that is empty or has no mark yet takes every row that has one.
     """
     if target is None:
         return newer_than(source, column, None)
@@ -36,8 +37,8 @@ def incremental_rows(source: DataFrame, target: DataFrame | None, column: str, k
         return target.unionByName(newer_than(source, column, mark).select(*target.columns))
     if not keys:
         raise ValueError("a load with lookback merges by key: keys are mandatory")
-    changes = source.filter(F.col(column).isNotNull() & (F.col(column) > mark - lookback))
-    return merge_rows(target, changes, keys)
+    changes = source.filter(F.col(column).isNotNull() & (mark.isNull() | (F.col(column) > mark - lookback)))
+    return merge_rows(target, changes, keys, newest=column)
 
 
 @dataclass

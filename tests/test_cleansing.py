@@ -74,7 +74,10 @@ def test_column_types_and_pii(spark):
 def test_masking(spark, column):
     text = "mail a.b@c.org, ssn 123-45-6789, call (212) 555-0101."
     assert column([text, None], masking.mask_free_text(F.col("v"))) == ["mail [EMAIL], ssn [SSN], call [PHONE].", None]
-    assert column(["AB-1234", "12"], masking.mask_all_but(F.col("v"), 4)) == ["XX-1234", "12"]
+    assert column(["ABC-D-1234", "12", "AB-1234"], masking.mask_all_but(F.col("v"), 4)) == ["XXX-X-1234", "99", "XX-9999"]
+    with pytest.raises(ValueError):
+        masking.hipaa_policy({"ssn": "ssn", "shoe_size": None})
+    assert masking.hipaa_policy({"ssn": "ssn", "shoe_size": None}, safe={"shoe_size"}) == {"ssn": "hash"}
     df = spark.createDataFrame([("x", "02108", "s")], "name string, zip string, note string")
     row = masking.apply_policy(df, {"name": "hash", "zip": "zip3", "note": "drop"}, "salt").first()
     assert len(row.name) == 64 and row.zip == "021" and "note" not in row.asDict()
