@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from goldweave.operators.components import connected_components
 from goldweave.operators.skew import attach
 from goldweave.operators.survivorship import descending
 
@@ -152,13 +153,32 @@ def latest_decisions(decisions: DataFrame, cluster: str = "cluster_id") -> DataF
             .agg(F.max_by("action", F.struct("timestamp", "action")).alias("action")))
 
 
-def apply_decisions(df: DataFrame, decisions: DataFrame, record_id: str, cluster: str = "cluster_id") -> DataFrame:
-    """Split rejected clusters into single records; approved and undecided ones stay merged."""
-    rejected = latest_decisions(decisions, cluster).filter(F.col("action") == REJECTED).select(
-        cluster, F.lit(True).alias("_split"))
+def apply_decisions(df: DataFrame, decisions: DataFrame, record_id: str, cluster: str = "cluster_id",
+                    proposals: DataFrame | None = None) -> DataFrame:
+    """Split rejected clusters into single records, and merge what approved proposals say.
+
+    ``proposals`` has ``proposal, a, b``: pairs of clusters sent to review under the id that decisions
+    name. An approved pair makes one cluster of the two (and of whatever else is tied to them), named
+    after the smallest of the cluster ids as text. A rejected proposal changes nothing. A
+    cluster that is rejected itself is split and takes part in no merge.
+    """
+    latest = latest_decisions(decisions, cluster)
+    rejected = latest.filter(F.col("action") == REJECTED).select(F.col(cluster).cast("string").alias("_rejected"))
+    named = df.withColumn(cluster, F.col(cluster).cast("string"))
+    split = rejected.withColumn("_split", F.lit(True))
+    out = named.join(split, named[cluster] == F.col("_rejected"), "left").drop("_rejected")
+    if proposals is not None:
+        approved = latest.filter(F.col("action") == APPROVED).select(F.col(cluster).cast("string").alias("_approved"))
+        pairs = proposals.select(F.col("proposal").cast("string").alias("_proposal"), F.col("a").cast("string").alias("src"),
+                                 F.col("b").cast("string").alias("dst"))
+        pairs = pairs.join(approved, F.col("_proposal") == F.col("_approved"), "left_semi")
+        for end in ("src", "dst"):
+            pairs = pairs.join(rejected, F.col(end) == F.col("_rejected"), "left_anti")
+        merged = connected_components(pairs.select("src", "dst"))
+        out = (out.join(merged, out[cluster] == merged["node"], "left")
+               .withColumn(cluster, F.coalesce("component", cluster)).drop("node", "component"))
     own = F.col(record_id).cast("string")
-    return (df.join(rejected, cluster, "left")
-            .withColumn(cluster, F.when(F.col("_split"), own).otherwise(F.col(cluster).cast("string"))).drop("_split"))
+    return out.withColumn(cluster, F.when(F.col("_split"), own).otherwise(F.col(cluster))).drop("_split")
 
 
 def parse_payloads(decisions: DataFrame, fields: list[str], column: str = "resolved_data") -> DataFrame:

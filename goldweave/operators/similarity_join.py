@@ -222,11 +222,11 @@ def value_members(df: DataFrame, record_id: str, blocks: list[str], column: str)
 
 
 def blocked_value_pairs(members: DataFrame, blocks: list[str], threshold: float,
-                        algorithm: str = "jaro_winkler", dictionary: bool = True) -> DataFrame:
+                        algorithm: str = "jaro_winkler", dictionary: bool = False) -> DataFrame:
     """Similar values inside each block with the representatives and counts of both sides.
 
-    ``dictionary`` compares the values once for all blocks, which is right when blocks share a
-    vocabulary; otherwise the join runs inside the blocks. Both give the same rows.
+    The join runs inside the blocks, so blocks prune it. ``dictionary`` compares the values once
+    for all blocks instead, for a small vocabulary that all blocks share. Both give the same rows.
     """
     if algorithm not in SIMILARITY:
         raise ValueError(f"unknown algorithm {algorithm!r}; known: {sorted(SIMILARITY)}")
@@ -240,6 +240,31 @@ def blocked_value_pairs(members: DataFrame, blocks: list[str], threshold: float,
     return pairs.join(a, [*blocks, "value_a"]).join(b, [*blocks, "value_b"])
 
 
+def band_totals(members: DataFrame, pairs: DataFrame, blocks: list[str], auto: float, review: float) -> DataFrame:
+    """``band, n`` over all record pairs of all blocks, from counts.
+
+    Equal values merge, pairs of similar values fall by their score, and whatever else shares a
+    block is no match. So ``pairs`` needs to reach down to ``review`` only, and the counts add up to the
+    candidates of ``pair_metrics``.
+    """
+    def choose2(c: Column) -> Column:
+        return (c * (c - 1) / 2).cast("bigint")
+
+    per_block = members.groupBy(*blocks).agg(F.sum("n").alias("size"), F.sum(choose2(F.col("n"))).alias("same"))
+    totals = per_block.agg(F.coalesce(F.sum(choose2(F.col("size"))), F.lit(0)).alias("candidates"),
+                           F.coalesce(F.sum("same"), F.lit(0)).alias("same"))
+    weight = F.col("n_a") * F.col("n_b")
+    scored = pairs.agg(F.coalesce(F.sum(F.when(F.col("score") >= auto, weight)), F.lit(0)).alias("auto"),
+                       F.coalesce(F.sum(F.when((F.col("score") < auto) & (F.col("score") >= review), weight)),
+                                  F.lit(0)).alias("review"))
+    both = totals.withColumn("_x", scored.select(F.struct("auto", "review")).scalar()).select("*", "_x.*")
+    merged = F.col("same") + F.col("auto")
+    return both.select(F.inline(F.array(
+        F.struct(F.lit("AUTO_MERGE").alias("band"), merged.cast("bigint").alias("n")),
+        F.struct(F.lit("REVIEW").alias("band"), F.col("review").cast("bigint").alias("n")),
+        F.struct(F.lit("NO_MATCH").alias("band"), (F.col("candidates") - merged - F.col("review")).cast("bigint").alias("n")))))
+
+
 def pair_metrics(members: DataFrame, pairs: DataFrame, blocks: list[str]) -> DataFrame:
     """Candidates, reduction by blocking, resolved record pairs and their average score.
 

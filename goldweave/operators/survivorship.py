@@ -177,9 +177,11 @@ def compose(df: DataFrame, choices: DataFrame, cluster: str, record_id: str, att
     sources, not as its records.
     """
     first = F.min_by(F.struct(*attributes), F.col(record_id))
+    # A record without a source can be the cluster's first record, but nobody can choose it by source.
     per_source = df.groupBy(cluster, source).agg(first.alias("r"), F.min(record_id).alias("first_id"))
+    named = F.when(F.col(source).isNotNull(), F.struct(F.col(source), F.col("r")))
     wide = per_source.groupBy(cluster).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(source), F.col("r")))).alias("by_source"),
+        F.map_from_entries(F.collect_list(named)).alias("by_source"),
         F.min_by(F.col("r"), F.col("first_id")).alias("first"))
     picked = choices.groupBy(cluster).agg(
         *[F.max(F.when(F.col("attribute") == a, F.col(source))).alias(f"_c_{a}") for a in attributes])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.functions.similarity import dot_product, norm
+from goldweave.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,29 +43,38 @@ def _signatures(bands: int, bits: int):
     return signatures
 
 
-def vector_pairs(df: DataFrame, record_id: str, vector: str, minimum: float, bands: int = 24,
-                 bits: int = 8) -> DataFrame:
-    """Pairs of distinct vectors with cosine ≥ ``minimum`` that share a bucket in some band.
+def plan_buckets(rows: int, minimum: float, recall: float, per_bucket: int = 64, most_bands: int = 512) -> tuple[int, int]:
+    """``bands, bits`` for this many vectors: buckets of about ``per_bucket`` unrelated vectors, and as many
+    bands as bring a pair at ``minimum`` together with probability ``recall``. A minimum at which
+    that takes more than ``most_bands`` is refused: buckets cannot prune there."""
+    bits = max(4, math.ceil(math.log2(max(rows / per_bucket, 1))))
+    meet = (1 - math.acos(minimum) / math.pi) ** bits
+    bands = 1 if meet >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    if bands > most_bands:
+        raise ValueError(f"a minimum of {minimum} needs {bands} bands of {bits} bits for recall {recall}; raise the minimum")
+    return bands, bits
+
+
+def vector_pairs(df: DataFrame, record_id: str, vector: str, minimum: float, recall: float = 0.999) -> DataFrame:
+    """Pairs of distinct vectors with cosine ≥ ``minimum``, each found with probability ``recall`` at least.
 
     ``rep_a < rep_b`` are the smallest ids that carry the two vectors, ``n_a`` and ``n_b`` how
     many do, so copies are compared once. Buckets come from random hyperplanes: two vectors at
-    angle θ share a band with probability (1 − θ/π)^bits, so recall is set by ``bands`` and the
-    bucket size by ``bits`` (add one bit per doubling of the data). A pair is kept only in the
-    first band it shares, which needs no second shuffle.
+    angle θ share a band with probability (1 − θ/π)^bits. ``plan_buckets`` derives bits from
+    the number of vectors and bands from the recall. Only ids and buckets are joined;
+    the vectors are fetched for the pairs that meet. A zero vector has no cosine and no pairs.
     """
-    distinct = df.groupBy(F.col(vector).alias("v")).agg(F.min(record_id).alias("rep"), F.count(F.lit(1)).alias("n"))
+    grouped = df.groupBy(F.col(vector).alias("v")).agg(F.min(record_id).alias("rep"), F.count(F.lit(1)).alias("n"))
+    distinct, seen = materialise(grouped.withColumn("norm", norm(F.col("v"))).filter("norm > 0"), "vectors")
+    bands, bits = plan_buckets(seen["rows"], minimum, recall)
+    signed = distinct.select("rep", F.posexplode(_signatures(bands, bits)("v")).alias("band", "bucket"))
+    a, b = (signed.select("band", "bucket", F.col("rep").alias(f"rep_{s}")) for s in ("a", "b"))
     # The bands multiply the vectors, which size estimates do not see: no side may be broadcast.
-    signed = distinct.withColumns({"sig": _signatures(bands, bits)("v"), "norm": norm(F.col("v"))})
-
-    def side(s: str) -> DataFrame:
-        return signed.select(F.col("v").alias(f"v_{s}"), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"),
-                             F.col("norm").alias(f"norm_{s}"), F.col("sig").alias(f"sig_{s}"), F.posexplode("sig").alias("band", "bucket"))
-
-    equal = F.zip_with("sig_a", "sig_b", lambda x, y: x == y)
-    first = F.array_position(equal, F.lit(True)) == F.col("band") + 1
-    pairs = side("a").join(side("b").hint("merge"), ["band", "bucket"]).filter((F.col("rep_a") < F.col("rep_b")) & first)
+    met = a.join(b.hint("merge"), ["band", "bucket"]).filter("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    for s in ("a", "b"):
+        met = met.join(distinct.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "v", "n", "norm")]), f"rep_{s}")
     score = dot_product(F.col("v_a"), F.col("v_b")) / (F.col("norm_a") * F.col("norm_b"))
-    return pairs.select("rep_a", "rep_b", "n_a", "n_b", score.alias("score")).filter(F.col("score") >= minimum)
+    return met.select("rep_a", "rep_b", "n_a", "n_b", score.alias("score")).filter(F.col("score") >= minimum)
 
 
 def vector_band(score: Column, match: float, review: float) -> Column:

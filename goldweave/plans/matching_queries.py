@@ -54,8 +54,9 @@ def waterfall_parts(t: Tables) -> DataFrame:
 def salted_join(t: Tables) -> DataFrame:
     events = t.events.select("event_id", "event_type", "value")
     stats = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
-    # Event types are few and heavy: every one of them counts as hot here.
-    return skew.salted_join(events, stats, "event_type", skew.hot_keys(stats, "event_type", min_rows=1), F.col("event_id"))
+    # Event types are few and heavy; 100 rows a task salt every one of them here, each by its own count.
+    hot = skew.hot_keys(stats, "event_type", rows_per_task=100)
+    return skew.salted_join(events, stats, "event_type", hot, F.col("event_id"))
 
 
 @query("M7 M8", """
@@ -117,7 +118,7 @@ def unblocked_similar_hosts(t: Tables) -> DataFrame:
     return similarity_join.similar_by_jaro_winkler(hosts, "host", 0.85)
 
 
-@query("M10 M11", """
+@query("M9 M11", """
     WITH u AS (SELECT DISTINCT url FROM pages)
     SELECT a.url AS value_a, b.url AS value_b, round(1 - levenshtein(a.url, b.url) / greatest(length(a.url), length(b.url)), 6) AS score
     FROM u a JOIN u b ON a.url < b.url
@@ -157,42 +158,48 @@ def pair_metrics(t: Tables) -> DataFrame:
 
 
 @query("M14", f"""
-    WITH {_fuzzy_sql(_JW, 0.7)}
+    WITH {_fuzzy_sql(_JW, 0)}
     SELECT * FROM (SELECT *, CASE WHEN score >= 0.95 THEN 'near equal' WHEN value_a[1:4] = value_b[1:4] THEN 'same start'
         WHEN score >= 0.8 THEN 'similar' END AS rule FROM pairs) WHERE rule IS NOT NULL""")
 def rule_cascade(t: Tables) -> DataFrame:
-    pairs = similarity_join.blocked_value_pairs(_members(t), BLOCKS, 0.7)
+    start = F.substring("value", 1, 4)
+    pairs = matching.cascade_candidates(_members(t), BLOCKS, 0.8, {"same start": start})
     same_start = F.substring("value_a", 1, 4) == F.substring("value_b", 1, 4)
     return matching.cascade(pairs, [("near equal", F.col("score") >= 0.95), ("same start", same_start),
                                     ("similar", F.col("score") >= 0.8)])
 
 
-_BANDED = f"""
-    {_fuzzy_sql(_JW, 0.6)}, banded AS (SELECT *, CASE WHEN score >= 0.85 THEN 'AUTO_MERGE' WHEN score >= 0.7 THEN 'REVIEW'
+_LOWEST_REVIEW = min(review for _, review in matching.BAND_PRESETS.values())
+
+
+@query("M17 M18", f"""
+    WITH {_fuzzy_sql(_JW, 0)}
+    SELECT *, CASE WHEN score >= 0.85 THEN 'AUTO_MERGE' WHEN score >= 0.7 THEN 'REVIEW'
         ELSE 'NO_MATCH' END AS config_band, CASE WHEN score >= 0.95 THEN 'AUTO_MERGE' WHEN score >= 0.8 THEN 'REVIEW'
         ELSE 'NO_MATCH' END AS resolution_band, CASE WHEN score >= 0.9 THEN 'AUTO_MERGE' WHEN score >= 0.7 THEN 'REVIEW'
         ELSE 'NO_MATCH' END AS review_band, CASE WHEN score < 0.5 THEN 'lenient' WHEN score < 0.8 THEN 'moderate'
-        ELSE 'strict' END AS strictness FROM pairs)"""
-
-
-def _banded(t: Tables) -> DataFrame:
-    pairs = similarity_join.blocked_value_pairs(_members(t), BLOCKS, 0.6)
+        ELSE 'strict' END AS strictness FROM pairs
+    WHERE config_band <> 'NO_MATCH' OR resolution_band <> 'NO_MATCH' OR review_band <> 'NO_MATCH'""")
+def match_bands(t: Tables) -> DataFrame:
+    """The pairs that some preset merges or reviews; all others are NO_MATCH in every preset and are counted in ``band_summary``."""
+    pairs = similarity_join.blocked_value_pairs(_members(t), BLOCKS, _LOWEST_REVIEW)
     score = F.col("score")
     return pairs.withColumns({**{f"{p}_band": matching.preset_band(score, p) for p in matching.BAND_PRESETS},
                               "strictness": matching.strictness(score)})
 
 
-@query("M17 M18", f"WITH {_BANDED} SELECT * FROM banded")
-def match_bands(t: Tables) -> DataFrame:
-    return _banded(t)
-
-
-@query("M22 M6", f"""
-    WITH {_BANDED}, c AS (SELECT config_band AS band, CAST(sum(n_a * n_b) AS BIGINT) AS n FROM banded GROUP BY 1)
+@query("M17 M22 M6", f"""
+    WITH scored AS (SELECT round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS score FROM part a JOIN part b
+                    ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
+    c AS (SELECT band, count(score) AS n FROM (VALUES ('AUTO_MERGE'), ('REVIEW'), ('NO_MATCH')) v(band) LEFT JOIN scored
+          ON band = CASE WHEN score >= 0.85 THEN 'AUTO_MERGE' WHEN score >= 0.7 THEN 'REVIEW' ELSE 'NO_MATCH' END GROUP BY 1)
     SELECT band, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS percent, CASE band WHEN 'AUTO_MERGE' THEN 'merge into golden record'
         WHEN 'REVIEW' THEN 'send to steward' ELSE 'create new golden id' END AS action FROM c""")
 def band_summary(t: Tables) -> DataFrame:
-    out = matching.band_summary(_banded(t), "config_band", F.col("n_a") * F.col("n_b"))
+    """All candidate pairs of records by band; the oracle compares every pair."""
+    members, (auto, review) = _members(t), matching.BAND_PRESETS["config"]
+    pairs = similarity_join.blocked_value_pairs(members, BLOCKS, review)
+    out = matching.band_summary(similarity_join.band_totals(members, pairs, BLOCKS, auto, review))
     return out.withColumn("percent", F.round("percent", 6))
 
 
@@ -242,30 +249,39 @@ def hybrid_match(t: Tables) -> DataFrame:
     return out.withColumn("golden_id", exact_match.golden_id("cluster_id"))
 
 
-_BANDS, _BITS = 24, 8
-
-
-def _vector_sql() -> str:
-    coefficient = "CASE WHEN substr(md5(CAST(h AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
-    return f"""
-    WITH planes AS (SELECT h, list({coefficient} ORDER BY i) AS w FROM range({_BANDS * _BITS}) a(h), range(64) b(i) GROUP BY h),
-    v AS (SELECT CAST(embedding AS DOUBLE[]) AS v, min(vec_id) AS rep, count(*) AS n FROM embeddings GROUP BY 1),
-    bits AS (SELECT rep, h // {_BITS} AS band, CASE WHEN list_dot_product(v, w) >= 0 THEN CAST(2 ** (h % {_BITS}) AS BIGINT) ELSE 0 END AS bit
-             FROM v, planes),
-    sig AS (SELECT rep, band, CAST(sum(bit) AS BIGINT) AS bucket FROM bits GROUP BY ALL),
-    cand AS (SELECT DISTINCT a.rep AS rep_a, b.rep AS rep_b FROM sig a JOIN sig b USING (band, bucket) WHERE a.rep < b.rep)
-    SELECT rep_a, rep_b, x.n AS n_a, y.n AS n_b, round(list_cosine_similarity(x.v, y.v), 6) AS score,
-        CASE WHEN list_cosine_similarity(x.v, y.v) >= 0.35 THEN 'Match' ELSE 'Review' END AS decision
-    FROM cand JOIN v x ON x.rep = rep_a JOIN v y ON y.rep = rep_b WHERE list_cosine_similarity(x.v, y.v) >= 0.25"""
-
-
-@query("M21", _vector_sql())
+@query("M21", """
+    WITH w AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+               UNION ALL SELECT vec_id + 1000000000, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i <= 6 THEN -x ELSE x END) FROM embeddings),
+    v AS (SELECT v, min(vec_id) AS rep, count(*) AS n FROM w GROUP BY 1),
+    p AS (SELECT x.rep AS rep_a, y.rep AS rep_b, x.n AS n_a, y.n AS n_b, list_cosine_similarity(x.v, y.v) AS c FROM v x JOIN v y ON x.rep < y.rep)
+    SELECT rep_a, rep_b, n_a, n_b, round(c, 6) AS score, CASE WHEN c >= 0.85 THEN 'Match' ELSE 'Review' END AS decision FROM p WHERE c >= 0.7""")
 def vector_match_pairs(t: Tables) -> DataFrame:
-    pairs = vector_match.vector_pairs(t.embeddings, "vec_id", "embedding", 0.25, _BANDS, _BITS)
-    return pairs.withColumn("decision", vector_match.vector_band(F.col("score"), 0.35, 0.25)).withColumn(
+    """Vectors and variants of them (six coordinates turned over) at a cosine that means "same"; the oracle is exact."""
+    turned = F.transform("v", lambda x, i: F.when(i < 6, -x).otherwise(x))
+    own = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    both = own.unionByName(own.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), turned.alias("v")))
+    pairs = vector_match.vector_pairs(both, "vec_id", "v", 0.7, recall=0.99999)
+    return pairs.withColumn("decision", vector_match.vector_band(F.col("score"), 0.85, 0.7)).withColumn(
         "score", F.round("score", 6))
 
 
+@query("M10 M7 M13", f"""
+    WITH RECURSIVE c AS (SELECT c_custkey, split_part(c_name, '#', 1) || c_mktsegment || right(c_name, 2) AS label, substr(c_phone, 1, 3) AS prefix FROM
+            (SELECT c_custkey, c_name, c_mktsegment, CAST(c_nationkey + 10 AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) AS c_phone FROM customer)),
+    k AS (SELECT c_custkey, label, nullif(substr(regexp_replace(prefix, '[^0-9]', '', 'g'), 1, 3), '') AS block FROM c),
+    m AS (SELECT block, label, min(c_custkey) AS rep FROM k WHERE block IS NOT NULL GROUP BY ALL),
+    {_components_sql('''SELECT a.rep AS src, b.rep AS dst FROM m a JOIN m b ON a.block = b.block AND a.label < b.label
+        WHERE round(jaro_winkler_similarity(a.label, b.label), 6) >= 0.97''')}
+    SELECT c_custkey, CAST(coalesce(component, rep, c_custkey) AS VARCHAR) AS cluster_id
+    FROM k LEFT JOIN m USING (block, label) LEFT JOIN comp ON node = rep""")
+def fuzzy_derived_block(t: Tables) -> DataFrame:
+    """Similar labels of customers inside a derived block, the prefix of a phone number."""
+    phone = F.substring(F.concat((F.col("c_nationkey") + 10).cast("string"), F.lit("-"), F.col("c_custkey").cast("string")), 1, 3)
+    label = F.concat(F.split_part("c_name", F.lit("#"), F.lit(1)), "c_mktsegment", F.right("c_name", F.lit(2)))
+    rows = t.customer.select("c_custkey", label.alias("label"), phone.alias("phone"))
+    return matching.fuzzy_clusters(rows, "c_custkey", ["phone_prefix:phone"], "label", 0.97)
+
+
 @query("M23 N8", f"""
     WITH r AS ({REVIEW_SQL}), d AS ({DECISIONS_SQL})
     SELECT record_id, cluster_id FROM r WHERE cluster_id NOT IN

@@ -74,7 +74,7 @@ def test_joins_within_blocks_equal_the_dictionary(spark):
     rows = [(i, f"b{i % 3}", n) for i, n in enumerate(_names(3, 150))]
     members = similarity_join.value_members(spark.createDataFrame(rows, "id long, b string, name string"), "id", ["b"], "name")
     a = similarity_join.blocked_value_pairs(members, ["b"], 0.8)
-    b = similarity_join.blocked_value_pairs(members, ["b"], 0.8, dictionary=False)
+    b = similarity_join.blocked_value_pairs(members, ["b"], 0.8, dictionary=True)
     columns = sorted(a.columns)
     assert sorted(map(tuple, a.select(columns).collect())) == sorted(map(tuple, b.select(columns).collect())) != []
 
@@ -109,14 +109,8 @@ def _graphs():
     yield "empty", []
 
 
-@pytest.mark.parametrize("salted", [False, True])
 @pytest.mark.parametrize("name, edges", list(_graphs()), ids=lambda v: v if isinstance(v, str) else "")
-def test_components(spark, monkeypatch, name, edges, salted):
-    if salted:
-        monkeypatch.setattr(components, "HOT_ROWS", 1)
-        monkeypatch.setattr(skew, "HOT_ROWS", 20)
-        if name not in ("high hub", "random"):
-            pytest.skip("one skewed and one even graph suffice")
+def test_components(spark, name, edges):
     df = spark.createDataFrame(edges, "src long, dst long")
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == _find([e for e in edges if e[0] != e[1]])
@@ -142,22 +136,18 @@ def test_waterfall_assigns_every_record_once(spark):
         exact_match.waterfall(df, "id", [{"name": "f", "blocking_key": "npi", "method": "fuzzy"}])
 
 
-def test_hot_key_takes_the_salted_path(spark, monkeypatch):
-    """One key holds a third of the rows; salted and plain results agree."""
+def test_hot_key_is_salted_by_its_count(spark):
+    """One key holds a third of the rows; it alone is spread, and results agree with the plain join."""
     df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 400).cast("string")).alias("k"))
-    plain = sorted(map(tuple, exact_match.exact_groups(df, "id", exact_match.blocking_key(["k"])).collect()))
-    monkeypatch.setattr(exact_match, "HOT_ROWS", 1)
-    monkeypatch.setattr(skew, "HOT_ROWS", 100)
-    salted = exact_match.exact_groups(df, "id", exact_match.blocking_key(["k"]))
-    assert sorted(map(tuple, salted.select("id", "key", "group_id", "group_size").collect())) == sorted(
-        map(tuple, spark.createDataFrame(plain, "key string, id long, group_id long, group_size long")
-            .select("id", "key", "group_id", "group_size").collect()))
+    groups = {r.id: (r.group_id, r.group_size) for r in exact_match.exact_groups(df, "id", exact_match.blocking_key(["k"])).collect()}
     keyed = df.select("id", F.col("k").alias("key"))
-    facts = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    spread = skew.salted_join(keyed, facts, "key", skew.hot_keys(facts, "key"), F.col("id"))
-    assert spread.count() == 3000
+    facts = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    hot = skew.hot_keys(facts, "key", rows_per_task=100)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 10)]
+    spread = skew.salted_join(keyed, facts, "key", hot, F.col("id"))
+    assert {r.id: (r.least, r.n) for r in spread.collect()} == groups and len(groups) == 3000
     with pytest.raises(ValueError):
-        skew.salted_join(keyed, facts, "key", facts, F.col("id"), how="full")
+        skew.salted_join(keyed, facts, "key", hot, F.col("id"), how="full")
 
 
 def test_fuzzy_and_hybrid_clusters(spark):
@@ -198,3 +188,39 @@ def test_link_sources_does_not_multiply(spark):
     right = spark.createDataFrame([(i, "k") for i in range(40)], "rid long, k string")
     got = exact_match.link_sources(left, right, "id", "rid", F.col("k"), F.col("k")).collect()
     assert len(got) == 50 and {(r.rid, r.reference_count) for r in got} == {(0, 40)}
+
+
+def test_weighted_fields_equal_brute_force(spark):
+    """Null fields drop out of the mean, equal primaries may differ in the rest, low thresholds lose nothing."""
+    rnd = random.Random(8)
+    words = _names(4, 25)
+    rows = sorted({(f"b{rnd.randrange(2)}", rnd.choice([*words, None]), rnd.choice([*words[:12], None])) for _ in range(70)},
+                  key=str)
+    df = spark.createDataFrame(rows, "b string, p string, s string")
+    for threshold in (0.7, 0.85):
+        expected = CON.execute("""
+            WITH t AS (SELECT unnest(?) AS b, unnest(?) AS p, unnest(?) AS s), k AS (SELECT *, row_number() OVER () AS i FROM t),
+            x AS (SELECT x.b, x.i AS i, y.i AS j, round(jaro_winkler_similarity(x.p, y.p), 6) AS sp, round(jaro_winkler_similarity(x.s, y.s), 6) AS ss
+                  FROM k x JOIN k y ON x.b = y.b AND x.i < y.i)
+            SELECT i - 1, j - 1, round((coalesce(0.7::DOUBLE * sp, 0) + coalesce(0.3::DOUBLE * ss, 0)) /
+                (CASE WHEN sp IS NULL THEN 0 ELSE 0.7::DOUBLE END + CASE WHEN ss IS NULL THEN 0 ELSE 0.3::DOUBLE END), 6) AS score
+            FROM x WHERE sp IS NOT NULL OR ss IS NOT NULL""", [[r[k] for r in rows] for k in range(3)]).fetchall()
+        want = {frozenset((rows[i], rows[j])): s for i, j, s in expected if s >= threshold}
+        found = matching.similar_by_weighted_fields(df, ["b"], ("p", 0.7), ("s", 0.3), threshold).collect()
+        got = {frozenset(((r.b, r.p_a, r.s_a), (r.b, r.p_b, r.s_b))): r.score for r in found}
+        assert len(got) == len(found) and got == pytest.approx(want, abs=2e-6)
+
+
+def test_soundex_is_another_way_in(spark):
+    rows = [(1, "z1", "Robert Smith", "Smith"), (2, "z2", "Robert Smyth", "Smyth"), (3, "z1", "Robert Smythe", "Smythe"), (4, "z3", "Ann Lee", "Lee")]
+    df = spark.createDataFrame(rows, "id long, zip string, name string, last string")
+    plain = {r.id: r.cluster_id for r in matching.fuzzy_clusters(df, "id", ["zip"], "name", 0.9).collect()}
+    sound = {r.id: r.cluster_id for r in matching.fuzzy_clusters(df, "id", ["zip"], "name", 0.9, phonetic="last").collect()}
+    assert plain == {1: "1", 2: "2", 3: "1", 4: "4"} and sound == {1: "1", 2: "1", 3: "1", 4: "4"}
+
+
+def test_vector_buckets_are_planned(spark):
+    bands, bits = vector_match.plan_buckets(1_000_000, 0.9, 0.95)
+    assert bits == 14 and 1 < bands < 60
+    with pytest.raises(ValueError):
+        vector_match.plan_buckets(1_000_000, 0.2, 0.95)
