@@ -142,10 +142,10 @@ def latest_overall(t: Tables) -> DataFrame:
     return reporting.latest_overall(t.events, "ts", "event_id").select("event_id", "user_id", "event_type")
 
 
-@query("K2", "SELECT * EXCLUDE (o_orderdate) FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+@query("K2", f"SELECT * REPLACE ({stamp_sql('o_orderdate')} AS o_orderdate) FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
 def lookup_by_id(t: Tables) -> DataFrame:
     newest = t.orders.agg(F.max("o_orderkey")).scalar()
-    return t.orders.filter(F.col("o_orderkey") == newest).drop("o_orderdate")
+    return t.orders.filter(F.col("o_orderkey") == newest).withColumn("o_orderdate", stamp("o_orderdate"))
 
 
 @query("K3 N6", "SELECT count(*) AS matches FROM part WHERE lower(p_brand) = 'brand#7' AND lower(p_type) = 'economy'")

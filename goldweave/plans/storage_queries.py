@@ -60,12 +60,12 @@ def merge_upsert(t: Tables) -> DataFrame:
 
 
 @query("S11 S12 S13 S14 S16 A7", """
-    SELECT target, c_custkey, c_name, c_nationkey, c_mktsegment FROM customer
+    SELECT x.target, customer.* FROM customer
     CROSS JOIN (VALUES ('csv'), ('json'), ('parquet'), ('appended'), ('appended'), ('replaced')) AS x(target)""")
 def publish_roundtrip(t: Tables) -> DataFrame:
     """Fan-out to several formats, codecs and partitionings, then read back."""
     spark, root = t.spark, scratch_dir(t.spark, "publish")
-    df = t.customer.drop("c_acctbal")
+    df = t.customer
     writers.fan_out(df, [
         lambda d: writers.publish(d, f"{root}/csv", "csv", "gzip"),
         lambda d: writers.publish(d, f"{root}/json", "json", "gzip", ["c_mktsegment"]),
@@ -86,6 +86,14 @@ def publish_roundtrip(t: Tables) -> DataFrame:
     return merged
 
 
+@query("S12", "SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) AS ts_day FROM events")
+def publish_by_day(t: Tables) -> DataFrame:
+    """Files by the day of a timestamp, read back with the day from the folders."""
+    path = scratch_dir(t.spark, "publish-day")
+    writers.publish(t.events.select("event_id", "user_id", "event_type", "value", "ts"), path, partition_by=["day:ts"])
+    return t.spark.read.parquet(path).select("event_id", "user_id", "event_type", "value", "ts_day")
+
+
 @query("A3 A7 S11", """
     SELECT event_id, user_id, event_type, props FROM events
     WHERE event_type IN ('error', 'signup') AND contains(lower(concat_ws(chr(1), event_type, props)), '"k": 4')""")
@@ -131,23 +139,11 @@ def stream_dedup(t: Tables) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def stream_match(t: Tables) -> DataFrame:
     """A master made of each user's first half of the month meets the stream of all events."""
-    spark, root = t.spark, scratch_dir(t.spark, "master")
-    columns = ["user_id", "ts", "event_id", "event_type", "value"]
+    root, columns = scratch_dir(t.spark, "master"), ["user_id", "ts", "event_id", "event_type", "value"]
     early = t.events.filter(F.col("ts") < F.lit(_SPLIT).cast("timestamp_ntz")).select(*columns)
-    start = early.filter(F.lit(False))
-    flows.match_batch(early, start, "user_id", "event_id", "ts").write.parquet(f"{root}/batch=-1")
-    done: list[int] = []
-
-    def read(batch_id: int) -> DataFrame:
-        return spark.read.parquet(f"{root}/batch={batch_id - 1}")
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
-        done.append(batch_id)
-
-    flows.start_master_match(_stream(t, "events").select(*columns), read, write, "user_id", "event_id", "ts",
-                             f"{root}-checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/batch={max(done)}").withColumn("ts", stamp("ts"))
+    writers.upsert(early, root, ["user_id"], "ts")
+    flows.start_master_upsert(_stream(t, "events").select(*columns), root, ["user_id"], "ts", f"{root}-checkpoint").awaitTermination()
+    return writers.read_current(t.spark, root).select(*columns).withColumn("ts", stamp("ts"))
 
 
 @query("S2 X4", """

@@ -24,6 +24,8 @@ def build_session(app_name: str = "goldweave", master: str | None = None, **conf
         # Similarity joins expand small inputs; without this their shuffles shrink to one task.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():

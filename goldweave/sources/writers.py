@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from goldweave.session import path_exists
+from goldweave.session import discard, materialise, path_exists
 
 # What the publishing form offers.
 FORMATS = ("parquet", "csv", "json")
@@ -19,8 +18,9 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", codec: str = "snappy
             partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Write files in a format and compression, optionally partitioned.
 
-    Partitioning adds no shuffle: each task writes its own rows, so a partition value that
-    holds a third of them does not meet in one task.
+    The rows of a partition value are brought together before they are written, a value with many
+    rows in several files: adaptive execution splits it. ``day:column`` partitions by the day of a
+    timestamp, in a column ``column_day``.
     """
     fmt, codec = fmt.lower(), codec.lower()
     if fmt == "delta":
@@ -32,9 +32,13 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", codec: str = "snappy
     options = {"compression": codec}
     if fmt == "csv":
         options.update(header="true", quote='"', escape='"')
+    names = [p.removeprefix("day:") + "_day" if p.startswith("day:") else p for p in partition_by or []]
+    if names:
+        days = {n: F.to_date(p.removeprefix("day:")) for n, p in zip(names, partition_by) if p.startswith("day:")}
+        df = (df.withColumns(days) if days else df).hint("rebalance", *names)
     writer = df.write.mode(mode).format(fmt).options(**options)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*names)
     writer.save(path)
 
 
@@ -68,51 +72,70 @@ def merge_rows(target: DataFrame, changes: DataFrame, keys: list[str], newest: s
     return target.join(changes.select(*keys), keys, "left_anti").unionByName(changes.select(*target.columns))
 
 
-# A versioned table is a folder of version folders and a log of committed versions.
+# A versioned table is cut into buckets by a hash of its key. A merge writes new versions of the buckets it
+# touches; a log names the committed versions, and the last one of each bucket is current.
+BUCKETS = 16
 
-def _versions(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("version long, committed_at timestamp").json(f"{root}/_commits")
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("version long, bucket int, committed_at timestamp").json(f"{root}/_commits")
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
     """The last committed version, or None for a table that does not exist yet."""
     if not path_exists(spark, f"{root}/_commits"):
         return None
-    return _versions(spark, root).agg(F.max("version")).first()[0]
+    return _log(spark, root).agg(F.max("version")).first()[0]
+
+
+def _folders(spark: SparkSession, root: str, buckets: list[int] | None = None) -> list[str]:
+    """The current folder of each bucket; the log has a row per bucket and commit."""
+    latest = _log(spark, root).groupBy("bucket").agg(F.max("version").alias("version"))
+    if buckets is not None:
+        latest = latest.filter(F.col("bucket").isin(buckets))
+    return [f"{root}/version={r['version']}/bucket={r['bucket']}" for r in latest.orderBy("bucket").collect()]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
+    if current_version(spark, root) is None:
         raise ValueError(f"no committed version below {root}")
-    return spark.read.parquet(f"{root}/version={version}")
+    return spark.read.parquet(*_folders(spark, root))
 
 
-def upsert(changes: DataFrame, root: str, keys: list[str], newest: str | None = None) -> int:
+def upsert(changes: DataFrame, root: str, keys: list[str], newest: str | None = None, buckets: int = BUCKETS) -> int:
     """Merge changes into a versioned table and commit the result as a new version.
 
-    Readers of the old version are not disturbed; a run that dies before the commit leaves
-    the current version as it was. One writer at a time.
+    Only the buckets that hold a changed key are read and written again. With ``newest`` the
+    largest value of that column wins among old and new rows of a key, so a replayed or late batch changes
+    nothing; without it the changes win and must have unique keys. Readers of the old version are not
+    disturbed; a run that dies before the commit leaves the current version as it was. One writer at a
+    time; ``buckets`` stays the same for the life of a table.
     """
     spark = changes.sparkSession
     version = current_version(spark, root)
-    if version is None:
-        merged = merge_rows(changes.filter(F.lit(False)), changes, keys, newest)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    changes, _ = materialise(changes, "upsert")
+    touched = sorted(r[0] for r in changes.select(bucket).distinct().collect())  # at most ``buckets`` numbers
+    columns = [F.col(c) for c in changes.columns]
+    folders = _folders(spark, root, touched) if version is not None and touched else []
+    old = spark.read.schema(changes.schema).parquet(*folders) if folders else changes.filter(F.lit(False))
+    if newest:
+        merged = merge_rows(changes.filter(F.lit(False)), old.unionByName(changes), keys, newest)
     else:
-        merged = merge_rows(spark.read.parquet(f"{root}/version={version}"), changes, keys, newest)
+        merged = merge_rows(old, changes, keys)
     after = (version or 0) + 1
-    merged.write.mode("overwrite").parquet(f"{root}/version={after}")
-    commit = spark.range(1).select(F.lit(after).cast("long").alias("version"),
-                                   F.current_timestamp().alias("committed_at"))
-    commit.coalesce(1).write.mode("append").json(f"{root}/_commits")
+    merged.select(*columns, bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/version={after}")
+    log = spark.createDataFrame([(after, b) for b in touched], "version long, bucket int") if touched else spark.range(0).select(
+        F.col("id").alias("version"), F.lit(0).alias("bucket"))
+    log.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/_commits")
     return after
 
 
 def fan_out(df: DataFrame, targets: list[Callable[[DataFrame], None]]) -> None:
-    """Write to several targets from one computation of ``df``."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Write to several targets from one computation of ``df``, kept in the shared folder meanwhile."""
+    kept, _ = materialise(df, "fan-out")
     try:
         for write in targets:
             write(kept)
     finally:
-        kept.unpersist()
+        discard(kept)

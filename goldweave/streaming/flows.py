@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from goldweave.operators.ruleset import apply_rules
-from goldweave.sources.writers import merge_rows
+from goldweave.sources.writers import merge_rows, upsert
 
 
 def start_file_sink(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
@@ -29,12 +29,18 @@ def cleanse_stream(stream: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def deduplicate_stream(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """Drop repeats of a key that arrive within the delay; state older than that is dropped."""
+    """Drop repeats of a key that arrive within the delay; state older than that is dropped, so a repeat that
+    comes later than ``delay`` is let through. State grows with the keys seen within the delay: a cluster
+    session should keep it in the RocksDB state store (``build_session`` sets it)."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def band_feed(stream: DataFrame, time: str, band: Column, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Windowed counts of match bands; a window is emitted once the watermark has passed it."""
+    """Windowed counts of match bands; a window is emitted once the watermark has passed it.
+
+    Windows still open when a stream ends are not in the output: they stay in the checkpoint and come
+    with the next rows. A reader that needs them at once counts the batch table instead.
+    """
     counted = (stream.withWatermark(time, delay)
                .groupBy(F.window(time, width).alias("w"), band.alias("band")).agg(F.count(F.lit(1)).alias("matches")))
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "band", "matches")
@@ -70,3 +76,16 @@ def start_master_match(stream: DataFrame, read_master: Callable[[int], DataFrame
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def start_master_upsert(stream: DataFrame, root: str, keys: list[str], newest: str, checkpoint: str,
+                        available_now: bool = True) -> StreamingQuery:
+    """Upsert every micro-batch into a versioned master; a batch rewrites only the buckets its keys fall
+    into, and the newest row per key wins whatever the order of the batches."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        upsert(batch, root, keys, newest)
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -55,6 +55,37 @@ def test_upsert_twice_equals_once(spark, tmp_path):
     assert sorted(map(tuple, writers.read_current(spark, root).collect())) == once
 
 
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    root = str(tmp_path / "t")
+    writers.upsert(spark.range(500).select("id", F.lit("old").alias("v"), F.lit(1).alias("ts")), root, ["id"], "ts")
+    before = {p.parent.name: p.name for p in (tmp_path / "t" / "version=1").glob("bucket=*/*.parquet")}
+    assert len(before) == 16
+    change = spark.createDataFrame([(7, "new", 2), (7, "late", 0), (9, "late", 0)], "id long, v string, ts int")
+    writers.upsert(change, root, ["id"], "ts")
+    assert 1 <= len(list((tmp_path / "t" / "version=2").glob("bucket=*"))) <= 2
+    rows = {r.id: r.v for r in writers.read_current(spark, root).collect()}
+    assert len(rows) == 500 and rows[7] == "new" and rows[9] == "old"
+
+
+def test_streamed_upserts_over_several_batches(spark, tmp_path):
+    for i in range(4):
+        spark.range(20).select((F.col("id") % 5).alias("k"), (F.col("id") + 20 * i).alias("ts")).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = readers.stream_files(spark, str(tmp_path / "in/*"), "k long, ts long", "parquet", maxFilesPerTrigger=1)
+    root = str(tmp_path / "master")
+    flows.start_master_upsert(stream, root, ["k"], "ts", str(tmp_path / "ck")).awaitTermination()
+    assert writers.current_version(spark, root) >= 4
+    assert sorted((r.k, r.ts) for r in writers.read_current(spark, root).collect()) == [(k, 75 + k) for k in range(5)]
+
+
+def test_late_repeats_pass_the_delay(spark, tmp_path):
+    for i, day in enumerate(("2024-01-01", "2024-01-03", "2024-01-03")):
+        spark.createDataFrame([("a", day)], "k string, d string").select("k", F.to_timestamp("d").alias("ts")).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = readers.stream_files(spark, str(tmp_path / "in/*"), "k string, ts timestamp", "parquet", maxFilesPerTrigger=1)
+    out = flows.deduplicate_stream(stream, ["k"], "ts", "1 day")
+    flows.start_file_sink(out, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
 def test_incremental_load(spark, tmp_path):
     path = str(tmp_path / "inc")
     src = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "id int, wm int")
