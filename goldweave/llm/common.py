@@ -41,6 +41,20 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def rank_of(value: Column, cuts: list[int], inclusive: bool = False) -> Column:
+    """How many of the sorted ``cuts`` are below the value (or equal to it too), by bisection."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    table = F.lit([int(c) for c in cuts]).cast("array<long>")
+
+    def further(low: Column, step: Column) -> Column:
+        cut = F.get(table, low + step - 1)  # null beyond the end
+        return F.when(cut <= value if inclusive else cut < value, low + step).otherwise(low)
+
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), further)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, component`` of every node with an edge (columns ``a``, ``b``); the component is its smallest node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldweave.llm.common import text_or_empty
+from goldweave.llm.common import rank_of, text_or_empty
 
 #: A piece of a paragraph: to the first mark and space after 16 characters, or the rest of the
 #: line, or up to 64 characters. The pieces of a text join to the text.
@@ -103,8 +103,7 @@ def with_next_text(docs: DataFrame, id_column: str = "doc_id", text_column: str
     n_ranges = min(QUANTILES, max(1, -(-(facts["bytes"] or 0) // range_bytes)))
     cuts = sorted({(facts["cuts"] or [0])[i * len(facts["cuts"] or [0]) // n_ranges] for i in range(1, n_ranges)})
     bits = max(1, n_ranges.bit_length())
-    above = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>"),
-                            lambda c: c > F.col("doc_id")))
+    above = len(cuts) - rank_of(F.col("doc_id"), cuts, inclusive=True)  # cuts above the id
     unknown = F.shiftright("hash", 64 - bits).cast("int") + (1 << (bits - 1)) + len(cuts) + 1
     placed = own.withColumn("range", F.when(F.col("doc_id").isNull(), unknown).otherwise(above))
 

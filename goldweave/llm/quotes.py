@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldweave.llm.common import text_or_empty
+from goldweave.llm.common import rank_of, text_or_empty
 from goldweave.session import materialise
 
 _MARK = r"\A(?:[\x20\t]{0,3}>)++"
@@ -37,8 +37,7 @@ def _latest_original(wanted: DataFrame, originals: DataFrame, cuts: list) -> Dat
     carried to later spans, and only the rows of one span and hash are put in order.
     """
     def slot(sent: Column) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>"),
-                               lambda c: c < sent)).alias("slot")
+        return rank_of(sent, cuts).alias("slot")
 
     both = originals.select("hash", "sent", slot(F.col("sent")), F.struct("sent", "node").alias("own"),
                             F.lit(None).cast("long").alias("asker"), F.lit(None).cast("long").alias("size")).unionByName(
@@ -135,9 +134,7 @@ def _roots(parents: DataFrame) -> DataFrame:
 
 def _positioned(rows: DataFrame, cuts: list) -> DataFrame:
     """Adds the place in the thread by time; rows of one thread and span of time are put in order together."""
-    span = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>"),
-                           lambda c: c < F.col("sent")))
-    cut = rows.withColumn("span", span)
+    cut = rows.withColumn("span", rank_of(F.col("sent"), cuts))
     sizes = cut.groupBy("root", "span").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("root").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("root", "span", F.coalesce(before, F.lit(0)).alias("start"))
