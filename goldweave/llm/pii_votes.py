@@ -73,16 +73,25 @@ def candidates(docs: DataFrame) -> DataFrame:
     its matches; the lengths of matches and gaps add up to the offsets.
     """
     sources = [(k, STRICT[k], k, False) for k in KINDS] + [(k, p, f"loose {k}", True) for k, p in LOOSE.items()]
-    rows = None
-    for kind, pattern, hint, loose in sources:
+    # One scan for all patterns: matches and gaps per pattern, null where the text lacks what the pattern needs.
+    parts = {}
+    for n, (_, pattern, hint, _) in enumerate(sources):
         matches, gaps = _alternating(F.col("text"), pattern)
-        own = (docs.filter(_HINT[hint](F.col("text"))).select("doc_id", "text_hash", matches.alias("m"), gaps.alias("g"))
-               .filter(F.size("m") > 0))
-        cut = F.transform("m", lambda m, i: F.struct(
-            i.alias("i"), m.alias("match"), F.length(m).alias("n"), F.length(F.get("g", i)).alias("gap"),
-            F.right(F.get("g", i), F.lit(32)).alias("before"), F.left(F.get("g", i + 1), F.lit(8)).alias("after")))
-        part = own.select("doc_id", "text_hash", F.lit(kind).alias("kind"), F.lit(loose).alias("loose"), F.inline(cut))
-        rows = part if rows is None else rows.unionByName(part)
+        hinted = _HINT[hint](F.col("text"))
+        parts |= {f"m{n}": F.when(hinted, matches), f"g{n}": F.when(hinted, gaps)}
+
+    def found(n: int, kind: str, loose: bool) -> Column:
+        gaps = F.col(f"g{n}")
+        rows = F.transform(f"m{n}", lambda m, i: F.struct(
+            F.lit(kind).alias("kind"), F.lit(loose).alias("loose"), i.alias("i"), m.alias("match"), F.length(m).alias("n"),
+            F.length(F.get(gaps, i)).alias("gap"), F.right(F.get(gaps, i), F.lit(32)).alias("before"),
+            F.left(F.get(gaps, i + 1), F.lit(8)).alias("after")))
+        return F.coalesce(rows, F.array().cast(
+            "array<struct<kind:string,loose:boolean,i:int,match:string,n:int,gap:int,before:string,after:string>>"))
+
+    every = F.concat(*[found(n, kind, loose) for n, (kind, _, _, loose) in enumerate(sources)])
+    rows = docs.select("doc_id", "text_hash", *[c.alias(n) for n, c in parts.items()]).select(
+        "doc_id", "text_hash", F.inline(every))
     key = ["doc_id", "text_hash", "kind", "loose"]
     run = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = (rows.repartition(*key).dropDuplicates([*key, "i"])
