@@ -97,7 +97,44 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other values in its slots."""
-    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+def _list_sql(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_BARE_SQL = r"""CASE WHEN left(t, 1) < '0' THEN ltrim(t, ' .!?:"'')]' || chr(9) || chr(10) || chr(13)) ELSE t END"""
+_TYPE_SQL = f"""CASE WHEN lower(b) IN ({_list_sql(templates.UNIT_WORDS)}) THEN '<unit>'
+    WHEN left(b, 1) BETWEEN '0' AND '9' OR lower(b) IN ({_list_sql(templates.NUMBER_WORDS)}) THEN '<num>'
+    WHEN t <> lower(b) AND substring(t, 2) = substring(lower(b), 2) AND length(t) > 1 THEN '<name>' ELSE lower(b) END"""
+_TOKEN_SQL = r"""(?:[.!?:\n]["'')\]]{0,2}\s{0,4}|^\s*)?[\p{L}\p{N}]+(?:[.,][0-9]+)*"""
+# Every item of the table has at least five tokens, so the oracle knows windows of five only.
+SQL["op6_decontaminate"] = f"""
+WITH texts AS (SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark),
+raw AS (SELECT side, id, text, regexp_extract_all(text, '{_TOKEN_SQL}') AS raw FROM texts),
+tok AS (SELECT side, id, text, unnest(raw) AS t, generate_subscripts(raw, 1) AS i FROM raw),
+bare AS (SELECT side, id, text, i, t, {_BARE_SQL} AS b FROM tok),
+typed AS (SELECT side, id, text, i, lower(b) AS v, {_TYPE_SQL} AS ty FROM bare),
+win AS (SELECT side, id, text, i, list(ty) OVER w AS types, list(v) OVER w AS vals FROM typed
+        WINDOW w AS (PARTITION BY side, id, text ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+full_win AS (SELECT * FROM win WHERE len(types) = 5),
+items AS (SELECT *, count(*) OVER (PARTITION BY id, text) AS n_windows FROM full_win WHERE side = 'b'),
+met AS (SELECT d.id AS doc_id, d.text, b.id AS item_id, b.text AS item_text, b.n_windows, d.i - b.i AS offs, b.i AS place, b.types, b.vals AS theirs, d.vals AS ours
+        FROM full_win d JOIN items b ON d.side = 'd' AND d.types = b.types),
+slot AS (SELECT doc_id, text, item_id, item_text, offs, unnest(types) AS ty, unnest(theirs) AS their, unnest(ours) AS our FROM met),
+slots AS (SELECT doc_id, text, item_id, item_text, offs, count(DISTINCT (ty, their)) AS a, count(DISTINCT (ty, our)) AS b,
+            count(DISTINCT (ty, their, our)) AS n, count(DISTINCT (ty, their, our)) FILTER (WHERE their <> our) AS changed
+          FROM slot WHERE ty LIKE '<%' GROUP BY ALL),
+aligned AS (SELECT m.doc_id, m.text, m.item_id, m.item_text, m.offs, m.n_windows, list(DISTINCT m.place) AS places, coalesce(any_value(s.n), 0) AS n,
+              coalesce(any_value(s.changed), 0) AS changed
+            FROM met m LEFT JOIN slots s ON m.doc_id = s.doc_id AND m.text = s.text AND m.item_id = s.item_id AND m.item_text = s.item_text AND m.offs = s.offs
+            WHERE s.n IS NULL OR (s.a = s.n AND s.b = s.n) GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, CAST(len(list_distinct(flatten(list(places)))) AS BIGINT) AS n_matched,
+       CAST(sum(n) AS BIGINT) AS n_slots, CAST(sum(changed) AS BIGINT) AS n_changed
+FROM aligned GROUP BY doc_id, text, item_id, item_text, n_windows HAVING n_matched >= n_windows * 0.8 - 1e-9
+"""
 
 
 @registered
