@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from goldweave.llm.common import slices, texts_of
 
 #: Text bytes after which a block of documents ends (a longer document is a block of its own).
-BLOCK_BYTES = 32 << 20
-#: Rows of the word table that are encoded together.
-_TOGETHER = 50_000
+BLOCK_BYTES = 8 << 20
+#: Parts of the distinct-word table. Each is encoded in one task, which holds that part's words at most.
+BUCKETS = 1024
 
 
 def default_vocabulary() -> str:
@@ -55,101 +56,120 @@ def _unpack(data: bytes) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
     """Blocks of consecutive documents: a number made from place and content, the ids, the texts."""
     ordinal = 0
+
+    def closed(ids: list, texts: list[bytes]) -> tuple[int, list, list[bytes]]:
+        content = xxhash.xxh64(b"%d/%d" % (part, ordinal))
+        for i, t in zip(ids, texts):
+            content.update(b"%d:%d:" % (-1 if i is None else i, len(t)))
+            content.update(t)
+        return content.intdigest() - (1 << 63), ids, texts
+
     for batch in batches:
         part = batch.column("part")[0].as_py() if batch.num_rows else 0
-        ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch, "text")
-        start = 0
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) <= BLOCK_BYTES):
-                size += len(texts[end])
-                end += 1
-            content = xxhash.xxh64()
-            for i, t in zip(ids[start:end], texts[start:end]):
-                content.update(b"%d:%d:" % (-1 if i is None else i, len(t)))
-                content.update(t)
-            content.update(b"%d/%d" % (part, ordinal))
-            yield content.intdigest() - (1 << 63), ids[start:end], texts[start:end]
+        ids, texts, size = [], [], 0
+        for k in range(0, batch.num_rows, 256):  # a few texts at a time leave Arrow's buffers
+            some = batch.slice(k, 256)
+            for i, t in zip(some.column("doc_id").to_pylist(), texts_of(some, "text")):
+                if texts and size + len(t) > BLOCK_BYTES:
+                    yield closed(ids, texts)
+                    ids, texts, size = [], [], 0
+                    ordinal += 1
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+        if texts:
+            yield closed(ids, texts)
             ordinal += 1
-            start = end
 
 
-def _positions(texts: list[bytes], places: dict[bytes, int]) -> Iterator[np.ndarray]:
-    """Per text the numbers of its words; a new word gets the next number."""
+def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a block, frequent ones first, the word numbers of its texts in order, words per text."""
+    places: dict[bytes, int] = {}
+    found, lengths = [np.empty(0, np.int32)], []
     for text in texts:
-        found = [np.empty(0, np.int64)]
+        n = 0
         for piece in slices(text):
-            found.append(np.array([places.setdefault(w, len(places)) for w in piece.split()], np.int64))
-        yield np.concatenate(found)
+            words = piece.split()
+            found.append(np.array([places.setdefault(w, len(places)) for w in words], np.int32))
+            n += len(words)
+        lengths.append(n)
+    numbers = np.concatenate(found)
+    order = np.argsort(-np.bincount(numbers, minlength=len(places)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    words = list(places)
+    return [words[i] for i in order.tolist()], rank[numbers], np.array(lengths, np.int64)
+
+
+def _dealt_order(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a block's words stand in the table, by bucket and word, and the bucket of each in that order."""
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int32)
+    bucket = np.array([zlib.crc32(words[i]) % BUCKETS for i in order.tolist()], np.int32)
+    by_bucket = np.argsort(bucket, kind="stable")
+    return order[by_bucket], bucket[by_bucket]
 
 
 def _words_of_blocks(docs: DataFrame) -> DataFrame:
-    """``word, block, place``: every distinct word of every block with its number in the block."""
+    """``bucket, block, words``: the distinct words of every block, dealt into buckets by a hash of the word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for block, _, texts in _blocks(batches):
-            places: dict[bytes, int] = {}
-            for _ in _positions(texts, places):
-                pass
-            words = list(places)
-            for k in range(0, len(words), _TOGETHER):
-                some = words[k:k + _TOGETHER]
+            words = _numbered(texts)[0]
+            order, bucket = _dealt_order(words)
+            rows = np.split(order, np.flatnonzero(np.diff(bucket)) + 1) if len(words) else []
+            if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.binary()).cast(pa.string()), pa.array(np.full(len(some), block, np.int64)),
-                     pa.array(np.arange(k, k + len(some), dtype=np.int32))], names=["word", "block", "place"])
+                    [pa.array(np.unique(bucket)), pa.array(np.full(len(rows), block, np.int64)),
+                     pa.array([pack(b" ".join([words[i] for i in r.tolist()])) for r in rows], pa.binary())],
+                    names=["bucket", "block", "words"])
 
-    return docs.mapInArrow(run, "word string, block long, place int")
+    return docs.mapInArrow(run, "bucket int, block long, words binary")
 
 
 def _documents_of_blocks(docs: DataFrame) -> DataFrame:
-    """``block, kind, docs, payload``: per block its ids and, packed, the word numbers of its documents in order."""
+    """``block, bucket, head, payload``: per block its ids, and packed its words' order and the word numbers of its
+    documents. The bucket is one past the last, so the row comes after those of the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in _blocks(batches):
-            places: dict[bytes, int] = {}
-            rows = list(_positions(texts, places))
+            words, numbers, lengths = _numbered(texts)
             known = np.array([i is not None for i in ids], bool)
-            numbers = np.array([i or 0 for i in ids], np.int64)
-            head = known.tobytes() + numbers.tobytes() + np.array([len(r) for r in rows], np.int64).tobytes()
-            payload = _pack(np.concatenate(rows)) if sum(map(len, rows)) else b""
+            head = known.tobytes() + np.array([i or 0 for i in ids], np.int64).tobytes() + lengths.tobytes()
+            order = _pack(_dealt_order(words)[0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([head], pa.binary()),
-                 pa.array([payload], pa.binary())], names=["block", "kind", "head", "payload"])
+                [pa.array([block], pa.int64()), pa.array([BUCKETS], pa.int32()), pa.array([head], pa.binary()),
+                 pa.array([len(order).to_bytes(8, "little") + order + _pack(numbers)], pa.binary())],
+                names=["block", "bucket", "head", "payload"])
 
-    return docs.mapInArrow(run, "block long, kind int, head binary, payload binary")
+    return docs.mapInArrow(run, "block long, bucket int, head binary, payload binary")
 
 
 def _encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """``block, kind, head, payload``: the ids of words, encoded once each, packed by block.
+    """``block, bucket, head, payload``: the numbers of ids and the ids of the words of every block and bucket, packed.
 
-    The rows of a word meet in one task, sorted; the first is encoded and the others take its ids.
-    A word has one row per block, so even the most frequent one is a few rows a task streams over.
+    All rows of a bucket meet in one task, one after another. A word is encoded at its first block and
+    found in the table at the others; the task holds the table of one bucket at a time.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(vocabulary)
-        last, last_ids = None, None
+        tok, unpack = _tokenizer(vocabulary), zstandard.ZstdDecompressor().decompress
+        bucket, table = None, {}
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            coded = iter([e.ids for e in tok.encode_batch(fresh, add_special_tokens=False)])
-            ids = []
-            for w in words:
-                if w != last:
-                    last, last_ids = w, next(coded)
-                ids.append(last_ids)
-            block = batch.column("block").to_numpy(zero_copy_only=False)
-            place = batch.column("place").to_numpy(zero_copy_only=False).astype(np.int64)
-            lengths = np.array([len(x) for x in ids], np.int64)
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            for rows in np.split(order, cuts) if len(order) else []:
-                flat = np.array([x for i in rows for x in ids[i]], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block[rows[0]]], pa.int64()), pa.array([0], pa.int32()),
-                     pa.array([_pack(np.concatenate([place[rows], lengths[rows]]))], pa.binary()),
-                     pa.array([_pack(flat) if len(flat) else b""], pa.binary())],
-                    names=["block", "kind", "head", "payload"])
-
-    dealt = words.repartition("word").sortWithinPartitions("word", "block")
-    return dealt.mapInArrow(run, "block long, kind int, head binary, payload binary")
+            for k in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                some = batch.slice(k, 256)
+                for b, block, said in zip(*(some.column(c).to_pylist() for c in ("bucket", "block", "words"))):
+                    if b != bucket:
+                        bucket, table = b, {}
+                    own = unpack(said).split(b" ")
+                    fresh = [w for w in own if w not in table]
+                    coded = tok.encode_batch([w.decode() for w in fresh], add_special_tokens=False) if fresh else []
+                    table.update((w, tuple(e.ids)) for w, e in zip(fresh, coded))
+                    ids = [table[w] for w in own]
+                    out.append((block, b, _pack(np.array([len(x) for x in ids])), _pack(np.array([i for x in ids for i in x]))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
+                    pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "head", "payload"])
+
+    dealt = words.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block long, bucket int, head binary, payload binary")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, id_column: str = "doc_id", text_column: str = "text",
@@ -157,9 +177,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_column: str = "doc
     """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` per row, as the tokenizer encodes the whole text.
 
     Texts are split into words at ASCII white space, which no token of this vocabulary crosses.
-    The distinct words of each block of documents go to one task per word, where each distinct word
-    of the corpus is encoded once; its ids go back to the blocks, and the word numbers kept for
-    each document put them in position. Decoding looks every id up in the id-to-piece table (as
+    The distinct words of every block of documents go to the distinct-word table, which is dealt into
+    buckets by a hash of the word; there each distinct word of the corpus is encoded once. Its ids go
+    back to the blocks that hold it, and the word numbers kept for each document put them in position. Decoding looks every id up in the id-to-piece table (as
     large as the vocabulary) and joins the pieces with spaces, as the tokenizer does without a decoder.
 
     ``docs`` is read twice and must give equal rows in equal partitions both times, as a file scan
@@ -171,46 +191,43 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_column: str = "doc
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"),
                       F.spark_partition_id().alias("part"))
     both = _encoded_words(_words_of_blocks(own), path).unionByName(_documents_of_blocks(own))
-    dealt = both.repartition("block").sortWithinPartitions("block", "kind")
+    dealt = both.repartition("block").sortWithinPartitions("block", "bucket")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         block, words = None, []
         for batch in batches:
-            for b, kind, head, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "head", "payload"))):
-                if b != block:
-                    block, words = b, []
-                if kind == 0:
-                    words.append((_unpack(head), _unpack(payload) if payload else np.empty(0, np.int64)))
-                else:
-                    yield from _assembled(words, head, payload, pieces, with_ids)
-                    block, words = None, []
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                for b, bucket, head, payload in zip(*(some.column(c).to_pylist() for c in ("block", "bucket", "head", "payload"))):
+                    if b != block:
+                        block, words = b, []
+                    if bucket < BUCKETS:
+                        words.append((_unpack(head), _unpack(payload)))
+                    else:
+                        yield from _assembled(words, head, payload, pieces, with_ids)
+                        block, words = None, []
 
     return dealt.mapInArrow(run, schema)
 
 
 def _assembled(words: list[tuple[np.ndarray, np.ndarray]], head: bytes, payload: bytes, pieces: list[bytes],
                with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """The documents of one block from its words' ids and its documents' word numbers."""
-    places = np.concatenate([h[:len(h) // 2] for h, _ in words]) if words else np.empty(0, np.int64)
-    counts = np.concatenate([h[len(h) // 2:] for h, _ in words]) if words else np.empty(0, np.int64)
-    flat = np.concatenate([f for _, f in words]) if words else np.empty(0, np.int64)
-    begin = np.cumsum(counts) - counts
-    order = np.argsort(places)
-    if not np.array_equal(places[order], np.arange(len(places))):
-        raise RuntimeError("the documents differed between two reads; write them before encoding")
-    begin, counts = begin[order], counts[order]
-    texts = [b" ".join([pieces[i] for i in flat[s:s + n].tolist()]) for s, n in zip(begin.tolist(), counts.tolist())]
-    silent = bool((counts == 0).any())
-
-    n_docs = len(head) // 17
+    """The documents of one block from its words' ids, in the order of the table, and its documents' word numbers."""
+    n_docs, cut = len(head) // 17, 8 + int.from_bytes(payload[:8], "little")
     known = np.frombuffer(head[:n_docs], bool)
     numbers = np.frombuffer(head[n_docs:9 * n_docs], np.int64)
     lengths = np.frombuffer(head[9 * n_docs:], np.int64)
-    row = _unpack(payload) if payload else np.empty(0, np.int64)
-    if len(row) and row.max() >= len(counts):
+    order, row = _unpack(payload[8:cut]), _unpack(payload[cut:])
+    met = np.concatenate([n for n, _ in words]) if words else np.empty(0, np.int64)
+    flat = np.concatenate([f for _, f in words]) if words else np.empty(0, np.int64)
+    if len(met) != len(order):
         raise RuntimeError("the documents differed between two reads; write them before encoding")
+    counts, begin = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    counts[order], begin[order] = met, np.cumsum(met) - met
+    texts = [b" ".join([pieces[i] for i in flat[s:s + n].tolist()]) for s, n in zip(begin.tolist(), counts.tolist())]
+    silent = bool((counts == 0).any())
     out: dict[str, list] = {c: [] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")}
     at, held = 0, 0
     for d in range(n_docs):
@@ -245,20 +262,18 @@ def _batch(out: dict[str, list], with_ids: bool) -> pa.RecordBatch:
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
-    """``doc_id, text`` per row: every id looked up in the id-to-piece table, the pieces joined by spaces.
+    """``doc_id, text`` per row: every id joined with the id-to-piece table, the pieces in order, joined by spaces.
 
-    The table goes to the tasks whole; it has one entry per vocabulary id. An empty or null list
+    The table has one row per vocabulary entry, which bounds its broadcast. An empty or null list
     gives an empty text; a null inside a list is left out. Repeated rows stay.
     """
-    path = vocabulary or default_vocabulary()
-    pieces = _pieces(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = [b" ".join([pieces[i] for i in (ids or []) if i is not None])
-                    for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(said, pa.binary()).cast(pa.string())],
-                                             names=["doc_id", "text"])
-
-    own = encoded.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).cast("array<int>").alias("ids"))
-    return own.mapInArrow(run, "doc_id long, text string")
+    spark = encoded.sparkSession
+    table = spark.createDataFrame([(i, p.decode()) for i, p in enumerate(_pieces(vocabulary or default_vocabulary()))],
+                                  "id int, piece string")
+    own = encoded.select(F.col(id_column).cast("long").alias("doc_id"),
+                         F.coalesce(F.col(ids_column).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+    own = own.withColumn("key", F.xxhash64("ids"))
+    said = (own.select("key", "ids").dropDuplicates(["key"]).select("key", F.posexplode("ids").alias("at", "id"))
+            .join(F.broadcast(table), "id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("said")))
+    text = F.coalesce(F.array_join(F.transform("said", lambda p: p["piece"]), " "), F.lit(""))
+    return own.join(said, "key", "left").select("doc_id", text.alias("text"))
