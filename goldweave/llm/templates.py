@@ -21,6 +21,8 @@ UNIT_WORDS = ("mm cm km kg mg ml lb lbs oz mph kmh kwh metre metres meter meters
 #: A word or number, with the end of the sentence or line before it if there is one.
 _TOKEN = r"""(?:[.!?:\n]["')\]]{0,2}\s{0,4}|^\s*+)?[\p{L}\p{N}]++(?:[.,][0-9]++)*+"""
 _EDGE = " \t\r\n.!?:\"')]"
+#: Before the type of a capitalised word that starts a sentence, a line or the text: a name, or a word as any other.
+_OPENS = "^"
 #: Benchmark windows up to which the window table is broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -30,55 +32,67 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
-def _bare(token: Column) -> Column:
-    return F.when(F.substring(token, 1, 1) < "0", F.ltrim(token, F.lit(_EDGE))).otherwise(token)
+def _after_edge(token: Column) -> Column:
+    return (token < "A") & ((token < "0") | (token >= ":"))
 
 
 def slot_value(token: Column) -> Column:
     """The word itself, in lower case."""
-    return F.lower(_bare(token))
+    return F.lower(F.when(_after_edge(token), F.ltrim(token, F.lit(_EDGE))).otherwise(token))
 
 
-def canonical(token: Column) -> Column:
-    """``<num>``, ``<unit>`` or ``<name>`` for a number, unit or name; else the word in lower case.
+def canonical(token: Column, low: Column, place: Column) -> Column:
+    """``<num>``, ``<unit>`` or ``<name>`` for a number, unit or name; else ``low``, the word in lower case.
 
-    A name is a capitalised word that does not start a sentence, a line or the text.
+    A name is a capitalised word that does not start a sentence, a line or the text. One that does may be a
+    name or not, and is the word in lower case behind a ``^``.
     """
-    low, first = slot_value(token), F.substring(_bare(token), 1, 1)
+    capital = ~token.endswith(low) & token.endswith(F.substring(low, 2, 1 << 30)) & (F.length(low) > 1)
     return (F.when(low.isin(UNIT_WORDS), "<unit>")
-            .when(first.between("0", "9") | low.isin(NUMBER_WORDS), "<num>")
-            .when((token != low) & (F.substring(token, 2, 1 << 30) == F.substring(low, 2, 1 << 30))
-                  & (F.length(token) > 1), "<name>")
+            .when(((low < ":") & (low >= "0")) | low.isin(NUMBER_WORDS), "<num>")
+            .when(capital, F.when((place == 0) | _after_edge(token), F.concat(F.lit(_OPENS), low)).otherwise("<name>"))
             .otherwise(low))
 
 
-def _windows(types: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` tokens, in order."""
-    one = F.transform(types, lambda t: F.xxhash64(t))
-    n = F.size(types)
-    span = one
-    for k in range(1, width):  # the k-th neighbours join the running hash
-        span = F.zip_with(span, F.slice(one, k + 1, F.greatest(n - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.slice(span, 1, F.greatest(n - (width - 1), F.lit(0)))
+def _read(kind: Column, as_name: Column | bool) -> Column:
+    """A type; if it is open, as a name or as a word."""
+    return F.when(kind.startswith(_OPENS), F.when(F.lit(as_name), "<name>").otherwise(F.substring(kind, 2, 1 << 30))).otherwise(kind)
+
+
+#: How texts are read: all open types as words, or all as names. What an item starts with may stand inside a
+#: sentence of the document, so an item is read both ways there.
+_TEXT_READINGS = ((False, False), (True, True))
+_ITEM_READINGS = ((False, False), (True, True), (True, False), (False, True))
+
+
+def _windows(hashes: str, width: int, *more: str) -> Column:
+    """All runs of ``width`` tokens, in order: the hash of each, or a struct with it and the runs of other columns."""
+    def run(_, i: Column) -> Column:
+        key = F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
+        return F.struct(key.alias("hash"), *[F.array(*[F.get(m, i + k) for k in range(width)]).alias(m) for m in more]) if more else key
+    return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - (width - 1), F.lit(0))), run)
 
 
 def _typed(table: DataFrame, text: str) -> DataFrame:
-    return table.withColumn("raw", tokens(F.col(text))).withColumn("types", F.transform("raw", canonical))
+    """Adds ``raw``, ``values`` and ``types`` of the tokens; types may be open."""
+    own = table.withColumn("raw", tokens(F.col(text))).withColumn("values", F.transform("raw", slot_value))
+    return own.withColumn("types", F.transform("values", lambda low, i: canonical(F.get("raw", i), low, i)))
 
 
-def _places(table: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """One row per template window: ``place``, ``hash`` and its tokens' types and values."""
-    values = F.transform("raw", slot_value)
-    parts = table.withColumn("_values", values).withColumn("_hashes", _windows(F.col("types"), width))
-    return parts.select(*keep, "types", "_values", F.posexplode("_hashes").alias("place", "hash")).select(
-        *keep, "place", "hash", F.slice("types", F.col("place") + 1, width).alias("types"),
-        F.slice("_values", F.col("place") + 1, width).alias("values"))
+def _places(table: DataFrame, keep: list[str], width: int, readings: tuple) -> DataFrame:
+    """One row per template window and way to read it: ``place``, ``hash`` and its tokens' types and values."""
+    read = F.explode(F.array(*[F.transform("types", lambda t, i: _read(t, F.when(i == 0, r[0]).otherwise(r[1])))
+                               for r in readings]))
+    parts = table.withColumn("types", read).withColumn("_hashes", F.transform("types", lambda t: F.xxhash64(t)))
+    return parts.select(*keep, F.posexplode(_windows("_hashes", width, "types", "values")).alias("place", "w")).select(
+        *keep, "place", "w.*")
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
     """``item, item_id, width, n_windows, place, hash, types, values``: the template windows of every item.
 
     An item of fewer tokens than ``width`` is one window of its own length; one without tokens has none.
+    A window with a capitalised word that starts a sentence or the item has a row for each way to read it.
     """
     own = benchmark.select(F.col(id_column).alias("item_id"), text_or_empty(text_column).alias("text")).distinct()
     typed = _typed(own, "text").withColumn("item", F.xxhash64("item_id", "text")).filter(F.size("raw") > 0)
@@ -86,9 +100,9 @@ def benchmark_windows(benchmark: DataFrame, width: int, id_column: str, text_col
     for w in range(1, width + 1):
         fits = typed.filter(F.size("raw") == w if w < width else F.size("raw") >= w).withColumns(
             {"width": F.lit(w), "n_windows": (F.size("raw") - (w - 1)).cast("long")})
-        part = _places(fits, ["item", "item_id", "width", "n_windows"], w)
+        part = _places(fits, ["item", "item_id", "width", "n_windows"], w, _ITEM_READINGS)
         parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return parts.distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.8,
@@ -99,7 +113,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
     Numbers, names and units become typed placeholders, so an item whose values were replaced
     still gives the same windows of ``width`` tokens. Windows of documents and items join by hash. The
     matched windows of a text and an item that lie at one offset form an alignment; its slots are
-    consistent if each item value stands for one document value and the reverse. A text is
+    consistent if each item value stands for one document value and the reverse. A capitalised word that starts
+    a sentence, a line or the text matches the same word and other names. A text is
     contaminated by an item if consistent alignments cover at least ``coverage`` of the item's windows.
     ``n_slots`` counts the distinct placeholder values met there, ``n_changed`` those with another value.
 
@@ -112,11 +127,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
              .withColumn("text_hash", F.xxhash64("text")))
 
     # Hashes alone, over all rows; the items' side is broadcast while it is small.
-    typed = _typed(keyed, "text").select("doc_id", "text_hash", "types")
+    typed = _typed(keyed, "text").select("doc_id", "text_hash", *[
+        F.transform("types", lambda t: F.xxhash64(_read(t, r[1]))).alias(f"read{n}") for n, r in enumerate(_TEXT_READINGS)])
     hashed = None
     for w in widths or [width]:  # usually one; the second and later are for items shorter than a window
         part = typed.select("doc_id", "text_hash", F.lit(w).alias("width"),
-                            F.explode(_windows(F.col("types"), w)).alias("hash"))
+                            F.explode(F.array_distinct(F.concat(
+                                *[_windows(f"read{n}", w) for n in range(len(_TEXT_READINGS))]))).alias("hash"))
         hashed = part if hashed is None else hashed.unionByName(part)
     known = items.select("width", "hash", "item", "n_windows", "place")
     known = F.broadcast(known) if seen["rows"] <= broadcast_windows else known
@@ -132,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
     again = _typed(again, "text")
     theirs = None
     for w in widths or [width]:
-        part = _places(again, ["doc_id", "text_hash"], w).withColumn("width", F.lit(w))
+        part = _places(again, ["doc_id", "text_hash"], w, _TEXT_READINGS).withColumn("width", F.lit(w))
         theirs = part if theirs is None else theirs.unionByName(part)
     mine = items.select("item", "item_id", "width", "n_windows", F.col("place").alias("item_place"), "hash",
                         F.col("values").alias("item_values"))
@@ -143,7 +160,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
     pairs = F.filter(F.arrays_zip(F.col("types").alias("type"), F.col("item_values").alias("theirs"),
                                   F.col("values").alias("ours")), lambda s: s["type"].startswith("<"))
     key = ["doc_id", "text_hash", "item", "item_id", "n_windows"]
-    aligned = (met.withColumn("slots", pairs).groupBy(*key, (F.col("place") - F.col("item_place")).alias("offset"))
+    # Of the ways to read a window that match, the one with the fewest placeholders counts.
+    once = met.withColumn("slots", pairs).groupBy(*key, "item_place", "place").agg(
+        F.min(F.struct(F.size("slots").alias("n"), "slots"))["slots"].alias("slots"))
+    aligned = (once.groupBy(*key, (F.col("place") - F.col("item_place")).alias("offset"))
                .agg(F.collect_set("item_place").alias("places"),
                     F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
     from_item = F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s["theirs"])))

@@ -264,6 +264,23 @@ def test_templates_find_all_verbatim_items(spark):
     assert got == expected and len(got) > 10
 
 
+def test_templates_find_short_items_wherever_they_stand(spark):
+    words = "What is the capital of France today then".split()
+    items = [(n, " ".join(words[:n]) + "?") for n in range(1, 9)] + [(9, "Tom has apples.")]
+    docs, expected = [], set()
+    for n, text in items:
+        for k, before in enumerate(["", "and so on\n", "It ends. ", "Is it so? ", "Question: ", "he asked \""]):
+            docs.append((10 * n + k, f"{before}{text} xx"))
+            expected.add((10 * n + k, n))
+    docs.append((100, "it was so.\nJohn has apples. xx"))
+    found = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                   spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r for r in found}
+    assert expected | {(100, 9)} <= set(got)
+    assert all(got[pair].n_matched == got[pair].n_windows for pair in expected)
+    assert got[(100, 9)].n_changed == 1
+
+
 def test_templates_on_odd_rows(odd, spark):
     items = spark.createDataFrame([(1, "word word word word word word"), (2, "x" * 500)], "item_id long, text string")
     assert {r.doc_id for r in templates.contaminated(odd, items).collect()} == {10}
