@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.llm.common import text_or_empty
@@ -105,6 +105,26 @@ def benchmark_windows(benchmark: DataFrame, width: int, id_column: str, text_col
     return parts.distinct()
 
 
+def _agreeing(windows: DataFrame, line: list[str], place: str) -> DataFrame:
+    """The windows of each alignment ``line`` whose slots agree with its mapping, or all have equal values.
+
+    An item value maps to the document value that most windows give it (ties: the equal one, then the last by
+    order), and a document name stands for one item name, chosen alike. Windows without slots agree.
+    """
+    def best(value: str) -> Column:
+        return F.struct("votes", "same", value)
+
+    slots = windows.select("*", F.explode_outer("slots").alias("_slot")).select(
+        *line, place, "slots", "_slot.*", F.coalesce(F.col("_slot.theirs") == F.col("_slot.ours"), F.lit(True)).alias("same"))
+    by_item, by_text = Window.partitionBy(*line, "type", "theirs"), Window.partitionBy(*line, "type", "ours")
+    voted = slots.withColumn("votes", F.count(F.lit(1)).over(Window.partitionBy(*line, "type", "theirs", "ours")))
+    fits = voted.withColumn("fits", F.col("ours").eqNullSafe(F.max(best("ours")).over(by_item)["ours"]))
+    back = F.max(F.when(F.col("fits"), best("theirs"))).over(by_text)["theirs"]
+    fits = fits.withColumn("fits", F.col("fits") & (~F.col("type").eqNullSafe("<name>") | F.col("theirs").eqNullSafe(back)))
+    return (fits.groupBy(*line, place).agg(F.first("slots").alias("slots"), F.bool_and("fits").alias("fits"), F.bool_and("same").alias("same"))
+            .filter("fits or same").drop("fits", "same"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.8,
                  id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
                  item_text_column: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -112,10 +132,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
 
     Numbers, names and units become typed placeholders, so an item whose values were replaced
     still gives the same windows of ``width`` tokens. Windows of documents and items join by hash. The
-    matched windows of a text and an item that lie at one offset form an alignment; its slots are
-    consistent if each item value stands for one document value and the reverse. A capitalised word that starts
-    a sentence, a line or the text matches the same word and other names. A text is
-    contaminated by an item if consistent alignments cover at least ``coverage`` of the item's windows.
+    matched windows of a text and an item that lie at one offset form an alignment. It maps each item value to
+    the document value that most of its windows give, and no two names to one; windows that agree with that or
+    have equal values in all slots stay. A capitalised word that starts a sentence, a line or the text matches
+    the same word and other names. A text is contaminated by an item if the windows that stay cover at least
+    ``coverage`` of the item's windows.
     ``n_slots`` counts the distinct placeholder values met there, ``n_changed`` those with another value.
 
     A null or empty text or item matches nothing; null ids stay null. Rows of equal id and text count
@@ -163,14 +184,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
     # Of the ways to read a window that match, the one with the fewest placeholders counts.
     once = met.withColumn("slots", pairs).groupBy(*key, "item_place", "place").agg(
         F.min(F.struct(F.size("slots").alias("n"), "slots"))["slots"].alias("slots"))
-    aligned = (once.groupBy(*key, (F.col("place") - F.col("item_place")).alias("offset"))
-               .agg(F.collect_set("item_place").alias("places"),
-                    F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
-    from_item = F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s["theirs"])))
-    to_document = F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s["ours"])))
-    consistent = aligned.filter((F.size(from_item) == F.size("slots")) & (F.size(to_document) == F.size("slots")))
+    once = once.withColumn("offset", F.col("place") - F.col("item_place"))
+    line = [*key, "offset"]
+    kept = _agreeing(once, line, "item_place")
+    aligned = kept.groupBy(*line).agg(F.collect_set("item_place").alias("places"),
+                                      F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     changed = F.size(F.filter("slots", lambda s: s["theirs"] != s["ours"]))
-    return (consistent.withColumn("changed", changed).groupBy(*key)
+    return (aligned.withColumn("changed", changed).groupBy(*key)
             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
                  F.sum(F.size("slots")).cast("long").alias("n_slots"), F.sum("changed").cast("long").alias("n_changed"))
             .filter(F.col("n_matched") >= F.col("n_windows") * coverage - 1e-9)

@@ -281,6 +281,24 @@ def test_templates_find_short_items_wherever_they_stand(spark):
     assert got[(100, 9)].n_changed == 1
 
 
+def test_templates_keep_the_windows_that_agree(spark):
+    filler = "then the old grey cat sat down by the red door and saw that it was late so it went off to sleep on"
+    one, two, three = (" ".join(w + end for w in (filler + " " + filler).split()) for end in ("en", "ir", "os"))
+    items = [(1, "Here Tom has 3 apples and 5 pears in a box, so how many fruits are there?"),
+             (2, f"so we took 5 apples {one} and at last 5 pears"), (3, f"now Tom came {two} and at last Tom left"),
+             (4, f"Tom took it {three}. Tom gave it {three}."), (5, "if Tom met Ann and Ann met Sue and Sue met Tom all was well")]
+    docs = [(1, items[0][1].replace("3", "4").replace("5", "4")), (2, f"so we took 3 apples {one} and at last 7 pears"),
+            (3, f"now Tom came {two} and at last John left"), (4, items[3][1].replace("Tom", "John")),
+            (5, "if Bob met Bob and Bob met Bob and Bob met Bob all was well"),
+            (6, items[4][1].replace("Tom", "Bob").replace("Ann", "Eve").replace("Sue", "Pia"))]
+    got = {(r.doc_id, r.item_id): r for r in templates.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 5)}
+    assert got[(1, 1)].n_matched == got[(1, 1)].n_windows and got[(1, 1)].n_changed == 2
+    assert got[(4, 4)].n_matched == got[(4, 4)].n_windows and got[(4, 4)].n_changed == 1
+    assert got[(3, 3)].n_changed == 0 and got[(3, 3)].n_matched < got[(3, 3)].n_windows
+
+
 def test_templates_on_odd_rows(odd, spark):
     items = spark.createDataFrame([(1, "word word word word word word"), (2, "x" * 500)], "item_id long, text string")
     assert {r.doc_id for r in templates.contaminated(odd, items).collect()} == {10}
