@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldweave.llm import (
-    bpe_words, class_lm, html_blocks, merkle, pii_votes, quality, quotes, shards, simhash_bk, templates,
+    bpe_words, class_lm, html_blocks, merkle, pii_votes, quality, quotes, shards, simhash_bk, templates, token_groups,
+    vector_codes,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +185,50 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: base counts and digest, and all spans."""
     return pii_votes.digests(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 8 parts, 16 entries each, 6 rounds."""
+    found, book = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096.0)
+    return found.drop("label").withColumn("codebooks_sha256", F.lit(vector_codes.digest_of(book, 8)))
+
+
+def _assign_sql(n: int) -> str:
+    """Distances of all parts to the entries of round ``n``; the lowest entry of the least distance."""
+    return f"""near{n} AS MATERIALIZED (
+  SELECT vec_id, p.part, v, min(list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT * 16 + entry) AS best
+  FROM parts p JOIN book{n} b ON p.part = b.part GROUP BY vec_id, p.part, v)"""
+
+
+def _moved_sql(n: int) -> str:
+    """Entries of round ``n`` from the assignment of the round before."""
+    return f"""mean{n} AS (
+  SELECT part, entry, list(m ORDER BY place) AS c FROM (
+    SELECT part, entry, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (
+      SELECT part, best % 16 AS entry, unnest(v) AS x, unnest(range(8)) AS place FROM near{n - 1}) GROUP BY ALL) GROUP BY ALL),
+book{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{n - 1} b LEFT JOIN mean{n} m ON m.part = b.part AND m.entry = b.entry)"""
+
+
+_ROUNDS_SQL = ", ".join(f"{_assign_sql(n)}, {_moved_sql(n + 1)}" for n in range(6))
+SQL["op11_vector_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS whole FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, part, whole[part * 8 + 1:part * 8 + 8] AS v FROM kept, range(8) r(part)),
+book0 AS MATERIALIZED (
+  SELECT part, entry, v AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id)
+  WHERE entry < 16),
+{_ROUNDS_SQL},
+{_assign_sql(6)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, sum(best // 16)::BIGINT AS error FROM near6 GROUP BY vec_id),
+said AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS digest FROM book6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), said
+"""
+
+
+@registered
+def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and piece tokens of every whole text, linked by the byte ranges they share."""
+    return token_groups.align(table(spark, sf_dir, "documents"))[0]

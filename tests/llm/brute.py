@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
+import itertools
 import math
 import re
 import struct
 import zlib
 
+import public_tokenizers
+import sentencepiece
+import tokenizers
 import xxhash
 
 
@@ -82,3 +87,46 @@ def sha(text: str | bytes) -> str:
 
 def ids_digest(ids: list[int]) -> str:
     return sha(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def aligned(texts: list[str | None]) -> list[tuple]:
+    """Token counts, groups, links, links of the best count, sum of counts and digest of groups, link by link."""
+    one, two = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(
+        model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    one.encode_special_tokens = True
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*plain}))}
+    rows, docs = [], collections.Counter()
+    for text in texts:
+        a, b = (one.encode(" " + text, add_special_tokens=False).ids, two.encode(text)) if text else ([], [])
+        said_a = [bytes(letters[c] for c in one.id_to_token(i)) for i in a]
+        said_b = [bytes([int(two.id_to_piece(i)[3:5], 16)]) if two.is_byte(i) else two.id_to_piece(i).replace("\u2581", " ").encode() for i in b]
+        raw = (" " + (text or "")).encode()
+        if not text or b"".join(said_a) != raw or b"".join(said_b) != raw:
+            rows.append(None)
+            continue
+        ends_a, ends_b = (list(itertools.accumulate(map(len, s))) for s in (said_a, said_b))
+        groups, low = [], 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            groups.append(tuple([i for i, e in zip(ids, ends) if low < e <= end] for ids, ends in ((a, ends_a), (b, ends_b)))
+                          if len(raw) < 5_000 else _between(a, ends_a, b, ends_b, low, end))
+            low = end
+        links = collections.Counter()
+        for ga, gb in groups:
+            for x, n in collections.Counter(ga).items():
+                for y, m in collections.Counter(gb).items():
+                    links[x, y] += n * m
+        docs.update(links.keys())
+        rows.append((a, b, groups, links))
+    most: dict[int, int] = {}
+    for (x, _), n in docs.items():
+        most[x] = max(most.get(x, 0), n)
+    return [(0, 0, 0, 0, 0, 0, "") if r is None else
+            (len(r[0]), len(r[1]), len(r[2]), r[3].total(), sum(n for p, n in r[3].items() if docs[p] == most[p[0]]),
+             sum(docs[p] * n for p, n in r[3].items()),
+             sha(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in r[2])))
+            for r in rows]
+
+
+def _between(a, ends_a, b, ends_b, low, end):
+    return tuple(ids[bisect.bisect_right(ends, low):bisect.bisect_right(ends, end)] for ids, ends in ((a, ends_a), (b, ends_b)))
