@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from goldweave.llm import (
     bpe_words, class_lm, html_blocks, merkle, pii_votes, quality, quotes, shards, simhash_bk, templates, token_groups,
-    vector_codes,
+    vector_codes, vector_graph,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,9 @@ FROM coded JOIN kept USING (vec_id), said
 def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level and piece tokens of every whole text, linked by the byte ranges they share."""
     return token_groups.align(table(spark, sf_dir, "documents"))[0]
+
+
+@registered
+def op13_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of a label: cosine of at least 0.93, components and links."""
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)

@@ -130,3 +130,62 @@ def aligned(texts: list[str | None]) -> list[tuple]:
 
 def _between(a, ends_a, b, ends_b, low, end):
     return tuple(ids[bisect.bisect_right(ends, low):bisect.bisect_right(ends, end)] for ids, ends in ((a, ends_a), (b, ends_b)))
+
+
+def codes(rows: list[tuple], parts: int, entries: int, rounds: int) -> tuple[list[tuple], list[list[int]]]:
+    """``id, label, code, error`` of the rows with usable vectors, and the codebook, in Python integers."""
+    kept = [(i, lab, [math.floor(4096 * x) for x in v]) for i, v, lab in rows
+            if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fits = sorted(((i is None, i, v) for i, _, v in kept if v and len(v) % parts == 0), key=lambda r: (r[0], r[1] or 0, r[2]))
+    dims = len(fits[0][2]) if fits else 0
+    book = [v for _, _, v in fits if len(v) == dims][:entries]
+    width = dims // parts
+
+    def nearest(v: list[int], p: int) -> tuple[int, int]:
+        return min((sum((x - c) ** 2 for x, c in zip(v[p * width:(p + 1) * width], e[p * width:(p + 1) * width])), k) for k, e in enumerate(book))
+
+    for _ in range(rounds if book else 0):
+        new = [list(e) for e in book]
+        for p in range(parts):
+            got = collections.defaultdict(list)
+            for _, _, v in kept:
+                if len(v) == dims:
+                    got[nearest(v, p)[1]].append(v[p * width:(p + 1) * width])
+            for k, vs in got.items():
+                new[k][p * width:(p + 1) * width] = [sum(c) // len(vs) for c in zip(*vs)]
+        book = new
+    out = []
+    for i, lab, v in kept:
+        if len(v) != dims or not book:
+            out.append((i, lab, None, None))
+            continue
+        near = [nearest(v, p) for p in range(parts)]
+        error = sum(d for d, _ in near)
+        out.append((i, lab, "".join(f"{k:02x}" for _, k in near), error if error < 1 << 63 else None))
+    return out, book
+
+
+def near_vectors(rows: list[tuple], threshold: float) -> list[tuple]:
+    """``id, n_links, component_id, kept`` of rows ``id, vector, label``."""
+    usable = [v is not None and lab is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, lab in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in range(len(rows)):
+        for b in range(a):
+            (_, v, one), (_, w, two) = rows[a], rows[b]
+            if usable[a] and usable[b] and one == two and len(v) == len(w) and (
+                    v == w or sum(x * y for x, y in zip(v, w)) / (math.hypot(*v) * math.hypot(*w)) >= threshold):
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    least: dict[int, int | None] = {}
+    for a, (i, _, _) in enumerate(rows):
+        r = find(a)
+        known = [x for x in (least.get(r), i) if x is not None]
+        least[r] = min(known) if known else None
+    return [(i, links[a], least[find(a)], i == least[find(a)]) for a, (i, _, _) in enumerate(rows)]

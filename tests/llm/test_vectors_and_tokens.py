@@ -6,9 +6,9 @@ import collections
 import random
 
 import pytest
-from brute import aligned
+from brute import aligned, codes, near_vectors
 
-from goldweave.llm import token_groups
+from goldweave.llm import token_groups, vector_codes, vector_graph
 
 
 @pytest.mark.parametrize("block_bytes", [2_000, 8 << 20])
@@ -54,3 +54,86 @@ def test_fast_engine_equals_the_library():
     for start in range(0, 0x3000, 64):
         text = " ".join(f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}{chr(c)}'s" for c in range(start, start + 64))
         assert one.encode(text) == one.library.encode(text, add_special_tokens=False).ids
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, node long, size string"
+#: Nulls in any column, empty and odd lengths, zeros, non-finite components, extreme ones, repeated rows and ids.
+ODD_VECTORS = [(*r, 7, "x") for r in [
+    (5, [0.5, -0.25, 0.125, 1.0], 1), (5, [0.5, -0.25, 0.125, 1.0], 1), (1, [0.5, -0.25, 0.125, 1.0], 1), (2, [1.0, -0.5, 0.25, 2.0], 1),
+    (3, [0.5, -0.25, 0.125, 1.0], None), (4, None, 1), (6, [], 1), (7, [0.0, 0.0, 0.0, 0.0], 1), (8, [float("nan"), 0.0, 0.0, 1.0], 1),
+    (9, [None, 1.0, 1.0, 1.0], 1), (10, [float("inf"), 0.0, 1.0, 1.0], 2), (None, [0.5, -0.25, 0.125, 1.01], 1), (None, [-3.0, 1.0, 0.0, 0.1], 2),
+    (11, [0.1, 0.2, 0.3], 2), (12, [0.1, 0.2], 2), (13, [3e38, -3e38, 1.0, 1e-30], 2), (14, [-0.00001, 0.0, 1e-45, 5.0], 2), (15, [0.7, 0.7, 0.0, 0.0], 2),
+]]
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame(rows, VECTORS)
+
+
+def _as_stored(spark, rows):
+    return [(r.vec_id, r.embedding, r.label) for r in _vectors(spark, rows).collect()]
+
+
+@pytest.mark.parametrize("entries", [3, 16])
+def test_vector_codes_of_odd_rows(spark, entries):
+    got, book = vector_codes.compress(_vectors(spark, ODD_VECTORS), parts=2, entries=entries)
+    rows, expected_book = codes(_as_stored(spark, ODD_VECTORS), 2, entries, 6)
+    assert book == expected_book
+    sums = collections.defaultdict(list)
+    for _, label, _, error in rows:
+        sums[label].append(error)
+    total = {k: None if None in v or sum(v) >= 1 << 63 else sum(v) for k, v in sums.items()}
+    assert collections.Counter((r.vec_id, r.label, r.code, r.error, r.label_error) for r in got.collect()) == collections.Counter(
+        (*r, total[r[1]]) for r in rows)
+
+
+def test_vector_codes_in_small_blocks_and_of_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 3, 1, "x") for i in range(400)]
+    expected, book = codes(_as_stored(spark, rows), 4, 5, 6)
+    for size in (7, 4096):
+        monkeypatch.setattr(vector_codes, "BLOCK_ROWS", size)
+        got, mine = vector_codes.compress(_vectors(spark, rows), parts=4, entries=5)
+        assert mine == book and {(r.vec_id, r.label, r.code, r.error) for r in got.collect()} == set(expected)
+    empty, book = vector_codes.compress(_vectors(spark, []))
+    assert empty.collect() == [] and book == []
+
+
+def test_near_vectors_of_odd_rows(spark):
+    got = vector_graph.near_duplicates(_vectors(spark, ODD_VECTORS)).collect()
+    assert collections.Counter(tuple(r)[:4] for r in got) == collections.Counter(near_vectors(_as_stored(spark, ODD_VECTORS), 0.93))
+    assert vector_graph.near_duplicates(_vectors(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("shard_rows", [64, 2048])
+def test_near_vectors_across_shards(spark, shard_rows):
+    """A label with a third of all rows, a dense group larger than a shard, chains, pairs and copies."""
+    rng = random.Random(11)
+
+    def around(v, spread):
+        return [x + rng.gauss(0, spread) for x in v]
+    rows, centre = [], [rng.gauss(0, 1) for _ in range(16)]
+    rows += [around(centre, 0.08) for _ in range(150)]
+    for _ in range(40):
+        v = [rng.gauss(0, 1) for _ in range(16)]
+        rows += [v, around(v, 0.1), around(v, 0.2)]
+    rows += [[rng.gauss(0, 1) for _ in range(16)] for _ in range(500)] + [rows[160]] * 30
+    rng.shuffle(rows)
+    table = [(i, v, 0 if i % 3 else i % 5, 1, "x") for i, v in enumerate(rows)]
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(_vectors(spark, table), shard_rows=shard_rows).collect()}
+    expected = near_vectors(_as_stored(spark, table), 0.93)
+    assert all(got[i].n_links <= n for i, n, _, _ in expected)
+    assert sum(got[i].n_links for i, *_ in expected) >= 0.99 * sum(n for _, n, _, _ in expected)
+    assert sum(got[i].component_id == c and got[i].kept == k for i, _, c, k in expected) >= 0.99 * len(expected)
+
+
+def test_the_graph_reaches_all_nodes_and_keeps_its_degree():
+    rng = token_groups.np.random.default_rng(4)
+    unit = vector_graph._units(rng.normal(size=(700, 24))).astype("f4")
+    links = vector_graph.robust_graph(unit, 16)
+    assert links.shape == (700, 16) and (links.max(axis=1) >= 0).all()
+    met, front = {0}, [0]
+    while front:
+        front = [x for x in {y for f in front for y in links[f].tolist() if y >= 0} - met]
+        met |= set(front)
+    assert len(met) >= 0.99 * 700
