@@ -71,10 +71,10 @@ class ByteTokens:
             ranks = {self.spelled[i]: i for i in range(256 + len(merges))}
             self.fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.fast is None or _LONG_SPACE.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
 
 class PieceTokens:
@@ -86,25 +86,34 @@ class PieceTokens:
         self.spelled = [bytes([int(lib.id_to_piece(i)[3:5], 16)]) if lib.is_byte(i)
                         else lib.id_to_piece(i).replace("▁", " ").encode() for i in range(lib.get_piece_size())]
 
-    def encode(self, text: str) -> list[int]:
-        return self.library.encode(text)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text), np.int64)
 
 
-@functools.lru_cache(maxsize=2)
-def loaded(byte_vocabulary: str, piece_model: str) -> tuple[ByteTokens, PieceTokens]:
-    """Both tokenizers; a worker loads them once."""
-    return ByteTokens(byte_vocabulary), PieceTokens(piece_model)
+class Spelling:
+    """The bytes of all tokens of a vocabulary, end to end."""
+
+    def __init__(self, spelled: list[bytes]):
+        self.lengths = np.array([len(x) for x in spelled], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(spelled), np.uint8)
 
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """The bytes of ``ids`` in order; ``ends`` are their cumulative lengths."""
+        many = self.lengths[ids]
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends + many, many)].tobytes()
 
-def common_ends(lengths_a: list[int], lengths_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every group the number of A tokens and of B tokens up to its end.
 
-    The cumulative ends of either side key a dictionary to token indexes; the keys both hold, in order, are
-    the ends of the groups.
+    The cumulative ends of either side key a dictionary to token indexes. Ends are byte offsets, so a dictionary
+    is a table addressed by the end itself; the keys both hold, in order, are the ends of the groups.
     """
-    ends_a, ends_b = (dict(zip(accumulate(x), count(1))) for x in (lengths_a, lengths_b))
-    both = sorted(ends_a.keys() & ends_b.keys())
-    return tuple(np.fromiter(map(ends.__getitem__, both), np.int64, len(both)) for ends in (ends_a, ends_b))
+    index_a, index_b = (np.zeros(max(ends_a[-1], ends_b[-1]) + 1, np.int32) for _ in range(2))
+    index_a[ends_a], index_b[ends_b] = np.arange(1, len(ends_a) + 1), np.arange(1, len(ends_b) + 1)
+    both = np.flatnonzero((index_a > 0) & (index_b > 0))
+    return index_a[both].astype(np.int64), index_b[both].astype(np.int64)
 
 
 def _expanded(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray | None]:
@@ -128,15 +137,16 @@ def _expanded(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarr
     return np.concatenate(keys), np.concatenate(sizes)
 
 
-def _said(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray, spelled: list[str], n_a: int, n_b: int) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of both sides by group."""
+def _said(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray, spelled: np.ndarray, n_a: int, n_b: int) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids of both sides by group. ``spelled`` holds ids and separators, padded with zeros."""
     many_a, many_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
     line = np.empty(len(a) + len(b), np.int64)
     closes_a, closes_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     closes_a[stop_a - 1], closes_b[stop_b - 1] = True, True
     line[np.arange(len(a)) + np.repeat(stop_b - many_b, many_a)] = a + n_a * closes_a
     line[np.arange(len(b)) + np.repeat(stop_a, many_b)] = b + 2 * n_a + n_b * closes_b
-    return "".join(map(spelled.__getitem__, line.tolist()))[:-1]
+    letters = spelled[line].ravel()
+    return letters[letters > 0].tobytes()[:-1]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -159,7 +169,7 @@ class _Block:
         self.bytes = 0
 
     def closed(self, number: int) -> tuple:
-        """``block, heads, digests, uses, pairs, docs``."""
+        """``block, uses, pairs, docs``: ids, counts and digests of the documents and their pairs, packed; the block's pairs."""
         n, bits = len(self.keys), max(len(self.keys).bit_length(), 1)
         keys = np.concatenate([(k << bits) | d for d, k in enumerate(self.keys)])
         if self.sizes:
@@ -181,26 +191,34 @@ class _Block:
         step, begin = np.diff(pair, prepend=0), (np.cumsum(per_doc) - per_doc)[per_doc > 0]
         step[begin] = pair[begin]
         high = _pack(times >> 32) if len(times) and times.max() >= 1 << 32 else b""
-        return number, [list(r[:5]) for r in self.rows], [r[5] for r in self.rows], [_pack(per_doc), _pack(step), _pack(times & 0xFFFFFFFF), high], pairs, docs
+        known = np.array([r[0] is not None for r in self.rows], bool)
+        heads = np.array([(r[0] or 0, *r[1:5]) for r in self.rows], np.int64)
+        heads = zstandard.ZstdCompressor(level=1).compress(known.tobytes() + heads.tobytes())
+        said = "".join(r[5] or " " * 64 for r in self.rows).encode()
+        return number, [heads, said, _pack(per_doc), _pack(step), _pack(times & 0xFFFFFFFF), high], pairs, docs
 
 
-_BLOCK_SCHEMA = "block long, heads array<array<long>>, digests array<string>, uses array<binary>, pairs array<long>, docs array<long>"
+_BLOCK_SCHEMA = "block long, uses array<binary>, pairs array<long>, docs array<long>"
+
+
+@functools.lru_cache(maxsize=2)
+def loaded(byte_vocabulary: str, piece_model: str) -> tuple[ByteTokens, PieceTokens, Spelling, Spelling, np.ndarray]:
+    """Both tokenizers, their spellings, and the decimal ids of both with either separator; a worker loads them once."""
+    one, two = ByteTokens(byte_vocabulary), PieceTokens(piece_model)
+    said = [f"{i}{end}".encode() for n, ends in ((len(one.spelled), ",|"), (len(two.spelled), ",;")) for end in ends for i in range(n)]
+    return one, two, Spelling(one.spelled), Spelling(two.spelled), np.array(said).view(np.uint8).reshape(len(said), -1)
 
 
 def _aligned_blocks(docs: DataFrame, byte_vocabulary: str, piece_model: str, block_bytes: int) -> DataFrame:
     """Documents in blocks: their counts and digests, the distinct pairs of the block and how each document uses them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = loaded(byte_vocabulary, piece_model)
-        lengths_a, lengths_b = [len(x) for x in one.spelled], [len(x) for x in two.spelled]
-        n_a, n_b = len(lengths_a), len(lengths_b)
-        spelled = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
+        one, two, bytes_a, bytes_b, spelled = loaded(byte_vocabulary, piece_model)
+        n_a, n_b = len(one.spelled), len(two.spelled)
         block, number = _Block(), None
 
         def out() -> pa.RecordBatch:
-            columns = zip((pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.list_(pa.binary()),
-                           pa.list_(pa.int64()), pa.list_(pa.int64())), block.closed(number))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for t, v in columns],
-                                              names=["block", "heads", "digests", "uses", "pairs", "docs"])
+            columns = zip((pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())), block.closed(number))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for t, v in columns], names=["block", "uses", "pairs", "docs"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 64):  # a few texts at a time leave Arrow's buffers
@@ -214,19 +232,19 @@ def _aligned_blocks(docs: DataFrame, byte_vocabulary: str, piece_model: str, blo
                     block.bytes += len(text) + 64
                     line = " " + text
                     raw = line.encode()
-                    a, b = (one.encode(line), two.encode(text)) if text else ([], [])
-                    if not text or b"".join(map(one.spelled.__getitem__, a)) != raw or b"".join(map(two.spelled.__getitem__, b)) != raw:
+                    a, b = (one.encode(line), two.encode(text)) if text else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    ends_a, ends_b = np.cumsum(bytes_a.lengths[a]), np.cumsum(bytes_b.lengths[b])
+                    if not len(a) or not len(b) or bytes_a.joined(a, ends_a) != raw or bytes_b.joined(b, ends_b) != raw:
                         block.rows.append((doc, 0, 0, 0, 0, ""))
                         block.keys.append(np.empty(0, np.int64))
                         continue
-                    stop_a, stop_b = common_ends([lengths_a[i] for i in a], [lengths_b[i] for i in b])
-                    a, b = np.array(a, np.int64), np.array(b, np.int64)
+                    stop_a, stop_b = common_ends(ends_a, ends_b)
                     said = _said(a, b, stop_a, stop_b, spelled, n_a, n_b)
                     keys, sizes = _expanded(a, b, stop_a, stop_b, n_b)
                     if sizes is not None:
                         block.sizes[len(block.keys)] = sizes
                     links = int((np.diff(stop_a, prepend=0) * np.diff(stop_b, prepend=0)).sum())
-                    block.rows.append((doc, len(a), len(b), len(stop_a), links, hashlib.sha256(said.encode()).hexdigest()))
+                    block.rows.append((doc, len(a), len(b), len(stop_a), links, hashlib.sha256(said).hexdigest()))
                     block.keys.append(keys)
         if block.rows:
             yield out()
@@ -234,22 +252,23 @@ def _aligned_blocks(docs: DataFrame, byte_vocabulary: str, piece_model: str, blo
     return docs.mapInArrow(run, _BLOCK_SCHEMA)
 
 
-def _assembled(heads: list, digests: list[str], uses: list[bytes], times: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+def _assembled(uses: list[bytes], times: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
     """The documents of a block, given count and rank of its pairs in their order."""
-    per_doc, step, size = (_unpack(u) for u in uses[:3])
-    if uses[3]:
-        size = size + (_unpack(uses[3]) << 32)
-    stop = np.cumsum(per_doc)
-    first = (stop - per_doc)[per_doc > 0]
-    pair = np.cumsum(step)
-    if len(first):
-        # steps begin anew at every document
-        pair -= np.repeat(pair[first] - step[first], per_doc[per_doc > 0])
-    links, most = np.zeros(len(per_doc), np.int64), np.zeros(len(per_doc), np.int64)
+    per_doc, step, size = (_unpack(u) for u in uses[2:5])
+    if uses[5]:
+        size = size + (_unpack(uses[5]) << 32)
+    n, some = len(per_doc), per_doc > 0
+    links, most = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first = (np.cumsum(per_doc) - per_doc)[some]
     if len(first):
-        links[per_doc > 0] = np.add.reduceat(size * times[pair], first)
-        most[per_doc > 0] = np.add.reduceat(size * best[pair], first)
-    columns = [pa.array([h[k] for h in heads], pa.int64()) for k in range(5)]
+        pair = np.cumsum(step)  # steps begin anew at every document
+        pair -= np.repeat(pair[first] - step[first], per_doc[some])
+        links[some] = np.add.reduceat(size * times[pair], first)
+        most[some] = np.add.reduceat(size * best[pair], first)
+    packed = zstandard.ZstdDecompressor().decompress(uses[0])
+    heads = np.frombuffer(packed[n:], np.int64).reshape(n, 5)
+    columns = [pa.array(heads[:, 0], pa.int64(), mask=~np.frombuffer(packed[:n], bool)), *(pa.array(heads[:, k]) for k in range(1, 5))]
+    digests = [uses[1][k:k + 64].decode().strip() for k in range(0, 64 * n, 64)]
     return pa.RecordBatch.from_arrays([*columns, pa.array(most), pa.array(links), pa.array(digests, pa.string())],
                                       names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
@@ -285,26 +304,24 @@ def align(docs: DataFrame, byte_vocabulary: str | None = None, piece_model: str
     ranked = counted.withColumn("a", a).join(F.broadcast(tops), "a")
     table = ranked.select("a", (F.col("pair") % n_b).cast("int").alias("b"), "n", "top")
 
-    none = F.lit(None)
-    back = used.join(ranked, "pair").select("block", F.lit(0).alias("kind"), "pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best"),
-                                            none.cast("array<array<long>>").alias("heads"), none.cast("array<string>").alias("digests"),
-                                            none.cast("array<binary>").alias("uses"))
-    whole = blocks.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("n"),
-                          F.lit(0).cast("long").alias("best"), "heads", "digests", "uses")
-    dealt = back.unionByName(whole).repartition("block").sortWithinPartitions("block", "kind", "pair")
+    # rows of a block come together, those of its pairs first; one sorted number says both
+    back = used.join(ranked, "pair").select("block", (F.col("block") * 2).alias("place"), "pair", "n",
+                                            (F.col("n") == F.col("top")).alias("best"), F.lit(None).cast("array<binary>").alias("uses"))
+    whole = blocks.select("block", (F.col("block") * 2 + 1).alias("place"), F.lit(0).cast("long").alias("pair"),
+                          F.lit(0).cast("long").alias("n"), F.lit(False).alias("best"), "uses")
+    dealt = back.unionByName(whole).repartition("block").sortWithinPartitions("place").drop("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times: list[np.ndarray] = []
-        best: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            at = 0
-            for row in [*np.flatnonzero(batch.column("kind").to_numpy()).tolist(), batch.num_rows]:
-                for held, name in ((times, "n"), (best, "best")):
-                    held.append(batch.column(name).slice(at, row - at).to_numpy())
+            at, columns = 0, [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")]
+            for row in [*np.flatnonzero(batch.column("place").to_numpy() % 2).tolist(), batch.num_rows]:
+                held.append(tuple(c[at:row] for c in columns))
                 if row < batch.num_rows:
-                    heads, digests, uses = (batch.column(c)[row].as_py() for c in ("heads", "digests", "uses"))
-                    yield _assembled(heads, digests, uses, np.concatenate(times), np.concatenate(best))
-                    times, best = [], []
+                    pair, times, best = (np.concatenate(c) for c in zip(*held))
+                    order = np.argsort(pair)
+                    yield _assembled(batch.column("uses")[row].as_py(), times[order].astype(np.int64), best[order].astype(np.int64))
+                    held = []
                 at = row + 1
 
     schema = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
