@@ -106,35 +106,56 @@ def _list_sql(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_BARE_SQL = r"""CASE WHEN left(t, 1) < '0' THEN ltrim(t, ' .!?:"'')]' || chr(9) || chr(10) || chr(13)) ELSE t END"""
-_TYPE_SQL = f"""CASE WHEN lower(b) IN ({_list_sql(templates.UNIT_WORDS)}) THEN '<unit>'
-    WHEN left(b, 1) BETWEEN '0' AND '9' OR lower(b) IN ({_list_sql(templates.NUMBER_WORDS)}) THEN '<num>'
-    WHEN t <> lower(b) AND substring(t, 2) = substring(lower(b), 2) AND length(t) > 1 THEN '<name>' ELSE lower(b) END"""
+# A token keeps the sentence end before it; ``w`` is its type as a word, ``n`` its type where an open one is a name.
 _TOKEN_SQL = r"""(?:[.!?:\n]["'')\]]{0,2}\s{0,4}|^\s*)?[\p{L}\p{N}]+(?:[.,][0-9]+)*"""
+_EDGE_SQL = "(left(t, 1) < 'A' AND (left(t, 1) < '0' OR left(t, 1) >= ':'))"
+_CAPITAL_SQL = "(NOT ends_with(t, v) AND ends_with(t, substring(v, 2)) AND length(v) > 1)"
+_TYPE_SQL = f"""CASE WHEN v IN ({_list_sql(templates.UNIT_WORDS)}) THEN '<unit>'
+    WHEN left(v, 1) BETWEEN '0' AND '9' OR v IN ({_list_sql(templates.NUMBER_WORDS)}) THEN '<num>'
+    WHEN {_CAPITAL_SQL} AND ({{opens}}) THEN '<name>' ELSE v END"""
+_OPEN_SQL = f"i = 1 OR {_EDGE_SQL}"
+
+
+def _windows_sql(readings: str) -> str:
+    """Windows of five: the types, or the values behind '=' where all five are placeholders."""
+    return f"""SELECT side, id, text, i, types, vals, CASE WHEN len(list_filter(types, lambda x: x NOT LIKE '<%')) > 0 THEN types
+        ELSE list_transform(vals, lambda x: '=' || x) END AS key
+    FROM (SELECT side, id, text, i, list(ty) OVER w AS types, list(v) OVER w AS vals FROM ({readings})
+          WINDOW w AS (PARTITION BY side, id, text, reading ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE len(types) = 5"""
+
+
+_ITEM_READINGS_SQL = " UNION ALL ".join(
+    f"SELECT side, id, text, i, v, {k} AS reading, CASE WHEN i = 1 THEN {first} ELSE {rest} END AS ty FROM typed WHERE side = 'b'"
+    for k, (first, rest) in enumerate((("w", "w"), ("n", "n"), ("n", "w"), ("w", "n"))))
+_TEXT_READINGS_SQL = " UNION ALL ".join(
+    f"SELECT side, id, text, i, v, {k} AS reading, {c} AS ty FROM typed WHERE side = 'd'" for k, c in enumerate("wn"))
 # Every item of the table has at least five tokens, so the oracle knows windows of five only.
 SQL["op6_decontaminate"] = f"""
 WITH texts AS (SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark),
 raw AS (SELECT side, id, text, regexp_extract_all(text, '{_TOKEN_SQL}') AS raw FROM texts),
 tok AS (SELECT side, id, text, unnest(raw) AS t, generate_subscripts(raw, 1) AS i FROM raw),
-bare AS (SELECT side, id, text, i, t, {_BARE_SQL} AS b FROM tok),
-typed AS (SELECT side, id, text, i, lower(b) AS v, {_TYPE_SQL} AS ty FROM bare),
-win AS (SELECT side, id, text, i, list(ty) OVER w AS types, list(v) OVER w AS vals FROM typed
-        WINDOW w AS (PARTITION BY side, id, text ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
-full_win AS (SELECT * FROM win WHERE len(types) = 5),
-items AS (SELECT *, count(*) OVER (PARTITION BY id, text) AS n_windows FROM full_win WHERE side = 'b'),
-met AS (SELECT d.id AS doc_id, d.text, b.id AS item_id, b.text AS item_text, b.n_windows, d.i - b.i AS offs, b.i AS place, b.types, b.vals AS theirs, d.vals AS ours
-        FROM full_win d JOIN items b ON d.side = 'd' AND d.types = b.types),
-slot AS (SELECT doc_id, text, item_id, item_text, offs, unnest(types) AS ty, unnest(theirs) AS their, unnest(ours) AS our FROM met),
-slots AS (SELECT doc_id, text, item_id, item_text, offs, count(DISTINCT (ty, their)) AS a, count(DISTINCT (ty, our)) AS b,
-            count(DISTINCT (ty, their, our)) AS n, count(DISTINCT (ty, their, our)) FILTER (WHERE their <> our) AS changed
-          FROM slot WHERE ty LIKE '<%' GROUP BY ALL),
-aligned AS (SELECT m.doc_id, m.text, m.item_id, m.item_text, m.offs, m.n_windows, list(DISTINCT m.place) AS places, coalesce(any_value(s.n), 0) AS n,
-              coalesce(any_value(s.changed), 0) AS changed
-            FROM met m LEFT JOIN slots s ON m.doc_id = s.doc_id AND m.text = s.text AND m.item_id = s.item_id AND m.item_text = s.item_text AND m.offs = s.offs
-            WHERE s.n IS NULL OR (s.a = s.n AND s.b = s.n) GROUP BY ALL)
+low AS (SELECT *, lower(CASE WHEN {_EDGE_SQL} THEN ltrim(t, ' .!?:"'')]' || chr(9) || chr(10) || chr(13)) ELSE t END) AS v FROM tok),
+typed AS MATERIALIZED (SELECT side, id, text, i, v, {_TYPE_SQL.format(opens=f"NOT ({_OPEN_SQL})")} AS w, {_TYPE_SQL.format(opens="true")} AS n FROM low),
+ours AS MATERIALIZED (SELECT DISTINCT * FROM ({_windows_sql(_TEXT_READINGS_SQL)})),
+theirs AS MATERIALIZED (SELECT DISTINCT * FROM ({_windows_sql(_ITEM_READINGS_SQL)})),
+sizes AS (SELECT id, text, count(DISTINCT i) AS n_windows FROM theirs GROUP BY ALL),
+met AS (SELECT d.id AS doc_id, d.text, b.id AS item_id, b.text AS item_text, b.i AS place, d.i - b.i AS offs,
+          list_filter(list_transform(range(1, 6), lambda k: {{'type': d.types[k], 'theirs': b.vals[k], 'ours': d.vals[k]}}), lambda s: s.type LIKE '<%') AS slots
+        FROM ours d JOIN theirs b ON d.key = b.key),
+once AS MATERIALIZED (SELECT doc_id, text, item_id, item_text, offs, place, arg_min(slots, len(slots)) AS slots FROM met GROUP BY ALL),
+said AS (SELECT doc_id, text, item_id, item_text, offs, place, unnest(slots) AS s FROM once),
+voted AS (SELECT *, s.type AS type, s.theirs AS theirs, s.ours AS ours, s.theirs = s.ours AS same,
+            count(*) OVER (PARTITION BY doc_id, text, item_id, item_text, offs, s.type, s.theirs, s.ours) AS votes FROM said),
+mapped AS (SELECT *, ours = (max(row(votes, same, ours)) OVER (PARTITION BY doc_id, text, item_id, item_text, offs, type, theirs))[3] AS fits FROM voted),
+back AS (SELECT *, (max(CASE WHEN fits THEN row(votes, same, theirs) END) OVER (PARTITION BY doc_id, text, item_id, item_text, offs, type, ours))[3] AS chosen FROM mapped),
+agreed AS (SELECT doc_id, text, item_id, item_text, offs, place, bool_and(fits AND (type <> '<name>' OR theirs = chosen)) OR bool_and(same) AS stays FROM back GROUP BY ALL),
+kept AS (SELECT o.* FROM once o LEFT JOIN agreed a ON o.doc_id IS NOT DISTINCT FROM a.doc_id AND o.text = a.text AND o.item_id IS NOT DISTINCT FROM a.item_id
+           AND o.item_text = a.item_text AND o.offs = a.offs AND o.place = a.place WHERE coalesce(a.stays, true)),
+aligned AS (SELECT doc_id, text, item_id, item_text, offs, list(DISTINCT place) AS places, list_distinct(flatten(list(slots))) AS slots FROM kept GROUP BY ALL)
 SELECT doc_id, item_id, n_windows, CAST(len(list_distinct(flatten(list(places)))) AS BIGINT) AS n_matched,
-       CAST(sum(n) AS BIGINT) AS n_slots, CAST(sum(changed) AS BIGINT) AS n_changed
-FROM aligned GROUP BY doc_id, text, item_id, item_text, n_windows HAVING n_matched >= n_windows * 0.8 - 1e-9
+       CAST(sum(len(slots)) AS BIGINT) AS n_slots, CAST(sum(len(list_filter(slots, lambda s: s.theirs <> s.ours))) AS BIGINT) AS n_changed
+FROM aligned JOIN sizes z ON item_id = z.id AND item_text = z.text GROUP BY doc_id, aligned.text, item_id, item_text, n_windows
+HAVING n_matched >= n_windows * 0.8 - 1e-9
 """
 
 

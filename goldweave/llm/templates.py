@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from goldweave.llm.common import text_or_empty
@@ -65,10 +68,31 @@ _TEXT_READINGS = ((False, False), (True, True))
 _ITEM_READINGS = ((False, False), (True, True), (True, False), (False, True))
 
 
-def _windows(hashes: str, width: int, *more: str) -> Column:
-    """All runs of ``width`` tokens, in order: the hash of each, or a struct with it and the runs of other columns."""
+_KINDS = ("<num>", "<unit>", "<name>")
+
+
+@functools.lru_cache(maxsize=8)
+def _slots_only(width: int) -> list[int]:
+    """The hashes of all windows of ``width`` placeholders, computed by Spark without a job."""
+    kinds = SparkSession.active().sql("SELECT " + ", ".join(f"xxhash64('{k}')" for k in _KINDS)).first()
+    runs = ", ".join(f"xxhash64({', '.join(f'{k}L' for k in run)})" for run in itertools.product(kinds, repeat=width))
+    return SparkSession.active().sql(f"SELECT array({runs})").first()[0]
+
+
+def _windows(hashes: str, values: str, width: int, short: bool, *more: str) -> Column:
+    """All runs of ``width`` tokens, in order: the key of each, or a struct with it and the runs of other columns.
+
+    The key is the hash of the types. A run of placeholders only would agree with any other, so its key is the
+    hash of its values; so is that of a ``short`` run (an item below the width) with fewer than two words.
+    """
     def run(_, i: Column) -> Column:
-        key = F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
+        parts = [F.get(hashes, i + k) for k in range(width)]
+        key, exact = F.xxhash64(*parts), F.xxhash64(F.lit("="), *[F.get(values, i + k) for k in range(width)])
+        if short:
+            words = sum((F.when(p.isin(*[F.xxhash64(F.lit(k)) for k in _KINDS]), 0).otherwise(1) for p in parts), F.lit(0))
+            key = F.when(words >= 2, key).otherwise(exact)
+        else:
+            key = F.when(key.isin(_slots_only(width)), exact).otherwise(key)
         return F.struct(key.alias("hash"), *[F.array(*[F.get(m, i + k) for k in range(width)]).alias(m) for m in more]) if more else key
     return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - (width - 1), F.lit(0))), run)
 
@@ -79,12 +103,12 @@ def _typed(table: DataFrame, text: str) -> DataFrame:
     return own.withColumn("types", F.transform("values", lambda low, i: canonical(F.get("raw", i), low, i)))
 
 
-def _places(table: DataFrame, keep: list[str], width: int, readings: tuple) -> DataFrame:
+def _places(table: DataFrame, keep: list[str], width: int, short: bool, readings: tuple) -> DataFrame:
     """One row per template window and way to read it: ``place``, ``hash`` and its tokens' types and values."""
     read = F.explode(F.array(*[F.transform("types", lambda t, i: _read(t, F.when(i == 0, r[0]).otherwise(r[1])))
                                for r in readings]))
     parts = table.withColumn("types", read).withColumn("_hashes", F.transform("types", lambda t: F.xxhash64(t)))
-    return parts.select(*keep, F.posexplode(_windows("_hashes", width, "types", "values")).alias("place", "w")).select(
+    return parts.select(*keep, F.posexplode(_windows("_hashes", "values", width, short, "types", "values")).alias("place", "w")).select(
         *keep, "place", "w.*")
 
 
@@ -100,7 +124,7 @@ def benchmark_windows(benchmark: DataFrame, width: int, id_column: str, text_col
     for w in range(1, width + 1):
         fits = typed.filter(F.size("raw") == w if w < width else F.size("raw") >= w).withColumns(
             {"width": F.lit(w), "n_windows": (F.size("raw") - (w - 1)).cast("long")})
-        part = _places(fits, ["item", "item_id", "width", "n_windows"], w, _ITEM_READINGS)
+        part = _places(fits, ["item", "item_id", "width", "n_windows"], w, w < width, _ITEM_READINGS)
         parts = part if parts is None else parts.unionByName(part)
     return parts.distinct()
 
@@ -131,7 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
     """``doc_id, text_hash, item_id, n_windows, n_matched, n_slots, n_changed`` per contaminated text and item.
 
     Numbers, names and units become typed placeholders, so an item whose values were replaced
-    still gives the same windows of ``width`` tokens. Windows of documents and items join by hash. The
+    still gives the same windows of ``width`` tokens. A window of placeholders only, and one of a shorter item
+    with fewer than two words, has to have equal values. Windows of documents and items join by hash. The
     matched windows of a text and an item that lie at one offset form an alignment. It maps each item value to
     the document value that most of its windows give, and no two names to one; windows that agree with that or
     have equal values in all slots stay. A capitalised word that starts a sentence, a line or the text matches
@@ -148,13 +173,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
              .withColumn("text_hash", F.xxhash64("text")))
 
     # Hashes alone, over all rows; the items' side is broadcast while it is small.
-    typed = _typed(keyed, "text").select("doc_id", "text_hash", *[
+    typed = _typed(keyed, "text").select("doc_id", "text_hash", "values", *[
         F.transform("types", lambda t: F.xxhash64(_read(t, r[1]))).alias(f"read{n}") for n, r in enumerate(_TEXT_READINGS)])
     hashed = None
     for w in widths or [width]:  # usually one; the second and later are for items shorter than a window
         part = typed.select("doc_id", "text_hash", F.lit(w).alias("width"),
                             F.explode(F.array_distinct(F.concat(
-                                *[_windows(f"read{n}", w) for n in range(len(_TEXT_READINGS))]))).alias("hash"))
+                                *[_windows(f"read{n}", "values", w, w < width) for n in range(len(_TEXT_READINGS))]))).alias("hash"))
         hashed = part if hashed is None else hashed.unionByName(part)
     known = items.select("width", "hash", "item", "n_windows", "place")
     known = F.broadcast(known) if seen["rows"] <= broadcast_windows else known
@@ -170,14 +195,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
     again = _typed(again, "text")
     theirs = None
     for w in widths or [width]:
-        part = _places(again, ["doc_id", "text_hash"], w, _TEXT_READINGS).withColumn("width", F.lit(w))
+        part = _places(again, ["doc_id", "text_hash"], w, w < width, _TEXT_READINGS).withColumn("width", F.lit(w))
         theirs = part if theirs is None else theirs.unionByName(part)
     mine = items.select("item", "item_id", "width", "n_windows", F.col("place").alias("item_place"), "hash",
                         F.col("values").alias("item_values"))
-    wanted = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("item").alias("_item"))
-    met = theirs.join(mine, ["width", "hash"])
-    met = met.join(wanted, met["doc_id"].eqNullSafe(wanted["_id"]) & (met["text_hash"] == wanted["_hash"])
-                   & (met["item"] == wanted["_item"]), "left_semi")
+    # A text meets the windows of its own items only.
+    wanted = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "item").join(mine, "item")
+    met = theirs.join(wanted, theirs["doc_id"].eqNullSafe(wanted["_id"]) & (theirs["text_hash"] == wanted["_hash"])
+                      & (theirs["width"] == wanted["width"]) & (theirs["hash"] == wanted["hash"])).drop("_id", "_hash")
     pairs = F.filter(F.arrays_zip(F.col("types").alias("type"), F.col("item_values").alias("theirs"),
                                   F.col("values").alias("ours")), lambda s: s["type"].startswith("<"))
     key = ["doc_id", "text_hash", "item", "item_id", "n_windows"]

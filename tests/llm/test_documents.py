@@ -246,7 +246,7 @@ def test_templates(spark):
         (4, "Nothing of the kind."), (None, "He said the sky over the harbour was the colour of old tin, twice."),
         (5, None), (6, ""), (7, "If Tom has 3 apples and")], "doc_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in templates.contaminated(docs, items).collect()}
-    assert {k for k in found if k[1] != 2} == {(1, 1), (3, 1), (None, None)}
+    assert set(found) == {(1, 1), (3, 1), (None, None)}
     assert found[(1, 1)].n_changed == found[(1, 1)].n_slots > 3 and found[(3, 1)].n_changed == 0
     assert {(r.doc_id, r.item_id) for r in templates.contaminated(docs, items, broadcast_windows=0).collect()} == set(found)
     kept = templates.drop_contaminated(docs, items.filter("item_id = 1"))
@@ -299,6 +299,25 @@ def test_templates_keep_the_windows_that_agree(spark):
     assert got[(3, 3)].n_changed == 0 and got[(3, 3)].n_matched < got[(3, 3)].n_windows
 
 
+def test_templates_of_numbers_need_equal_values(spark):
+    items = [(1, "3 + 4"), (2, "12, 15, 18, 21, 24, 27"), (3, "what is 3 + 4"), (4, "Sum 12, 15, 18, 21, 24, 27 please")]
+    docs = [(1, "I paid 7 8 times on the road"), (2, "the numbers 31, 32, 33, 34, 35, 36 and 37 came up"), (3, "so 3 + 4 it is"),
+            (4, "as 12, 15, 18, 21, 24, 27 shows"), (5, "tell me what is 8 + 9 now"), (6, " ".join(map(str, range(900, 1500)))),
+            (7, "Sum 1, 5, 8, 2, 4, 7 please"), (8, "Sum 12, 15, 18, 21, 24, 27 please")]
+    got = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    # items 2 and 4 share their numbers, and two of the four windows of item 4 hold a word
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(3, 1), (4, 2), (8, 2), (5, 3), (8, 4)}
+
+
+def test_number_heavy_texts_cost_as_much_as_they_hold(spark):
+    """A text of n numbers meets items of numbers in the windows of equal values, not in all of them."""
+    text = " ".join(str(1000 + i) for i in range(4_000))
+    items = [(i, " ".join(str(1000 + 7 * i + k) for k in range(8))) for i in range(99)]
+    got = templates.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"),
+                                 spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.item_id, r.n_matched) for r in got} == {(i, 4) for i in range(99)}
+
+
 def test_templates_on_odd_rows(odd, spark):
     items = spark.createDataFrame([(1, "word word word word word word"), (2, "x" * 500)], "item_id long, text string")
     assert {r.doc_id for r in templates.contaminated(odd, items).collect()} == {10}
