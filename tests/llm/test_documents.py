@@ -323,5 +323,15 @@ def test_templates_on_odd_rows(odd, spark):
     assert {r.doc_id for r in templates.contaminated(odd, items).collect()} == {10}
 
 
+def test_words_go_straight_to_the_merges_with_the_same_ids(documents):
+    coder = bpe_words.Words(bpe_words.default_vocabulary())
+    assert coder.plain
+    said = {w for r in documents.collect() for w in (r.text or "").split()}
+    odd = [chr(c) + x + chr(d) for c in range(0x21, 0x7f) for d in (0x21, 0x27, 0x3c, 0x41, 0x7c, 0x7e) for x in ("", "'s", "Don't'LL", "x1y22", "<|endoftext|>", "<|")]
+    every = sorted(said) + odd + ["\x7f", "É", "é", "ǅ", "İ", "a\x1cb", "'S", "ſ"]
+    coded = coder.library.encode_batch(every, add_special_tokens=False)
+    assert coder.encode(every) == [tuple(e.ids) for e in coded]
+
+
 def test_words_are_ascii_white_space_words():
     assert words("A\x0bB C\x1cD e") == ["a", "b c\x1cd", "e"]
