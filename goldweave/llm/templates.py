@@ -97,6 +97,20 @@ def _windows(hashes: str, values: str, width: int, short: bool, *more: str) -> C
     return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - (width - 1), F.lit(0))), run)
 
 
+def _runs(hashes: str, width: int) -> Column:
+    """The hash of every run of ``width`` tokens, in order."""
+    return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - (width - 1), F.lit(0))),
+                       lambda _, i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+
+
+def _exact_runs(slots: str, values: str, width: int) -> Column:
+    """The keys of the runs of placeholders only; ``slots`` has a 1 per token that may be one. Most texts have none."""
+    full = F.lit("1" * width)
+    starts = F.filter(F.sequence(F.lit(0), F.length(slots) - width), lambda i: F.col(slots).substr(i + 1, F.lit(width)) == full)
+    keys = F.transform(starts, lambda i: F.xxhash64(F.lit("="), *[F.get(values, i + k) for k in range(width)]))
+    return F.when(F.contains(F.col(slots), full), keys).otherwise(F.array().cast("array<long>"))
+
+
 def _typed(table: DataFrame, text: str) -> DataFrame:
     """Adds ``raw``, ``values`` and ``types`` of the tokens; types may be open."""
     own = table.withColumn("raw", tokens(F.col(text))).withColumn("values", F.transform("raw", slot_value))
@@ -174,12 +188,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
 
     # Hashes alone, over all rows; the items' side is broadcast while it is small.
     typed = _typed(keyed, "text").select("doc_id", "text_hash", "values", *[
-        F.transform("types", lambda t: F.xxhash64(_read(t, r[1]))).alias(f"read{n}") for n, r in enumerate(_TEXT_READINGS)])
+        F.transform("types", lambda t: F.xxhash64(_read(t, r[1]))).alias(f"read{n}") for n, r in enumerate(_TEXT_READINGS)],
+        F.array_join(F.transform("types", lambda t: F.when(t.startswith("<") | t.startswith(_OPENS), "1").otherwise("0")), "").alias("slots"))
     hashed = None
     for w in widths or [width]:  # usually one; the second and later are for items shorter than a window
-        part = typed.select("doc_id", "text_hash", F.lit(w).alias("width"),
-                            F.explode(F.array_distinct(F.concat(
-                                *[_windows(f"read{n}", "values", w, w < width) for n in range(len(_TEXT_READINGS))]))).alias("hash"))
+        if w < width:
+            found = F.concat(*[_windows(f"read{n}", "values", w, True) for n in range(len(_TEXT_READINGS))])
+        else:
+            found = F.concat(*[_runs(f"read{n}", w) for n in range(len(_TEXT_READINGS))], _exact_runs("slots", "values", w))
+        part = typed.select("doc_id", "text_hash", F.lit(w).alias("width"), F.explode(F.array_distinct(found)).alias("hash"))
+        part = part if w < width else part.filter(~F.col("hash").isin(_slots_only(w)))
         hashed = part if hashed is None else hashed.unionByName(part)
     known = items.select("width", "hash", "item", "n_windows", "place")
     known = F.broadcast(known) if seen["rows"] <= broadcast_windows else known
