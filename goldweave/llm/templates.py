@@ -217,7 +217,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
         theirs = part if theirs is None else theirs.unionByName(part)
     mine = items.select("item", "item_id", "width", "n_windows", F.col("place").alias("item_place"), "hash",
                         F.col("values").alias("item_values"))
-    # A text meets the windows of its own items only.
+    # A text meets the windows of its own items only; those that no item has go before anything is shuffled.
+    theirs = theirs.join(mine.select("width", "hash").distinct(), ["width", "hash"], "left_semi")
     wanted = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "item").join(mine, "item")
     met = theirs.join(wanted, theirs["doc_id"].eqNullSafe(wanted["_id"]) & (theirs["text_hash"] == wanted["_hash"])
                       & (theirs["width"] == wanted["width"]) & (theirs["hash"] == wanted["hash"])).drop("_id", "_hash")
