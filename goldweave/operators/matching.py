@@ -124,7 +124,7 @@ def similar_by_weighted_fields(df: DataFrame, blocks: list[str], primary: tuple[
 def _by_one_field(tuples: DataFrame, blocks: list[str], field: str, other: str, threshold: float) -> DataFrame:
     """Pairs whose ``field`` is known to both and whose ``other`` is not: similar or equal in ``field``."""
     known = tuples.filter(F.col(field).isNotNull())
-    similar = similar_by_jaro_winkler(known, field, max(threshold, 0.4), blocks).select(
+    similar = _value_pairs(known, field, threshold, blocks).select(
         *blocks, F.col("value_a").alias(f"{field}_a"), F.col("value_b").alias(f"{field}_b"), F.col("score").alias(f"score_{field}"))
     a = known.select(*blocks, F.col(field).alias(f"{field}_a"), F.col(other).alias(f"{other}_a"))
     b = known.select(*blocks, F.col(field).alias(f"{field}_b"), F.col(other).alias(f"{other}_b"))
@@ -138,6 +138,65 @@ def _by_one_field(tuples: DataFrame, blocks: list[str], field: str, other: str,
     return differ.unionByName(equal).withColumn(f"score_{other}", F.lit(None).cast("double"))
 
 
+def _value_pairs(known: DataFrame, field: str, threshold: float, blocks: list[str]) -> DataFrame:
+    """Pairs of distinct values of a block that reach the threshold. Below what the similarity join can use, the block
+    alone is the key: then nearly all of its pairs are wanted."""
+    if threshold >= 0.4:
+        return similar_by_jaro_winkler(known, field, threshold, blocks)
+    values = known.select(*blocks, F.col(field).alias("v")).distinct()
+    a, b = (values.withColumnRenamed("v", f"value_{side}") for side in ("a", "b"))
+    pairs = a.join(b.hint("merge"), blocks).filter("value_a < value_b")
+    return pairs.withColumn("score", F.round(jaro_winkler("value_a", "value_b"), 6)).filter(F.col("score") >= threshold)
+
+
+def similar_by_fields(df: DataFrame, keys: list[str], fields: dict[str, float], threshold: float) -> DataFrame:
+    """Pairs of distinct rows that share one of several keys and whose weighted mean Jaro-Winkler reaches ``threshold``.
+
+    ``keys`` are alternatives: a column or a derivation (``soundex:last_name``, ``email_domain:email``). ``fields`` gives
+    any number of fields and their weights; the mean is over those both sides know. Returns ``matched_key``, each field
+    as ``<field>_a`` and ``<field>_b``, ``score_<field>`` and ``score``; rows are compared as the values they hold.
+
+    A pair is formed once: in the first key it shares and by the first field, from the heaviest on, that both
+    know. With weights w that add up to W from that field on, a mean of t asks for 1 − (1 − t)·W/w in the
+    field, so its different values come from the similarity join inside the key at that bound, and its equal
+    ones from an equi-join on key and value. Rows without a key or a field match nothing.
+    """
+    order = sorted(fields, key=lambda f: (-fields[f], f))
+    names = [f"_key{k}" for k in range(len(keys))]
+    blank = {f: F.nullif(F.col(f).cast("string"), F.lit("")) for f in order}
+    rows = df.select(*[key_part(k).alias(n) for k, n in zip(keys, names)], *[c.alias(f) for f, c in blank.items()]).distinct()
+    rows, _ = materialise(rows.withColumn("_node", F.monotonically_increasing_id()), "field-rows")
+    placed = rows.select("*", F.posexplode(F.array(*names)).alias("_at", "_key")).filter(F.col("_key").isNotNull())
+
+    def side(by: str, name: str) -> DataFrame:
+        return placed.filter(F.col(by).isNotNull()).select("_at", "_key", *[F.col(c).alias(f"{c}_{name}") for c in ("_node", *names, *order)])
+
+    def score_of(field: str) -> Column:
+        a, b = F.col(f"{field}_a"), F.col(f"{field}_b")
+        return F.when(a == b, 1.0).otherwise(F.round(jaro_winkler(a, b), 6))
+
+    out = None
+    for n, field in enumerate(order):
+        heaviest = sum(fields[f] for f in order[n:])
+        bound = 1 - (1 - threshold) * heaviest / fields[field]
+        a, b = side(field, "a"), side(field, "b")
+        values = _value_pairs(placed.filter(F.col(field).isNotNull()), field, bound, ["_at", "_key"]).select(
+            "_at", "_key", F.col("value_a").alias(f"{field}_a"), F.col("value_b").alias(f"{field}_b"), F.col("score").alias(f"score_{field}"))
+        differ = values.join(a, ["_at", "_key", f"{field}_a"]).join(b, ["_at", "_key", f"{field}_b"])
+        equal = (a.withColumn("_same", F.col(f"{field}_a")).join(b.withColumn("_same", F.col(f"{field}_b")).hint("merge"), ["_at", "_key", "_same"])
+                 .filter("_node_a < _node_b").drop("_same").withColumn(f"score_{field}", F.lit(1.0)))
+        met = differ.unionByName(equal)
+        for earlier in order[:n]:  # formed by an earlier field if both know one
+            met = met.filter(F.col(f"{earlier}_a").isNull() | F.col(f"{earlier}_b").isNull())
+        for k, name in enumerate(names):  # formed in an earlier key if both share one
+            met = met.filter((F.col("_at") <= k) | ~F.coalesce(F.col(f"{name}_a") == F.col(f"{name}_b"), F.lit(False)))
+        met = met.withColumns({f"score_{f}": score_of(f) for f in order if f != field})
+        out = met if out is None else out.unionByName(met)
+    label = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("_at") + 1)
+    return (out.withColumn("score", F.round(weighted_score(fields), 6)).filter(F.col("score") >= threshold)
+            .select(label.alias("matched_key"), *[f"{f}_{s}" for f in order for s in ("a", "b")], *[f"score_{f}" for f in order], "score"))
+
+
 def cascade_candidates(members: DataFrame, blocks: list[str], threshold: float, keys: dict[str, Column]) -> DataFrame:
     """Scored pairs for ``cascade``: every pair that some rule can take.
 

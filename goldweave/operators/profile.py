@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from functools import reduce
 
@@ -131,26 +132,55 @@ def orphans(df: DataFrame, parent: DataFrame, key: str, parent_key: str) -> Data
 
 #: Accuracy of the sketches: a rank is known to one part in this many.
 _ACCURACY = 100_000
+#: Values between all brackets that may be fetched; where there are more, each rank is bracketed again.
+_FETCHED = 100_000
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float | None]:
-    """Exact interpolated quantiles without sorting the column or gathering it in one buffer.
+    """Exact interpolated quantiles in three scans, without sorting the column or gathering it in one buffer.
 
-    Every round brackets the wanted ranks by percentile sketches, which combine per task, and
-    counts the rows below and on the brackets exactly; it goes on inside the bracket, whose filter
-    reaches the scan and which holds a few parts in ``_ACCURACY`` of the rows. The driver sees two values and
-    three counts per rank and round.
+    One scan brackets all ranks by a percentile sketch, which combines per task; one counts the rows below and on
+    all brackets exactly and finds the values next to them; one fetches the values strictly inside, a few
+    parts in ``_ACCURACY`` of the rows, which the filter on the brackets picks in the scan. Where these are
+    more than ``_FETCHED``, the ranks that lie there are bracketed further, one after the other.
     """
+    x = F.col("x")
     values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    low, high, n = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    slack = 2 / _ACCURACY
+    wanted = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-slack, slack)]
+    n, sketched = values.agg(F.count("x"), F.percentile_approx("x", wanted, _ACCURACY)).first()
     if not n:
         return [None] * len(probabilities)
-    positions = [p * (n - 1) for p in probabilities]
-    ranks = sorted({math.floor(h) for h in positions} | {min(math.ceil(h), n - 1) for h in positions})
-    found = {r: _order_statistic(values, r, low, high, n) for r in ranks}
+    brackets = sorted(set(zip(sketched[::2], sketched[1::2])))
+    counts = values.agg(*[c for low, high in brackets for c in (
+        F.count_if(x < low), F.count_if(x <= low), F.count_if(x < high), F.count_if(x <= high),
+        F.max(F.when(x < low, x)), F.min(F.when(x > high, x)))]).first()
+    stats = {b: counts[6 * k:6 * k + 6] for k, b in enumerate(brackets)}
+    inside = sum(max(s[2] - s[1], 0) for s in stats.values())
+    between = F.lit(False)
+    for low, high in brackets:
+        between = between | ((x > low) & (x < high))
+    fetched = sorted(r[0] for r in values.filter(between).collect()) if 0 < inside <= _FETCHED else []
+
+    def at(rank: int, bracket: tuple[float, float]) -> float:
+        (low, high), (below, upto, under, all_high, before, after) = bracket, stats[bracket]
+        if below <= rank < upto:
+            return low
+        if rank == below - 1:
+            return before
+        if under <= rank < all_high:
+            return high
+        if rank == all_high:
+            return after
+        if upto <= rank < under and inside <= _FETCHED:
+            return fetched[bisect.bisect_right(fetched, low) + rank - upto]
+        least, most, many = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
+        return _order_statistic(values, rank, least, most, many)
+
     out = []
-    for h in positions:
-        a, b = found[math.floor(h)], found[min(math.ceil(h), n - 1)]
+    for p, bracket in zip(probabilities, zip(sketched[::2], sketched[1::2])):
+        h = p * (n - 1)
+        a, b = at(math.floor(h), bracket), at(min(math.ceil(h), n - 1), bracket)
         out.append(a + (b - a) * (h - math.floor(h)))
     return out
 

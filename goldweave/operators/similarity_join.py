@@ -2,25 +2,43 @@
 
 Values are compared, never records: records that share a value share its matches. Candidate
 pairs come from equi-joins on signatures that every matching pair must share, so nothing is
-lost and no group is paired with itself in full. Group columns (``within``) restrict matches
-to values of the same block; without them the result is a dictionary of similar values that
-any number of blocks can use.
+lost. Group columns (``within``) restrict matches to values of the same block; without them the
+result is a dictionary of similar values that any number of blocks can use.
+
+Signatures adapt to the data by counts taken in Spark: their tokens come in the order of measured
+frequency, values with a rare start need no tokens, and a start that many values share needs up to
+four. A signature that is heavy all the same becomes a grid of sub-groups (``balanced``).
 
 Both joins ask for a sort-merge join: the signatures are many times the values they come from,
-which size estimates do not see, so neither side may be broadcast. A signature group that is
-still heavy is split by adaptive execution, on either side of these inner joins.
+which size estimates do not see, so neither side may be broadcast.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from goldweave.functions.similarity import BOOST_ABOVE, MAX_PREFIX, PREFIX_WEIGHT, edit_similarity, jaro_winkler
+from goldweave.session import materialise
+
+# Ship the code of this module with the tasks, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Letters from rare to frequent; only the order of signatures depends on it, not the result.
-_RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
-_RANKED = "abcdefghijklmnopqrstuvwxyz"
+#: Tokens that get a rank of their own; all others count as rare.
+RANKED_TOKENS = 512
+#: Tokens a signature has, by the number of values that share a block and a start: up to so many, that many.
+SHARED_BY = ((64, 0), (512, 2), (8192, 3), (None, 4))
+#: Values of one start beyond which signatures are counted, and rows of either side in one sub-group of a signature.
+HEAVY_START, CELL_ROWS = 4096, 2048
 
 
 def _lowest_jaro(threshold: float, prefix: int) -> float:
@@ -31,27 +49,32 @@ def _lowest_jaro(threshold: float, prefix: int) -> float:
     return max(BOOST_ABOVE, (threshold - weight) / (1 - weight))
 
 
-def _tokens(text: str) -> str:
-    """Array of (character, occurrence) tokens, rare letters first. Two texts have as many equal
-    tokens as they have characters in common, counted with repeats."""
-    char = f"substring({text}, i, 1)"
-    seen = f"(length(substring({text}, 1, i)) - length(replace(substring({text}, 1, i), {char}, '')))"
-    token = f"concat(translate({char}, '{_RARE_FIRST}', '{_RANKED}'), lpad(cast(999999 - {seen} as string), 6, '0'))"
-    return f"if(length({text}) = 0, array(), array_sort(transform(sequence(1, length({text})), i -> {token})))"
+def token_order(texts: DataFrame) -> list[tuple[str, int]]:
+    """The most frequent tokens (character, occurrence) of column ``v``, rarest of them first; at most ``RANKED_TOKENS``."""
+    char = "substring(v, i, 1)"
+    seen = f"length(substring(v, 1, i)) - length(replace(substring(v, 1, i), {char}, ''))"
+    counts = texts.select(F.inline(F.expr(f"transform(sequence(1, length(v)), i -> struct({char} AS c, {seen} AS seen))")))
+    top = counts.groupBy("c", "seen").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "c", "seen").limit(RANKED_TOKENS)
+    return [(r.c, r.seen) for r in reversed(top.collect())]
 
 
-# Signature sizes per number of equal leading characters: (tokens, for shorter texts below this
-# length). A longer common start is selective by itself, and long texts have rare tokens.
-_SIZES = {
-    0: ((3, 16), (2, 48), (1, None)),
-    1: ((2, 48), (1, None)),
-    2: ((1, None),),
-    3: ((0, None),),
-    4: ((0, None),),
-}
-# Classes of the length ratio in percent, each from its entry up to the one before: equally long
-# texts must share more than texts of different length.
-_RATIOS = (90, 75, 0)
+# Most tokens of a signature for a shorter text below so many characters: long texts have rare tokens, and many
+# combinations of them.
+_BY_LENGTH = ((4, 14), (3, 20), (2, 48), (1, None))
+# Classes of the length ratio in percent, each from its entry up to the one before, with the most tokens of a
+# signature: equally long texts must share more than texts of different length.
+_RATIOS = ((90, 4), (75, 4), (0, 3))
+
+
+def _sizes(most: int, ratio_class: int) -> list[tuple[int, int | None]]:
+    """Tokens of a signature, for shorter texts below so many characters, where a start calls for ``most``."""
+    out: list[tuple[int, int | None]] = []
+    for tokens, below in _BY_LENGTH:
+        tokens = min(most, tokens, _RATIOS[ratio_class][1])
+        if out and out[-1][0] == tokens:
+            out.pop()
+        out.append((tokens, below))
+    return out
 
 
 def _distinct_texts(values: DataFrame, blocks: list[str], column: str) -> DataFrame:
@@ -67,107 +90,180 @@ def _distinct_texts(values: DataFrame, blocks: list[str], column: str) -> DataFr
 
 def similar_by_jaro_winkler(values: DataFrame, column: str, threshold: float,
                             within: list[str] | None = None) -> DataFrame:
-    """All pairs of distinct values with Jaro-Winkler ≥ ``threshold``: ``value_a < value_b, score``.
+    """All pairs of distinct values with Jaro-Winkler ≥ ``threshold``: ``value_a < value_b, score``."""
+    scored = jaro_winkler_candidates(values, column, threshold, within).withColumn(
+        "score", F.round(jaro_winkler("value_a", "value_b"), 6))
+    return scored.filter(F.col("score") >= threshold)
+
+
+def jaro_winkler_candidates(values: DataFrame, column: str, threshold: float,
+                            within: list[str] | None = None) -> DataFrame:
+    """Pairs of distinct values that may reach ``threshold``; every pair that does is among them.
 
     With m common characters, Jaro ≤ (m/x + m/y + 1)/3 for lengths x and y. Hence two texts
     with l equal leading characters need c·x·y/(x+y) common characters, where c = 3·J − 1 and J
     is the lowest Jaro value that reaches the threshold. So the token arrays of what follows
     the common start must overlap in n places, and the first (size − n + s) tokens of each
-    array, rare letters first, must share s tokens. A signature is the hash of l, the l
-    characters, a class of the length ratio and s tokens out of these prefixes. Before the
-    score is computed, candidates pass the same bound once more on 64-bit token masks: bits
-    that differ never outnumber the tokens that differ. Hash collisions only add candidates.
+    array, rare ones first, must share s tokens. A signature is the hash of l, the l
+    characters, a class of the length ratio and s tokens out of these prefixes; s follows from the
+    number of values with that start (``SHARED_BY``) and is n for pairs that need fewer. Before they
+    are returned, pairs pass the same bound once more on 64-bit token masks: bits that differ never
+    outnumber the tokens that differ. Hash collisions only add candidates.
     """
     if not 0.4 <= threshold <= 1:
         raise ValueError("threshold must be within 0.4 and 1")
     blocks = within or []
-    texts = _distinct_texts(values, blocks, column)
-    mask = f"aggregate({_tokens('v')}, 0L, (acc, t) -> acc | shiftleft(1L, cast(pmod(xxhash64(t), 64) as int)))"
-    prepared = texts.withColumns({"x": F.length("v"), "mask": F.coalesce(F.expr(mask), F.lit(0))})
-    families = range(MAX_PREFIX + 1)
-    coefficient = [3 * _lowest_jaro(threshold, prefix) - 1 for prefix in families]
-
-    def side(role: str, name: str) -> DataFrame:
-        return prepared.select(*blocks, F.col("v").alias(f"v{name}"), F.col("x").alias(f"x{name}"),
-                               F.col("mask").alias(f"mask{name}"), F.explode(_signatures(coefficient, role)).alias("sig"))
-
-    short = side("shorter", "_s").select("*", "sig.l", "sig.tokens").withColumn("sig", F.col("sig.key"))
-    long = side("longer", "_l").withColumn("sig", F.col("sig.key"))
-    xs, xl = F.col("x_s"), F.col("x_l")
-    c = F.element_at(F.array(*[F.lit(k) for k in coefficient]), F.col("l") + 1)
+    texts, _ = materialise(_distinct_texts(values, blocks, column), "similar-values")
+    starts, seen = materialise(shared_starts(texts, blocks), "similar-starts", top=F.max("shared"))
+    top = seen["top"] or 0
+    order = token_order(texts) if top > SHARED_BY[0][0] else []  # signatures without tokens need no order
+    short, long = (jaro_winkler_signatures(starts, blocks, threshold, order, role) for role in (0, 1))
+    if top > HEAVY_START:
+        short, long = balanced(short, long, blocks)
+    else:  # no signature can be heavy
+        short, long = (side.withColumn("cell", F.lit(0)) for side in (short, long))
+
+    def side(signed: DataFrame, name: str, *more: str) -> DataFrame:
+        return signed.select(*blocks, "sig", "cell", *[F.col(c).alias(f"{c}_{name}") for c in ("v", "x", "mask")], *more)
+
+    xs, xl, start = F.col("x_s"), F.col("x_l"), F.col("l")
+    c = F.element_at(F.array(*[F.lit(k) for k in _coefficients(threshold)]), start + 1)
     need = F.ceil(c * xs * xl / (xs + xl) - 1e-9)
     ordered = (xs < xl) | ((xs == xl) & (F.col("v_s") < F.col("v_l")))
-    # A signature without tokens is for pairs that need fewer common tokens than others hold.
-    meant = (F.col("tokens") > 0) | (need - F.col("l") < _designated_tokens()) | (_designated_tokens() == 0)
+    meant = F.col("tokens") == F.least(F.col("size"), F.greatest(need - start, F.lit(0)))
     close = F.bit_count(F.col("mask_s").bitwiseXOR(F.col("mask_l"))) <= xs + xl - 2 * need
     same_start = F.expr("substring(v_s, 1, l) = substring(v_l, 1, l)")
-    differs_next = (F.col("l") == MAX_PREFIX) | F.expr("substring(v_s, l + 1, 1) <> substring(v_l, l + 1, 1)")
-    candidates = (short.join(long.hint("merge"), [*blocks, "sig"])
-                  .filter(ordered & close & (need <= xs) & meant & same_start & differs_next)
-                  .select(*blocks, F.least("v_s", "v_l").alias("value_a"), F.greatest("v_s", "v_l").alias("value_b"))
-                  .distinct())  # a pair may meet in several signatures
-    scored = candidates.withColumn("score", F.round(jaro_winkler("value_a", "value_b"), 6))
-    return scored.filter(F.col("score") >= threshold)
+    differs_next = (start == MAX_PREFIX) | F.expr("substring(v_s, l + 1, 1) <> substring(v_l, l + 1, 1)")
+    return (side(short, "s", "l", "tokens", "size").join(side(long, "l").hint("merge"), [*blocks, "sig", "cell"])
+            .filter(ordered & close & (need <= xs) & meant & same_start & differs_next)
+            .select(*blocks, F.least("v_s", "v_l").alias("value_a"), F.greatest("v_s", "v_l").alias("value_b"))
+            .distinct())  # a pair may meet in several signatures
 
 
-def _designated_tokens() -> Column:
-    """Tokens per signature of a pair, from its common start and the length of its shorter text."""
-    out = F.lit(0)
-    for prefix, sizes in _SIZES.items():
-        for tokens, below in reversed(sizes):
-            applies = F.col("l") == prefix
-            out = F.when(applies if below is None else applies & (F.col("x_s") < below), tokens).otherwise(out)
-    return out
+def _coefficients(threshold: float) -> list[float]:
+    return [3 * _lowest_jaro(threshold, prefix) - 1 for prefix in range(MAX_PREFIX + 1)]
 
 
-def _parameters(coefficient: list[float]) -> str:
-    """The families as one array literal: start length, coefficient, and a row per class of length
-    ratio and signature size with the lengths of the shorter text it is for."""
-    families = []
-    for prefix, sizes in _SIZES.items():
-        rows = []
-        for ratio_class, low in enumerate(_RATIOS):
-            high, above = _RATIOS[ratio_class - 1] if ratio_class else 0, 0
-            for tokens, below in sizes:
-                rows.append(f"named_struct('class', {ratio_class}, 'low', {low}, 'high', {high}, 'tokens', {tokens}, "
-                            f"'above', {above}, 'below', {below or 2**31 - 1})")
-                above = below
-        families.append(f"named_struct('l', {prefix}, 'c', {coefficient[prefix]!r}D, 'rows', array({', '.join(rows)}))")
-    return f"array({', '.join(families)})"
+def shared_starts(texts: DataFrame, blocks: list[str]) -> DataFrame:
+    """``v, l, shared, most``: every value with each of its starts of l characters that other values have too.
 
+    ``shared`` counts the values with the start, ``most`` is the number of tokens that calls for. A start after
+    which all values go on alike is left out: their pairs meet at a longer start.
+    """
+    starts = texts.select(*blocks, "v", F.explode(F.sequence(F.lit(0), F.least(F.length("v"), F.lit(MAX_PREFIX)))).alias("l"))
+    starts = starts.withColumn("start", F.expr("substring(v, 1, l)"))
+    following = F.expr("substring(v, l + 1, 1)")
+    shared = (starts.groupBy(*blocks, "l", "start").agg(F.count(F.lit(1)).alias("shared"), F.min(following).alias("least"), F.max(following).alias("last"))
+              .filter((F.col("shared") > 1) & ((F.col("l") == MAX_PREFIX) | (F.col("least") < F.col("last")))).drop("least", "last"))
+    most = F.lit(SHARED_BY[-1][1])
+    for up_to, tokens in reversed(SHARED_BY[:-1]):
+        most = F.when(F.col("shared") <= up_to, tokens).otherwise(most)
+    return starts.join(shared.hint("merge"), [*blocks, "l", "start"]).select(*blocks, "v", "l", "shared", most.cast("int").alias("most"))
+
+
+def jaro_winkler_signatures(starts: DataFrame, blocks: list[str], threshold: float, order: list[tuple[str, int]], role: int) -> DataFrame:
+    """A row per signature of a value: ``sig, size, tokens``, and ``v, l, shared, most, x, mask``.
+
+    Role 0 is for the shorter text of a pair, role 1 for the longer one. A signature has ``tokens`` tokens; ``size`` is
+    what its start, its class of length ratio and the length of the shorter text call for.
+    """
+    ranks = {token: rank for rank, token in enumerate(order)}
+    coefficients = _coefficients(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):  # a text has tens to hundreds of signatures
+                some = batch.slice(low, 512)
+                at, found, masks = [], [], []
+                for k, (v, l, most) in enumerate(zip(*(some.column(c).to_pylist() for c in ("v", "l", "most")))):
+                    mask = 0
+                    for code, _ in _ranked_tokens(v, ranks):
+                        mask |= 1 << (code * 0x9E3779B97F4A7C15 >> 58 & 63)
+                    masks.append(mask - (1 << 64) if mask >> 63 else mask)
+                    own = signatures_of(v, l, most, coefficients[l], ranks, role)
+                    at += [k] * len(own)
+                    found += own
+                rows = some.take(pa.array(at, pa.int64()))
+                own = list(zip(*found)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(c) for c in (*blocks, "v", "l", "shared", "most")), pc.utf8_length(rows.column("v")),
+                     pa.array(masks, pa.int64()).take(pa.array(at, pa.int64())),
+                     *(pa.array(c, t) for c, t in zip(own, (pa.int32(), pa.int32(), pa.int64())))],
+                    names=[*blocks, "v", "l", "shared", "most", "x", "mask", "size", "tokens", "sig"])
+
+    schema = StructType([*starts.schema.fields, *(StructField(c, t) for c, t in (
+        ("x", IntegerType()), ("mask", LongType()), ("size", IntegerType()), ("tokens", IntegerType()), ("sig", LongType())))])
+    return starts.mapInArrow(run, schema)
+
+
+def balanced(short: DataFrame, long: DataFrame, blocks: list[str], cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``cell``: a heavy signature becomes a grid of sub-groups that hold about ``cell_rows`` rows of a side.
+
+    With a rows of one side and b of the other the grid has ceil(a / cell_rows) times ceil(b / cell_rows) cells. A row
+    of one side falls into one line of the grid by its hash and stands in every cell of it, so each pair meets in
+    exactly one cell.
+    """
+    keys = [*blocks, "sig"]
+    both = short.select(*keys, F.lit(0).alias("role")).unionByName(long.select(*keys, F.lit(1).alias("role")))
+
+    def lines(role: int) -> Column:
+        return F.ceil(F.count_if(F.col("role") == role) / cell_rows).cast("int").alias(f"lines_{role}")
+
+    heavy = both.groupBy(*keys).agg(lines(0), lines(1)).filter("lines_0 > 0 and lines_1 > 0 and lines_0 + lines_1 > 2")
+    heavy, _ = materialise(heavy, "heavy-signatures")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        sized = side.join(heavy.hint("merge"), keys, "left")
+        line = F.pmod(F.xxhash64("v", F.lit("cell")), F.col(own)).cast("int")
+        row = F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: line * F.col("lines_1") + k if own == "lines_0" else k * F.col("lines_1") + line)
+        return sized.withColumn("cell", F.explode(F.when(F.col(own).isNull(), F.array(F.lit(0))).otherwise(row))).drop("lines_0", "lines_1")
 
-def _signatures(coefficient: list[float], role: str) -> Column:
-    """Signature array ``struct(l, tokens, key)`` of a text as the shorter or longer side of a pair.
+    return dealt(short, "lines_0", "lines_1"), dealt(long, "lines_1", "lines_0")
+
+
+def signatures_of(text: str, start: int, most: int, coefficient: float, ranks: dict[tuple[str, int], int], role: int) -> list[tuple[int, int, int]]:
+    """``(size, tokens, signature)`` of a text with ``start`` leading characters in common, as the shorter (role 0) or
+    longer text of a pair.
 
     For every class of length ratio and every signature size the partner can call for, the
-    prefix of the token array is as long as the least demanding partner requires: the shortest
-    one for the longer side, the one closest in length for the shorter side.
+    prefix of the tokens is as long as the least demanding partner requires: the shortest
+    one for the longer side, the one closest in length for the shorter side. A partner that needs fewer
+    tokens than the size meets in a signature of just as many, out of all tokens. Where a start
+    calls for no tokens, one signature is enough.
     """
-    if role == "shorter":
-        partner = "if(p.high = 0, x, floor(100 * x / p.high) + 1)"
-        applies = "x >= p.above and x < p.below"
-    else:
-        partner = "greatest(ceil((f.c - 1) * x - 1e-9D), ceil(p.low * x / 100), f.l, 1, p.above)"
-        applies = "y <= if(p.high = 0, x, least(x, ceil(p.high * x / 100) - 1)) and y < p.below"
-    need = "cast(ceil(f.c * x * y / (x + y) - 1e-9D) as int) - f.l"
-    head = "slice(ts, 1, greatest(x - f.l - greatest(need, p.tokens) + p.tokens, 0))"
-    key = "xxhash64(f.l, substring(v, 1, f.l), p.class, {}, {})"
-    chosen = f"case p.tokens when 0 then array('') when 1 then h when 2 then {_PAIRS} else {_TRIPLES} end"
-    full = f"transform({chosen}, t -> named_struct('l', f.l, 'tokens', p.tokens, 'key', {key.format('p.tokens', 't')}))"
-    bare = f"array(named_struct('l', f.l, 'tokens', 0, 'key', {key.format(0, chr(39) * 2)}))"
-    # A one-element array binds a value to a name: need, then the prefix h of the token array.
-    records = f"concat(if(need < p.tokens, {bare}, array()), {full})"
-    by_need = f"flatten(transform(array({need}), need -> flatten(transform(array({head}), h -> {records}))))"
-    by_row = f"flatten(transform(f.rows, p -> flatten(transform(array({partner}), y -> if({applies}, {by_need}, array())))))"
-    rest = _tokens("substring(v, f.l + 1)")
-    return F.expr(f"flatten(transform(filter({_parameters(coefficient)}, f -> x >= f.l), f -> "
-                  f"flatten(transform(array({rest}), ts -> {by_row}))))")
-
-
-# All pairs and triples of the sorted array h, each joined into one text.
-_PAIRS = "flatten(transform(h, (t, i) -> transform(slice(h, i + 2, size(h)), u -> concat(t, u))))"
-_TRIPLES = ("flatten(transform(h, (t, i) -> flatten(transform(slice(h, i + 2, size(h)), (u, j) -> "
-            "transform(slice(h, i + j + 3, size(h)), w -> concat(t, u, w))))))")
+    head = (start, *map(ord, text[:start]))
+    if not most:
+        return [(0, 0, hash((*head, 0)))]
+    x, tokens = len(text), [code for code, _ in _ranked_tokens(text[start:], ranks)]
+    out = []
+    for ratio_class, (low, _) in enumerate(_RATIOS):
+        high, above = _RATIOS[ratio_class - 1][0] if ratio_class else 0, 0
+        for size, below in _sizes(most, ratio_class):
+            below = below or 1 << 31
+            if role == 0:
+                partner, applies = (100 * x // high + 1 if high else x), above <= x < below
+            else:
+                partner = max(math.ceil((coefficient - 1) * x - 1e-9), -(-low * x // 100), start, 1, above)
+                applies = partner <= (min(x, -(-high * x // 100) - 1) if high else x) and partner < below
+            above = below
+            if not applies:
+                continue
+            need = max(math.ceil(coefficient * x * partner / (x + partner) - 1e-9) - start, 0)
+            prefix = tokens[:max(len(tokens) - max(need, size) + size, 0)]
+            kinds = [(size, prefix), *[(fewer, tokens) for fewer in range(need, size)]]
+            out += [(size, n, hash((*head, ratio_class, n, *some))) for n, held in kinds for some in itertools.combinations(held, n)]
+    return out
+
+
+def _ranked_tokens(text: str, ranks: dict[tuple[str, int], int]) -> list[tuple[int, int]]:
+    """Tokens of a text, by measured frequency, rare ones first: a number for each and its rank. Two texts have as
+    many equal tokens as they have characters in common, counted with repeats."""
+    seen: dict[str, int] = {}
+    out = []
+    for c in text:
+        n = seen[c] = seen.get(c, 0) + 1
+        out.append((ord(c) + (n << 21), ranks.get((c, n), -1)))
+    return sorted(out, key=lambda t: (t[1], t[0]))
 
 
 def similar_by_edit_distance(values: DataFrame, column: str, threshold: float,

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import math
 import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,59 +18,116 @@ from goldweave.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Unrelated vectors a bucket holds on average, at most.
+PER_BUCKET = 4
+#: Pairs drawn to estimate how often a pair at the minimum meets.
+_DRAWN = 20_000
 
-def hyperplanes(count: int, dimensions: int) -> np.ndarray:
-    """±1 coefficients from the digest of (plane, dimension), the same on every machine."""
-    def sign(h: int, i: int) -> float:
-        return 1.0 if hashlib.md5(f"{h}:{i}".encode()).hexdigest()[0] < "8" else -1.0
-    return np.array([[sign(h, i) for i in range(dimensions)] for h in range(count)])
 
+def rotations(band: int, functions: int, dimensions: int) -> np.ndarray:
+    """The random directions of a band, the same on every machine: ``functions`` sets of as many as dimensions."""
+    return np.random.default_rng([band, functions, dimensions]).standard_normal((functions, dimensions, dimensions)).astype(np.float32)
 
-def _signatures(bands: int, bits: int):
-    @F.pandas_udf("array<bigint>")
-    def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        planes = None
-        weights = 2 ** np.arange(bits, dtype=np.int64)
+
+def vertices(unit: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every vector and function of a band the nearest and second nearest vertex of the turned cross-polytope.
+
+    A vertex is a direction and a sign, as one number.
+    """
+    turned = np.einsum("nd,fkd->nfk", unit, band, optimize=True)
+    size = np.abs(turned)
+    best = np.argpartition(-size, 1, axis=2)[:, :, :2] if turned.shape[2] > 1 else np.zeros((*turned.shape[:2], 2), np.int64)
+    order = np.argsort(-np.take_along_axis(size, best, 2), axis=2, kind="stable")
+    best = np.take_along_axis(best, order, 2)
+    signed = best * 2 + (np.take_along_axis(turned, best, 2) < 0)
+    return signed[:, :, 0], signed[:, :, 1]
+
+
+def probes(first: np.ndarray, second: np.ndarray, dimensions: int) -> np.ndarray:
+    """The buckets a vector looks into: its own, and those where one function gives the second nearest vertex."""
+    weights = (2 * dimensions) ** np.arange(first.shape[1], dtype=np.int64)
+    own = (first * weights).sum(axis=1)
+    return np.column_stack([own, own[:, None] + (second - first) * weights])
+
+
+@functools.lru_cache(maxsize=32)
+def meeting_probability(minimum: float, functions: int, dimensions: int) -> float:
+    """How often two vectors at the cosine ``minimum`` meet in a band, measured on drawn pairs."""
+    rng, met = np.random.default_rng(7), 0
+    for band in range(8):
+        a = rng.standard_normal((_DRAWN // 8, dimensions))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal(a.shape)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+        b = minimum * a + math.sqrt(max(1 - minimum * minimum, 0)) * b
+        turn = rotations(band, functions, dimensions)
+        seek, own = probes(*vertices(a, turn), dimensions), probes(*vertices(b, turn), dimensions)
+        met += int(((seek == own[:, :1]) | (own == seek[:, :1])).any(axis=1).sum())
+    return max(met, 1) / (_DRAWN // 8 * 8)
+
+
+def plan_bands(rows: int, dimensions: int, minimum: float, recall: float) -> tuple[int, int]:
+    """``bands, functions``: buckets of ``PER_BUCKET`` unrelated vectors at most, and as many bands as bring a pair at
+    ``minimum`` together with probability ``recall``. No minimum is refused; a low one takes many bands."""
+    functions = max(1, math.ceil(math.log(max(rows / PER_BUCKET, 1)) / math.log(max(2 * dimensions, 2))))
+    meet = meeting_probability(minimum, functions, dimensions)
+    return (1 if meet >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))), functions
+
+
+def _bucketed(distinct: DataFrame, bands: int, functions: int, dimensions: int) -> DataFrame:
+    """``rep, band, bucket, own``: the bucket every vector stands in, and those it looks into besides."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = None
         for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=object)
-                continue
-            matrix = np.stack([np.asarray(v, dtype=np.float64) for v in batch])
-            if planes is None:
-                planes = hyperplanes(bands * bits, matrix.shape[1]).T
-            sides = ((matrix @ planes) >= 0).reshape(len(matrix), bands, bits)
-            yield pd.Series(list((sides * weights).sum(axis=2)))
-    return signatures
-
-
-def plan_buckets(rows: int, minimum: float, recall: float, per_bucket: int = 64, most_bands: int = 512) -> tuple[int, int]:
-    """``bands, bits`` for this many vectors: buckets of about ``per_bucket`` unrelated vectors, and as many
-    bands as bring a pair at ``minimum`` together with probability ``recall``. A minimum at which
-    that takes more than ``most_bands`` is refused: buckets cannot prune there."""
-    bits = max(4, math.ceil(math.log2(max(rows / per_bucket, 1))))
-    meet = (1 - math.acos(minimum) / math.pi) ** bits
-    bands = 1 if meet >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
-    if bands > most_bands:
-        raise ValueError(f"a minimum of {minimum} needs {bands} bands of {bits} bits for recall {recall}; raise the minimum")
-    return bands, bits
+            if turns is None and batch.num_rows:
+                turns = [rotations(b, functions, dimensions) for b in range(bands)]
+            for low in range(0, batch.num_rows, 1024):
+                some = batch.slice(low, 1024)
+                unit = some.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
+                unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+                for band, turn in enumerate(turns):
+                    seek = probes(*vertices(unit, turn), dimensions)
+                    n, k = seek.shape
+                    at = pa.array(np.repeat(np.arange(n), k))
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("rep").take(at), pa.array(np.full(n * k, band, np.int32)), pa.array(seek.ravel()),
+                         pa.array(np.tile(np.arange(k) == 0, n))], names=["rep", "band", "bucket", "own"])
+
+    kind = distinct.schema["rep"].dataType.simpleString()
+    return distinct.select("rep", "v").mapInArrow(run, f"rep {kind}, band int, bucket long, own boolean")
+
+
+def bucket_pairs(distinct: DataFrame, minimum: float, recall: float, rows: int, dimensions: int) -> DataFrame:
+    """``rep_a < rep_b``: the pairs that meet in some band, where one looks into the bucket the other stands in."""
+    bands, functions = plan_bands(rows, dimensions, minimum, recall)
+    placed = _bucketed(distinct, bands, functions, dimensions)
+    seek = placed.select("band", "bucket", F.col("rep").alias("rep_s"))
+    own = placed.filter("own").select("band", "bucket", F.col("rep").alias("rep_o"))
+    # The bands multiply the vectors, which size estimates do not see: no side may be broadcast.
+    met = seek.join(own.hint("merge"), ["band", "bucket"]).filter("rep_s <> rep_o")
+    return met.select(F.least("rep_s", "rep_o").alias("rep_a"), F.greatest("rep_s", "rep_o").alias("rep_b")).distinct()
 
 
 def vector_pairs(df: DataFrame, record_id: str, vector: str, minimum: float, recall: float = 0.999) -> DataFrame:
     """Pairs of distinct vectors with cosine ≥ ``minimum``, each found with probability ``recall`` at least.
 
     ``rep_a < rep_b`` are the smallest ids that carry the two vectors, ``n_a`` and ``n_b`` how
-    many do, so copies are compared once. Buckets come from random hyperplanes: two vectors at
-    angle θ share a band with probability (1 − θ/π)^bits. ``plan_buckets`` derives bits from
-    the number of vectors and bands from the recall. Only ids and buckets are joined;
-    the vectors are fetched for the pairs that meet. A zero vector has no cosine and no pairs.
+    many do, so copies are compared once. Buckets are the vertices of randomly turned cross-polytopes, of which a
+    vector also probes its second nearest ones; ``plan_bands`` derives functions per band from
+    the number of vectors and bands from the measured chance to meet and the recall. Only ids and buckets are joined;
+    the vectors are fetched for the pairs that meet. A zero vector has no cosine and no pairs; vectors of
+    different lengths are not compared.
     """
     grouped = df.groupBy(F.col(vector).alias("v")).agg(F.min(record_id).alias("rep"), F.count(F.lit(1)).alias("n"))
-    distinct, seen = materialise(grouped.withColumn("norm", norm(F.col("v"))).filter("norm > 0"), "vectors")
-    bands, bits = plan_buckets(seen["rows"], minimum, recall)
-    signed = distinct.select("rep", F.posexplode(_signatures(bands, bits)("v")).alias("band", "bucket"))
-    a, b = (signed.select("band", "bucket", F.col("rep").alias(f"rep_{s}")) for s in ("a", "b"))
-    # The bands multiply the vectors, which size estimates do not see: no side may be broadcast.
-    met = a.join(b.hint("merge"), ["band", "bucket"]).filter("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    known = grouped.filter(F.col("v").isNotNull()).withColumn("norm", norm(F.col("v"))).filter("norm > 0")
+    distinct, _ = materialise(known, "vectors")
+    lengths = distinct.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("rows")).collect()  # a row per length
+    met = None
+    for r in lengths or [None]:
+        own = distinct.filter(F.size("v") == r["d"]) if r else distinct
+        pairs = bucket_pairs(own, minimum, recall, r["rows"] if r else 1, r["d"] if r else 1)
+        met = pairs if met is None else met.unionByName(pairs)
     for s in ("a", "b"):
         met = met.join(distinct.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "v", "n", "norm")]), f"rep_{s}")
     score = dot_product(F.col("v_a"), F.col("v_b")) / (F.col("norm_a") * F.col("norm_b"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from goldweave.functions.similarity import jaro_winkler
 from goldweave.operators import exact_match, matching, similarity_join, skew, vector_match
 from goldweave.operators.review import exclude_decided
+from goldweave.functions.cleansing import phonetic_key
 from goldweave.plans.catalog import Tables, query
+from goldweave.plans.cleansing_queries import _SOUNDEX_SQL
 from goldweave.plans.derived import CONTACTS_SQL, DECISIONS_SQL, REVIEW_SQL, contacts, decisions, review_records
 
 BLOCKS = ["p_brand", "p_type"]
@@ -141,6 +143,31 @@ def weighted_field_pairs(t: Tables) -> DataFrame:
     return matching.similar_by_weighted_fields(df, ["p_brand"], ("thing", 0.7), ("color", 0.3), 0.84)
 
 
+_FIELDS = {"thing": 0.5, "color": 0.3, "box": 0.2}
+_SOUNDEX_OF_THING = _SOUNDEX_SQL.replace("SELECT p_partkey, upper(trim(p_name)) AS w FROM part", "SELECT p_partkey, upper(split_part(p_name, ' ', 2)) AS w FROM part").strip()
+
+
+@query("M10 M7 C3", f"""
+    WITH sound AS ({_SOUNDEX_OF_THING}),
+    u AS (SELECT DISTINCT p_brand || p_size AS k0, name_soundex || p_size AS k1, split_part(p_name, ' ', 2) AS thing, split_part(p_name, ' ', 1) AS color, p_type AS box
+          FROM part JOIN sound USING (p_partkey)),
+    n AS (SELECT *, row_number() OVER (ORDER BY thing, color, box, k0, k1) AS i FROM u),
+    p AS (SELECT CASE WHEN a.k0 = b.k0 THEN 'brand_size' ELSE 'sound_size' END AS matched_key, least(a.thing, b.thing) AS thing_least, greatest(a.thing, b.thing) AS thing_most,
+            round(jaro_winkler_similarity(a.thing, b.thing), 6) AS score_thing, round(jaro_winkler_similarity(a.color, b.color), 6) AS score_color,
+            round(jaro_winkler_similarity(a.box, b.box), 6) AS score_box
+          FROM n a JOIN n b ON a.i < b.i AND (a.k0 = b.k0 OR a.k1 = b.k1)),
+    s AS (SELECT *, round((0.5::DOUBLE * score_thing + 0.3::DOUBLE * score_color + 0.2::DOUBLE * score_box) / (0.5::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE), 6) AS score FROM p)
+    SELECT matched_key, thing_least, thing_most, score_thing, score_color, score_box, score, count(*) AS pairs FROM s WHERE score >= 0.9 GROUP BY ALL""")
+def three_field_pairs(t: Tables) -> DataFrame:
+    """Pairs of parts by brand and size or, failing that, by the sound of their noun and size; mean over three fields."""
+    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+    rows = t.part.select(F.concat("p_brand", "p_size").alias("brand_size"), F.concat(phonetic_key(noun), "p_size").alias("sound_size"),
+                         noun.alias("thing"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("color"), F.col("p_type").alias("box"))
+    pairs = matching.similar_by_fields(rows, ["brand_size", "sound_size"], _FIELDS, 0.9)
+    return (pairs.groupBy("matched_key", F.least("thing_a", "thing_b").alias("thing_least"), F.greatest("thing_a", "thing_b").alias("thing_most"),
+                          *[f"score_{f}" for f in _FIELDS], "score").agg(F.count(F.lit(1)).alias("pairs")))
+
+
 @query("M19", f"""
     WITH {_fuzzy_sql(_JW, 0.85)},
     b AS (SELECT sum(n) AS size, sum(n * (n - 1) // 2) AS same FROM m GROUP BY p_brand, p_type),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from goldweave.operators import review
 from goldweave.operators.survivorship import golden_rows
 from goldweave.plans.catalog import Tables, query
+from goldweave.plans.matching_queries import _components_sql
 from goldweave.plans.derived import DECISIONS_SQL, ORDER_FIELDS, REVIEW_SQL, decisions, review_records
 from goldweave.session import scratch_dir
 
@@ -121,6 +122,31 @@ def decisions_applied(t: Tables) -> DataFrame:
     return review.apply_decisions(review_records(t).select("record_id", "cluster_id"), decisions(t), "record_id")
 
 
+# Proposals to merge the clusters of two customers; a steward approves those of one segment and rejects another's.
+_PROPOSED_SQL = """SELECT 'P' || a.c_custkey AS proposal, CAST(a.c_custkey AS VARCHAR) AS a, CAST(b.c_custkey AS VARCHAR) AS b, a.c_mktsegment AS segment
+    FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 7"""
+
+
+@query("R11 M13", f"""
+    WITH RECURSIVE r AS ({REVIEW_SQL}), d AS ({DECISIONS_SQL}),
+    last AS (SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, arg_max(action, (timestamp, action)) AS action FROM d WHERE {_FINAL} GROUP BY 1),
+    rejected AS (SELECT cluster_id FROM last WHERE action = 'Match Rejected'),
+    {_components_sql(f"SELECT a AS src, b AS dst FROM ({_PROPOSED_SQL}) WHERE segment = 'BUILDING' AND a NOT IN (FROM rejected) AND b NOT IN (FROM rejected)")}
+    SELECT r.record_id, CASE WHEN CAST(r.cluster_id AS VARCHAR) IN (FROM rejected) THEN CAST(r.record_id AS VARCHAR)
+        ELSE coalesce(component, CAST(r.cluster_id AS VARCHAR)) END AS cluster_id
+    FROM r LEFT JOIN comp ON node = CAST(r.cluster_id AS VARCHAR)""")
+def decisions_merged(t: Tables) -> DataFrame:
+    """Rejected clusters are split, approved proposals merge theirs; only the edges of approved proposals are read."""
+    one, two = (t.customer.select(F.col("c_custkey").alias(c), *more) for c, more in (("a", ["c_mktsegment"]), ("b", [])))
+    proposals = one.join(two, F.col("b") == F.col("a") + 7).withColumn("proposal", F.concat(F.lit("P"), "a"))
+    said = F.when(F.col("c_mktsegment") == "BUILDING", review.APPROVED).when(F.col("c_mktsegment") == "AUTOMOBILE", review.REJECTED)
+    on_proposals = proposals.select(F.lit("2024-01-01").cast("timestamp_ntz").alias("timestamp"), F.col("proposal").alias("cluster_id"),
+                                    F.coalesce(said, F.lit("Deferred")).alias("action"))
+    on_clusters = decisions(t).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.col("cluster_id").cast("string").alias("cluster_id"), "action")
+    return review.apply_decisions(review_records(t).select("record_id", "cluster_id"), on_clusters.unionByName(on_proposals), "record_id",
+                                  proposals=proposals.select("proposal", "a", "b"))
+
+
 _ACTION = {"purchase": review.APPROVED, "error": review.REJECTED}
 _ACTION_SQL = "CASE event_type WHEN 'purchase' THEN 'Match Approved' WHEN 'error' THEN 'Match Rejected' ELSE 'Deferred' END"
 

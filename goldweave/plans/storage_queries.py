@@ -146,13 +146,24 @@ def stream_match(t: Tables) -> DataFrame:
     return writers.read_current(t.spark, root).select(*columns).withColumn("ts", stamp("ts"))
 
 
-@query("S2 X4", """
-    WITH b AS (SELECT date_trunc('hour', ts) AS w, CASE WHEN value >= 85 THEN 'AUTO_MERGE' WHEN value >= 70 THEN 'REVIEW' ELSE 'NO_MATCH' END AS band FROM events),
-    last AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
-    SELECT strftime(w, '%Y-%m-%d %H') AS window_start, band, count(*) AS matches FROM b, last
-    WHERE w + INTERVAL 1 HOUR <= mark GROUP BY ALL""")
+@query("S2 X2 S13", "SELECT event_id, user_id, event_type FROM events")
+def stream_dedup_stored(t: Tables) -> DataFrame:
+    """The stream of all events twice, as two runs: the second finds every key stored."""
+    path = scratch_dir(t.spark, "distinct")
+    for run in range(2):
+        events = _stream(t, "events").select("event_id", "user_id", "event_type")
+        flows.start_distinct_sink(events, f"{path}/out", ["event_id"], f"{path}/checkpoint-{run}").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out")
+
+
+@query("S2 X4 S15", """
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS window_start, CASE WHEN value >= 85 THEN 'AUTO_MERGE' WHEN value >= 70 THEN 'REVIEW'
+        ELSE 'NO_MATCH' END AS band, count(*) AS matches FROM events GROUP BY ALL""")
 def stream_feed(t: Tables) -> DataFrame:
-    """Closed windows only: the last hour before the watermark is still open when the stream ends."""
+    """All windows, those still open at the end of the stream too."""
+    path = scratch_dir(t.spark, "feed")
     events = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     feed = flows.band_feed(events, "ts", band(F.col("value") / 100, 0.85, 0.70))
-    return _run(t, feed, "feed").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "band", "matches")
+    flows.start_feed_table(feed, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return writers.read_current(t.spark, f"{path}/out").select(
+        F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "band", "matches")

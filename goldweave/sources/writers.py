@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from goldweave.session import discard, materialise, path_exists
 
@@ -72,63 +73,60 @@ def merge_rows(target: DataFrame, changes: DataFrame, keys: list[str], newest: s
     return target.join(changes.select(*keys), keys, "left_anti").unionByName(changes.select(*target.columns))
 
 
-# A versioned table is cut into buckets by a hash of its key. A merge writes new versions of the buckets it
-# touches; a log names the committed versions, and the last one of each bucket is current.
-BUCKETS = 16
+#: Partition column of a keyed table: how many buckets it has, and which one a row's key falls into.
+BUCKET = "key_bucket"
+#: Bytes a bucket is meant to hold; a table with more than twice as many a bucket is dealt into more of them.
+BUCKET_BYTES = 256 << 20
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("version long, bucket int, committed_at timestamp").json(f"{root}/_commits")
+def _bytes(df: DataFrame) -> int:
+    """Size of the files a DataFrame reads, from their listing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """The last committed version, or None for a table that does not exist yet."""
-    if not path_exists(spark, f"{root}/_commits"):
-        return None
-    return _log(spark, root).agg(F.max("version")).first()[0]
-
-
-def _folders(spark: SparkSession, root: str, buckets: list[int] | None = None) -> list[str]:
-    """The current folder of each bucket; the log has a row per bucket and commit."""
-    latest = _log(spark, root).groupBy("bucket").agg(F.max("version").alias("version"))
-    if buckets is not None:
-        latest = latest.filter(F.col("bucket").isin(buckets))
-    return [f"{root}/version={r['version']}/bucket={r['bucket']}" for r in latest.orderBy("bucket").collect()]
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.concat(F.lit(f"{buckets}-"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string"))
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    if current_version(spark, root) is None:
-        raise ValueError(f"no committed version below {root}")
-    return spark.read.parquet(*_folders(spark, root))
+    """The rows of a keyed table."""
+    if not path_exists(spark, root):
+        raise ValueError(f"no table at {root}")
+    return spark.read.parquet(root).drop(BUCKET)
 
 
-def upsert(changes: DataFrame, root: str, keys: list[str], newest: str | None = None, buckets: int = BUCKETS) -> int:
-    """Merge changes into a versioned table and commit the result as a new version.
+def upsert(changes: DataFrame, root: str, keys: list[str], newest: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Merge changes into a keyed table, a plain Parquet table partitioned by a bucket of its key.
 
-    Only the buckets that hold a changed key are read and written again. With ``newest`` the
+    Only the partitions that hold a changed key are read and, from a staged copy, replaced by Spark's dynamic
+    partition overwrite; returns how many. The number of buckets follows from bytes: a table that has grown beyond
+    twice ``bucket_bytes`` a bucket is dealt anew, so the cost of that is spread over its growth. With ``newest`` the
     largest value of that column wins among old and new rows of a key, so a replayed or late batch changes
-    nothing; without it the changes win and must have unique keys. Readers of the old version are not
-    disturbed; a run that dies before the commit leaves the current version as it was. One writer at a
-    time; ``buckets`` stays the same for the life of a table.
+    nothing, also after a run that died between partitions; without it the changes win and must have unique
+    keys. One writer at a time.
     """
     spark = changes.sparkSession
-    version = current_version(spark, root)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
-    changes, _ = materialise(changes, "upsert")
-    touched = sorted(r[0] for r in changes.select(bucket).distinct().collect())  # at most ``buckets`` numbers
-    columns = [F.col(c) for c in changes.columns]
-    folders = _folders(spark, root, touched) if version is not None and touched else []
-    old = spark.read.schema(changes.schema).parquet(*folders) if folders else changes.filter(F.lit(False))
-    if newest:
-        merged = merge_rows(changes.filter(F.lit(False)), old.unionByName(changes), keys, newest)
-    else:
-        merged = merge_rows(old, changes, keys)
-    after = (version or 0) + 1
-    merged.select(*columns, bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/version={after}")
-    log = spark.createDataFrame([(after, b) for b in touched], "version long, bucket int") if touched else spark.range(0).select(
-        F.col("id").alias("version"), F.lit(0).alias("bucket"))
-    log.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/_commits")
-    return after
+    changes, seen = materialise(changes, "upsert")
+    if not seen["rows"]:
+        return 0
+    exists = path_exists(spark, root)
+    table = spark.read.schema(StructType([*changes.schema.fields, StructField(BUCKET, StringType())])).parquet(root) if exists else None
+    first = table.select(BUCKET).first() if exists else None
+    buckets = int(first[0].split("-")[0]) if first else 0
+    size = _bytes(changes) + (_bytes(table) if first else 0)
+    grown = size > 2 * bucket_bytes * max(buckets, 1) or not buckets
+    if grown:
+        buckets = 1 << max(size // bucket_bytes, 1).bit_length() - 1
+    touched = [r[0] for r in changes.select(_bucket(keys, buckets)).distinct().collect()]  # one per partition at most
+    old = changes.filter(F.lit(False)) if not first else (table if grown else table.filter(F.col(BUCKET).isin(touched))).drop(BUCKET)
+    merged = (merge_rows(changes.filter(F.lit(False)), old.unionByName(changes), keys, newest) if newest
+              else merge_rows(old, changes, keys))
+    staged, _ = materialise(merged.select(*changes.columns, _bucket(keys, buckets).alias(BUCKET)), "upsert-staged")
+    (staged.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "static" if grown else "dynamic")
+     .partitionBy(BUCKET).parquet(root))
+    discard(staged)
+    discard(changes)
+    return buckets if grown and first else len(touched)
 
 
 def fan_out(df: DataFrame, targets: list[Callable[[DataFrame], None]]) -> None:

@@ -1,7 +1,9 @@
+import collections
 import itertools
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from goldweave.functions.similarity import jaro_winkler, jaro_winkler_batch
 from goldweave.operators import components, exact_match, matching, similarity_join, skew, vector_match
 from goldweave.operators.components import assign_clusters, connected_components
+from goldweave.operators.review import APPROVED, REJECTED, apply_decisions
 
 CON = duckdb.connect()
 
@@ -219,8 +222,107 @@ def test_soundex_is_another_way_in(spark):
     assert plain == {1: "1", 2: "2", 3: "1", 4: "4"} and sound == {1: "1", 2: "1", 3: "1", 4: "4"}
 
 
-def test_vector_buckets_are_planned(spark):
-    bands, bits = vector_match.plan_buckets(1_000_000, 0.9, 0.95)
-    assert bits == 14 and 1 < bands < 60
-    with pytest.raises(ValueError):
-        vector_match.plan_buckets(1_000_000, 0.2, 0.95)
+def test_vector_bands_are_planned():
+    """Bands follow from the number of vectors and the minimum; no minimum is refused, and buckets prune at every size."""
+    for rows in (1_000, 4_000, 1_000_000, 100_000_000):
+        bands, functions = vector_match.plan_bands(rows, 64, 0.7, 0.999)
+        compared = bands * (2 * functions + 1) / 128 ** functions  # share of unrelated pairs that meet, at most
+        assert compared < 0.1
+    assert vector_match.plan_bands(1_000_000, 64, 0.2, 0.95)[0] > bands
+
+
+def test_vector_buckets_prune_and_lose_nothing(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    turned = table.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.transform("v", lambda x, i: F.when(i < 6, -x).otherwise(x)).alias("v"))
+    both = table.unionByName(turned)
+    rows = both.collect()
+    unit = np.array([r.v for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = np.triu(unit @ unit.T, 1) >= 0.7
+    expected = {tuple(sorted((rows[i].vec_id, rows[j].vec_id))) for i, j in zip(*np.nonzero(near))}
+    got = {(r.rep_a, r.rep_b) for r in vector_match.vector_pairs(both, "vec_id", "v", 0.7, 0.999).collect()}
+    assert got <= expected and len(got) >= 0.99 * len(expected) > 1000
+    distinct = both.withColumnRenamed("vec_id", "rep")
+    assert vector_match.bucket_pairs(distinct, 0.7, 0.999, len(rows), 64).count() < 0.1 * len(rows) * (len(rows) - 1) / 2
+
+
+def _links(n):
+    rnd = random.Random(n)
+    out = ["http" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rnd.randint(8, 12))) for _ in range(n)]
+    return sorted({*out, *[v[:-1] + "z" for v in out[::9]]})
+
+
+def test_a_common_start_does_not_pair_its_values(spark):
+    """Values of one start: a small share of the pairs are candidates, at any number of values, and rows equal brute force."""
+    for n in (400, 1600):
+        names = _links(n)
+        df = spark.createDataFrame([(v,) for v in names], "v string")
+        assert similarity_join.jaro_winkler_candidates(df, "v", 0.9).count() < 0.01 * len(names) * (len(names) - 1) / 2
+    got = {(r.value_a, r.value_b) for r in similarity_join.similar_by_jaro_winkler(df, "v", 0.9).collect()}
+    pairs = list(itertools.combinations(names, 2))
+    scores = jaro_winkler_batch([a for a, _ in pairs], [b for _, b in pairs])
+    assert got == {p for p, s in zip(pairs, scores) if round(s, 6) >= 0.9} and len(got) > 100
+
+
+def test_tokens_come_in_measured_order(spark):
+    df = spark.createDataFrame([("aab",), ("ab",), ("abz",)], "v string")
+    assert similarity_join.token_order(df) == [("z", 1), ("a", 2), ("b", 1), ("a", 1)]
+    ranks = {t: k for k, t in enumerate(similarity_join.token_order(df))}
+    assert [chr(code & 0x1FFFFF) for code, _ in similarity_join._ranked_tokens("abaz", ranks)] == ["z", "a", "b", "a"]
+
+
+def test_heavy_signatures_become_grids(spark, monkeypatch):
+    """A third of the values in one block and start: no sub-group holds them, and the rows are the same."""
+    names = _names(6, 240)
+    rows = [("hot" if i % 3 == 0 else f"b{i % 40}", v) for i, v in enumerate(names)]
+    df = spark.createDataFrame(rows, "b string, v string")
+    starts = similarity_join.shared_starts(df.distinct(), ["b"])
+    sides = [similarity_join.jaro_winkler_signatures(starts, ["b"], 0.8, similarity_join.token_order(df), role) for role in (0, 1)]
+
+    def largest(tables, *keys):  # of the signatures that both sides have
+        return max(t.join(o, ["b", "sig"], "left_semi").groupBy("b", "sig", *keys).count().agg(F.max("count")).first()[0]
+                   for t, o in (tables, tables[::-1]))
+    assert largest(sides) > 20 > 14 >= largest(similarity_join.balanced(*sides, ["b"], cell_rows=5), "cell")
+    plain = {tuple(r) for r in similarity_join.similar_by_jaro_winkler(df, "v", 0.8, ["b"]).collect()}
+    cut = similarity_join.balanced
+    monkeypatch.setattr(similarity_join, "HEAVY_START", 20)
+    monkeypatch.setattr(similarity_join, "balanced", lambda short, long, blocks: cut(short, long, blocks, cell_rows=10))
+    assert {tuple(r) for r in similarity_join.similar_by_jaro_winkler(df, "v", 0.8, ["b"]).collect()} == plain != set()
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_many_fields_and_keys_equal_brute_force(spark, threshold):
+    """Three fields, one of them a column's Soundex as a key: each pair once, in its first key."""
+    rnd = random.Random(12)
+    words = _names(4, 18)
+    rows = sorted({(rnd.choice(["k1", "k2", None]), rnd.choice(["smith", "smyth", "lee", None]), rnd.choice([*words, None]), rnd.choice([*words[:7], None]),
+                    rnd.choice([*words[:5], None, ""])) for _ in range(70)}, key=str)
+    df = spark.createDataFrame(rows, "z string, last string, p string, q string, r string")
+    weights = {"p": 0.5, "q": 0.3, "r": 0.2}
+    got = matching.similar_by_fields(df, ["z", "soundex:last"], weights, threshold).collect()
+    sound = {"smith": 1, "smyth": 1, "lee": 2, None: None}
+    tuples = sorted({(z, sound[last], p, q, r or None) for z, last, p, q, r in rows}, key=str)
+    want = collections.Counter()
+    for a, b in itertools.combinations(tuples, 2):
+        key = next((n for n, k in (("z", 0), ("soundex:last", 1)) if a[k] is not None and a[k] == b[k]), None)
+        both = [(w, jaro_winkler_batch([a[i]], [b[i]])[0]) for i, w in zip((2, 3, 4), weights.values()) if a[i] is not None and b[i] is not None]
+        if key and both and round(sum(w * round(s, 6) for w, s in both) / sum(w for w, _ in both), 6) >= threshold:
+            want[key, frozenset({a[2:], b[2:]})] += 1
+    assert collections.Counter((r.matched_key, frozenset({(r.p_a, r.q_a, r.r_a), (r.p_b, r.q_b, r.r_b)})) for r in got) == want != {}
+
+
+def test_decisions_in_two_batches_equal_one(spark):
+    """Labels move by the edges of the approved proposals of a batch; a second batch works on the labels of the first."""
+    records = spark.createDataFrame([(i, str(i // 2)) for i in range(12)], "record_id long, cluster_id string")
+    proposals = spark.createDataFrame([("p1", "0", "1"), ("p2", "1", "2"), ("p3", "3", "4"), ("p4", "4", "5")], "proposal string, a string, b string")
+
+    def said(*rows):
+        return spark.createDataFrame([(t, c, a) for t, (c, a) in enumerate(rows)], "timestamp long, cluster_id string, action string")
+    first = said(("p1", APPROVED), ("p3", APPROVED), ("5", REJECTED), ("p4", APPROVED))
+    second = said(("p2", APPROVED), ("p3", APPROVED))
+    once = apply_decisions(records, first, "record_id", proposals=proposals)
+    labels = {r.record_id: r.cluster_id for r in once.collect()}
+    assert labels == {0: "0", 1: "0", 2: "0", 3: "0", 4: "2", 5: "2", 6: "3", 7: "3", 8: "3", 9: "3", 10: "10", 11: "11"}
+    moved = proposals.replace({"1": "0"}, subset=["a", "b"])  # proposals name the clusters by their present labels
+    twice = {r.record_id: r.cluster_id for r in apply_decisions(once, second, "record_id", proposals=moved).collect()}
+    assert twice == {**labels, 4: "0", 5: "0"}
