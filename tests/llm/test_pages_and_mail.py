@@ -30,6 +30,49 @@ def test_density_rules_without_markup():
         html_blocks.main_text(page) == "\n".join([body.strip(), "Yes.", body.strip()])
 
 
+EN = ("It was the best of times and it was the worst of times, and we had all of it before us as well as nothing at all. "
+      "They were there with us for most of the day, and what we had in our hands was not what they would have.")
+EN2 = ("When the rain had gone we went down to the river, because it was the only way to the town that was still open to us. "
+       "The bridge was not as it had been, so we took the boat of my brother and were on the other side by night.")
+PL = ("Wczoraj wieczorem mieszkańcy miasta spotkali się przed ratuszem, żeby wspólnie obejrzeć pokaz światła przygotowany przez młodych "
+      "artystów. Organizatorzy zapowiadają kolejne wydarzenia jeszcze przed końcem lata, jeśli tylko pogoda dopisze.")
+ZH = "昨天晚上市民们聚集在市政厅前观看年轻艺术家准备的灯光表演主办方表示如果天气允许夏天结束前还会举办更多活动欢迎大家参加并带上家人和朋友一起度过愉快的夜晚。" * 2
+TEASER = "This is what you would read if you had the time for it, and it is not of this page."
+
+
+@pytest.mark.parametrize("page, text", {
+    "teaser article in an aside": (f"<body><aside><article><p>{TEASER}</p></article></aside><div><h1>Head</h1><p>{EN}</p><p>{EN2}</p></div>", ["Head", EN, EN2]),
+    "teaser articles in plain elements": (f"<body><div><h1>Head</h1><p>{EN}</p><p>{EN2}</p><p>{EN}</p></div><div><a href=x><article><h3>One</h3></article></a>"
+                                          "<article><a href=y>Two of them all</a></article></div>", ["Head", EN, EN2, EN]),
+    "wrapper that has a sidebar": (f"<body><div class='layout has-sidebar'><div><p>{EN}</p><p>{EN2}</p></div><div class=sidebar><p>{TEASER}</p></div></div>", [EN, EN2]),
+    "page with comments": (f"<body><div id=page-with-comments><p>{EN}</p><p>{EN2}</p><div id=comments><p>{TEASER}</p></div></div>", [EN, EN2]),
+    "post in a text widget": (f"<body><div class='post text-widget'><p>{EN}</p><p>{EN2}</p></div><div class='widget'><p>{TEASER}</p></div>", [EN, EN2]),
+    "Polish body": (f"<body><div class=menu><a href=a>Start</a></div><div><p>{PL}</p><p>Tak.</p><p>{PL}</p></div><div class=footer>{TEASER}</div>", [PL, "Tak.", PL]),
+    "Chinese body": (f"<body><ul><li><a href=a>首页</a></ul><div><p>{ZH}</p><p>{ZH}</p></div>", [ZH, ZH]),
+    "comments as articles inside main": (f"<main><article><p>{EN}</p><section class=comments><article><p>{TEASER}</p></article></section></article></main>", [EN]),
+    "comment named on the article": (f"<main><article><p>{EN}</p></article><article class='comment'><p>{TEASER}</p></article></main>", [EN]),
+    "articles inside an article": (f"<article><p>{EN}</p><article><p>{TEASER}</p></article><article><p>{EN2}</p></article></article>", [EN]),
+    "a feed of articles": (f"<article><article><p>{EN}</p></article><article><p>{EN2}</p></article></article>", [EN, EN2]),
+    "more comments than article": (f"<body><div class=post><p>{EN}</p></div><div class=comment-list>" + f"<div id=comment-1><p>{EN2}</p></div>" * 9 + "</div>", [EN]),
+    "page inside a form": (f"<body><form id=aspnet><div><p>{EN}</p><p>{EN2}</p><label>Name</label><button>Go</button></div></form>", [EN, EN2]),
+    "small form": (f"<body><div><p>{EN}</p><form><p>{TEASER}</p></form><p>{EN2}</p></div>", [EN, EN2]),
+    "name and copyright around": (f"<body><div>My site</div><div><h1>Head</h1><p>{EN}</p><p>The end.</p></div><div>(c) 2020 us</div>", ["Head", EN, "The end."]),
+    "notice and advert": (f"<body><div class=cookie-notice><p>{TEASER}</p></div><article><p>{EN}</p><div class='ad ad-inline'>Buy</div><p>{EN2}</p></article>", [EN, EN2]),
+    "notice outside the article": (f"<body><div><p>{TEASER}</p></div><article><h1>Head</h1><p>{EN}</p></article>", ["Head", EN]),
+    "header of the post": (f"<body><header>{TEASER}</header><div class=post><header><h1>Head</h1></header><p>{EN}</p><p>{EN2}</p></div>", ["Head", EN, EN2]),
+    "roles": (f"<body><div role=navigation>{TEASER}</div><div role=main><p>{EN}</p><p>Yes.</p></div><div role=contentinfo>{TEASER}</div>", [EN, "Yes."]),
+    "everything is called an advert": (f"<body><div class=ad><p>{EN}</p><p>{EN2}</p>", [EN, EN2]),
+    "list of links between": (f"<body><div><p>{EN}</p><ul><li><a href=a>{TEASER}</a></ul><p>{EN2}</p></div>", [EN, EN2]),
+}.values())
+def test_pages_of_other_builds(page, text):
+    assert html_blocks.main_text(page).split("\n") == [" ".join(t.split()) for t in text]
+
+
+def test_many_names_and_blocks_stay_fast():
+    page = "<main>" + f"<p>{EN}</p>" * 3000 + "</main>" + "".join(f"<div id=comment-{i} class='reply-{i} widget-{i}'><p>{TEASER}</p></div>" for i in range(3000))
+    assert html_blocks.main_text(page) == "\n".join([EN] * 3000)
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>&amp;&#x41;&bogus", "</p></div>", "<div class=\"ad\"><article><p>in", "<!-- open", "<a " * 2000,
                                   "<script>never closed", "<p>" * 5000 + "deep", "text only"])
 def test_broken_pages(page):
