@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldweave.llm import (
@@ -46,18 +46,31 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations as a mailbox, made by Spark: a turn quotes the turn before, and the first line of the one before that."""
+    """The conversations as a mailbox, made by Spark, in which all conversations run at the same time.
+
+    A turn quotes the whole turn before last at level 2 and the whole turn before at level 1. Every second mail has its
+    quotes re-wrapped; every third answers inside the quote, after its first line. Repeats of a turn are one text.
+    """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("said"), F.min("role").alias("by"))
+    said = turns.groupBy("conv_id", "turn").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("said"), F.min("role").alias("by"))
     one, two = (said.select("conv_id", (F.col("turn") + k).alias("turn"), *[F.col(c).alias(f"{c}{k}") for c in ("said", "by")])
                 for k in (1, 2))
-    quote = F.concat(F.lit("On turn "), F.col("turn") - 1, F.lit(", "), F.coalesce("by1", F.lit("")), F.lit(" wrote:\n"),
-                     F.when(F.col("said2").isNotNull(), F.concat(F.lit(">> "), F.substring_index("said2", "\n", 1), F.lit("\n")))
-                     .otherwise(""), F.lit("> "), F.replace("said1", F.lit("\n"), F.lit("\n> ")), F.lit("\n"))
-    number = F.col("conv_id") * 1048576 + F.col("turn")
+    place = F.col("conv_id") + F.col("turn")
+
+    def quoted(text: Column, mark: str) -> Column:
+        wrapped = F.when((place % 2 == 1) & (place % 3 != 0), F.regexp_replace(text, "(.{1,60}) ", "$1\n")).otherwise(text)
+        return F.concat(F.lit(mark), F.replace(wrapped, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+
+    deeper = F.coalesce(quoted(F.col("said2"), ">> "), F.lit(""))
+    head = F.concat(F.lit("On turn "), F.col("turn") - 1, F.lit(", "), F.coalesce("by1", F.lit("")), F.lit(" wrote:\n"), deeper)
+    whole = F.concat(head, quoted(F.col("said1"), "> "), "text")
+    first, rest = (F.regexp_extract("said1", r"(?s)\A([^\n]*)\n(.*)\z", g) for g in (1, 2))
+    own, more = (F.regexp_extract("text", r"(?s)\A([^\n]*)(.*)\z", g) for g in (1, 2))
+    inside = F.concat(head, quoted(first, "> "), own, F.lit("\n"), quoted(rest, "> "), F.substring(more, 2, F.lit((1 << 31) - 1)))
+    text = F.when(F.col("said1").isNull(), F.col("text")).when((place % 3 == 0) & F.col("said1").contains("\n"), inside).otherwise(whole)
     return turns.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left").select(
-        number.alias("msg_id"), number.alias("sent"),
-        F.concat(F.when(F.col("said1").isNotNull(), quote).otherwise(""), "text").alias("text"))
+        (F.col("conv_id") * 1048576 + F.col("turn")).alias("msg_id"), (F.col("turn") * 1099511627776 + F.col("conv_id")).alias("sent"),
+        text.alias("text"))
 
 
 @registered
@@ -66,26 +79,39 @@ def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(mails(spark, sf_dir))
 
 
-SQL["op4_quotes"] = r"""
-WITH turns AS (SELECT conv_id * 1048576 + turn AS msg_id, conv_id, turn, text FROM conversations),
-lined AS (
-  SELECT *, len(list_filter(list_transform(string_split(text, chr(10)),
-             lambda l: trim(regexp_replace(lower(l), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda l: l <> '')) AS n_lines,
-         trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}]+', ' ', 'g')) <> '' AS opens
-  FROM turns),
-linked AS (
-  SELECT t.*, p.msg_id AS before_id, p.n_lines AS before_lines, coalesce(pp.opens, false) AS before_opens,
-         coalesce(p.n_lines > 0, false) AS linked
-  FROM lined t LEFT JOIN lined p ON p.msg_id = t.msg_id - 1 AND p.conv_id = t.conv_id
-  LEFT JOIN lined pp ON pp.msg_id = t.msg_id - 2 AND pp.conv_id = t.conv_id),
-grouped AS (
-  SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS thread FROM linked)
-SELECT msg_id, min(msg_id) OVER w AS thread_id, turn - min(turn) OVER w AS position, turn - min(turn) OVER w AS depth,
-       CASE WHEN linked THEN before_id END AS parent_id,
-       CAST(CASE WHEN before_id IS NULL THEN 0 ELSE before_lines + CASE WHEN before_opens THEN 1 ELSE 0 END END AS BIGINT) AS n_quoted,
-       CAST(CASE WHEN before_id IS NULL THEN 0 ELSE before_lines + CASE WHEN before_opens THEN 1 ELSE 0 END END AS BIGINT) AS n_linked,
-       CASE WHEN before_id IS NULL THEN text ELSE trim(text, chr(32) || chr(9) || chr(13) || chr(10)) END AS text
-FROM grouped WINDOW w AS (PARTITION BY conv_id, thread)
+def _units_sql(parts: str) -> str:
+    return (f"list_distinct(list_filter(list_transform({parts}, lambda l: trim(regexp_replace(lower(l), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), "
+            "lambda l: l <> ''))")
+
+
+_SENTENCES_SQL = _units_sql(f"string_split(regexp_replace(text, '{quotes.SENTENCE_END}', chr(1), 'g'), chr(1))")
+_PIECES_SQL = _units_sql(f"string_split(regexp_replace(text, '{quotes.SENTENCE_END}|\\n', chr(1), 'g'), chr(1))")
+# Passages are what the mailbox quotes, before it is wrapped; each unit goes to the latest earlier message that holds it.
+SQL["op4_quotes"] = rf"""
+WITH RECURSIVE turns AS (SELECT conv_id * 1048576 + turn AS msg_id, turn * 1099511627776 + conv_id AS sent, conv_id, turn, text FROM conversations),
+before AS (SELECT t.msg_id, t.sent, k.k AS level, p.text, (t.conv_id + t.turn) % 3 = 0 AND k.k = 1 AND contains(p.text, chr(10)) AS cut
+           FROM turns t CROSS JOIN (VALUES (1), (2)) k(k) JOIN turns p ON p.conv_id = t.conv_id AND p.turn = t.turn - k.k
+           JOIN turns q ON q.conv_id = t.conv_id AND q.turn = t.turn - 1),
+passages AS (SELECT msg_id, sent, level, 0 AS part, CASE WHEN cut THEN string_split(text, chr(10))[1] ELSE text END AS text FROM before
+             UNION ALL SELECT msg_id, sent, level, 1, array_to_string(string_split(text, chr(10))[2:], chr(10)) FROM before WHERE cut),
+units AS (SELECT msg_id, sent, level, part, 0 AS kind, unnest({_SENTENCES_SQL}) AS unit FROM passages
+          UNION ALL SELECT msg_id, sent, level, part, 1, unnest({_PIECES_SQL}) FROM passages),
+originals AS (SELECT DISTINCT sent, msg_id AS source, unit FROM (SELECT *, unnest(list_concat({_SENTENCES_SQL}, {_PIECES_SQL})) AS unit FROM turns)),
+found AS (SELECT u.*, o.sent AS source_sent, source FROM units u ASOF LEFT JOIN originals o ON u.unit = o.unit AND u.sent > o.sent),
+linked AS (SELECT msg_id, level, part, min(kind) AS kind FROM (
+    SELECT msg_id, level, part, kind FROM found GROUP BY ALL
+    HAVING sum(CASE WHEN source IS NULL THEN 0 ELSE length(unit) END) >= {quotes.COVERAGE} * sum(length(unit))) GROUP BY ALL),
+parents AS (SELECT msg_id, arg_max(source, (size, source_sent)) AS parent FROM (
+    SELECT f.msg_id, source, source_sent, sum(length(unit)) AS size FROM found f JOIN linked USING (msg_id, level, part, kind)
+    WHERE level = 1 AND source IS NOT NULL GROUP BY ALL) GROUP BY 1),
+threads(msg_id, thread_id, depth) AS (
+    SELECT msg_id, msg_id, CAST(0 AS BIGINT) FROM turns WHERE msg_id NOT IN (SELECT msg_id FROM parents)
+    UNION ALL SELECT p.msg_id, thread_id, depth + 1 FROM threads t JOIN parents p ON p.parent = t.msg_id)
+SELECT t.msg_id, thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY sent, t.msg_id) - 1 AS position, depth, parent AS parent_id,
+       (SELECT count(DISTINCT (level, part)) FROM units u WHERE u.msg_id = t.msg_id) AS n_quoted,
+       (SELECT count(*) FROM linked l WHERE l.msg_id = t.msg_id) AS n_linked,
+       CASE WHEN EXISTS (FROM before b WHERE b.msg_id = t.msg_id) THEN trim(text, chr(32) || chr(9) || chr(13) || chr(10)) ELSE text END AS text
+FROM turns t JOIN threads USING (msg_id) LEFT JOIN parents p ON p.msg_id = t.msg_id
 """
 
 

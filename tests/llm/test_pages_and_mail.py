@@ -109,10 +109,39 @@ def test_threads_from_quotes(spark):
     assert {i: (r.thread_id, r.position, r.depth, r.parent_id) for i, r in rows.items() if i in (1, 2, 3, 5)} == {
         1: (1, 0, 0, None), 2: (1, 1, 1, 1), 3: (1, 2, 2, 2), 5: (1, 3, 3, 3)}
     assert [rows[i].text for i in (2, 3, 5, 7)] == ["Good thanks!", "Great to hear.", "indeed", "x"]
-    assert (rows[3].n_quoted, rows[3].n_linked, rows[7].n_linked, rows[7].thread_id) == (2, 2, 0, 7)
+    assert (rows[3].n_quoted, rows[3].n_linked, rows[7].n_quoted, rows[7].n_linked, rows[7].thread_id) == (2, 2, 1, 0, 7)
     assert quotes.link(df.limit(0)).count() == 0
 
 
+SAID = ("We looked at the plan for the new bridge. It is longer than the old one\nand it will cost more! Who is to pay for it?\n\n"
+        "The town has no money left this year. Ask again in spring.")
+WRAPPED = "\n".join("> " + " ".join(SAID.split()[i:i + 7]) for i in range(0, len(SAID.split()), 7))
+
+
+@pytest.mark.parametrize("quote, linked, quoted", [
+    (WRAPPED, 1, 1),  # wrapped elsewhere
+    (WRAPPED.replace("> ", "> > "), 1, 1),  # a deeper level names no parent
+    ("> It is longer than the old one", 1, 1),  # a line that ends inside a sentence
+    ("> We looked at the plan for the new bridge.\nwe did\n> Ask again in spring.", 2, 2),  # answered in between
+    ("> The town has no money left this year. Ask again in autumn, or in winter, or never.", 0, 1),  # mostly changed
+    (">\n> \n>", 0, 0),  # nothing quoted
+    (f"Am Montag, dem ersten {'x' * 400} schrieb:\n{WRAPPED}", 1, 1),  # a long announcing line
+])
+def test_quoted_passages(spark, quote, linked, quoted):
+    rows = [(1, 1, SAID), (2, 2, "Something else altogether. Nothing to see here."), (3, 3, f"{quote}\n\nmine"), (4, 4, None), (5, 5, "")]
+    got = {r.msg_id: r for r in quotes.link(spark.createDataFrame(rows, "msg_id long, sent long, text string")).collect()}
+    assert (got[3].n_linked, got[3].n_quoted) == (linked, quoted)
+    assert got[3].parent_id == (1 if linked and not quote.startswith("> >") else None)
+    assert got[3].text in ("mine", "we did\n\nmine") and got[1].text == SAID
+
+
+def test_a_very_long_quote(spark):
+    said = "\n".join(f"line {i} of it. And {i} more" for i in range(20000))
+    rows = [(1, 1, said), (2, 2, "".join(f"> {line}\n" for line in said.replace(" And", "\nAnd").split("\n")) + "so")]
+    got = {r.msg_id: r for r in quotes.link(spark.createDataFrame(rows, "msg_id long, sent long, text string")).collect()}
+    assert (got[2].parent_id, got[2].n_linked, got[2].text) == (1, 1, "so")
+
+
 def test_a_passage_everyone_quotes(spark):
     """A line that all messages hold: every quote goes to the latest earlier message, without pairs."""
     rows = [(i, i, "> same words here\nsame words here") for i in range(1, 400)]
