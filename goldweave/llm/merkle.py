@@ -68,6 +68,25 @@ def likeness(a: Column, b: Column) -> Column:
         2.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(x) + F.size(y), F.lit(1)))
 
 
+def _first_unequal(x: Column, y: Column) -> Column:
+    """The place, from 0, of the first nodes that differ or that one side lacks; null if there are none."""
+    place = F.array_position(F.zip_with(x, y, lambda l, r: l.eqNullSafe(r)), F.lit(False))
+    return F.when(place > 0, place - 1).cast("long")
+
+
+def first_difference(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``section`` and ``paragraph`` (from 0), where the trees of two prints first part.
+
+    Descends from the roots: equal roots stop there, else the first differing section is entered and in it the
+    first differing paragraph found. Both are null for equal or null prints; a section that one
+    side lacks differs in its first paragraph.
+    """
+    entered = [F.when(root(F.col(a)) != root(F.col(b)), sections(_leaves(F.col(p)))) for p in (a, b)]
+    at = pairs.withColumn("_x", entered[0]).withColumn("_y", entered[1]).withColumn("section", _first_unequal(F.col("_x"), F.col("_y")))
+    below = [paragraphs(F.coalesce(F.get(F.col(c), F.col("section").cast("int")), F.lit(""))) for c in ("_x", "_y")]
+    return at.withColumn("paragraph", F.when(F.col("section").isNotNull(), _first_unequal(*below))).drop("_x", "_y")
+
+
 def differences(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """The branches that differ: ``pairs`` with ``side`` (a or b), ``section``, ``paragraph`` (both from 0).
 
@@ -125,11 +144,11 @@ def with_next_text(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def edited_and_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Per row the fingerprints of its text and of an edited text, and their likeness.
+    """Per row the fingerprints of its text and of an edited text, their likeness and where the edit begins.
 
     The edited text has the last third of the code points replaced by as many of the next document's
     first. Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next``. Equal texts have equal fingerprints; two empty texts are alike (1); a null text is
+    near_next, edit_section, edit_paragraph`` (the first branch that differs, null if none does). Equal texts have equal fingerprints; two empty texts are alike (1); a null text is
     empty; a table of one row is its own next document. Repeated rows stay, other columns are ignored.
     """
     beside = with_next_text(docs, id_column, text_column, range_bytes).withColumn("n_chars", F.length("text"))
@@ -140,7 +159,9 @@ def edited_and_next(docs: DataFrame, id_column: str = "doc_id", text_column: str
         fingerprint(tree(F.col("text"))).alias("fingerprint"),
         fingerprint(tree(F.col("edited"))).alias("edited_fingerprint"),
         fingerprint(tree(F.col("next_text"))).alias("next_fingerprint"))
-    return prints.select(
+    located = first_difference(prints, "fingerprint", "edited_fingerprint")
+    return located.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.col("section").alias("edit_section"), F.col("paragraph").alias("edit_paragraph"))

@@ -210,6 +210,10 @@ _SET_SQL = "list_distinct(list_transform({0}, lambda l: left(l, 8)))"
 _NEAR_SQL = ("CASE WHEN " + _ROOT_SQL + " = " + _ROOT_SQL.replace("{0}", "{1}") + " THEN 1.0 ELSE CAST(2.0 * len(list_intersect("
              + _SET_SQL + ", " + _SET_SQL.replace("{0}", "{1}") + ")) AS DOUBLE) / greatest(len(" + _SET_SQL + ") + len("
              + _SET_SQL.replace("{0}", "{1}") + "), 1) END")
+_SECTIONS_SQL = "regexp_extract_all(array_to_string(list_transform({0}, lambda l: left(l, 8) || right(l, 1)), ''), '[^/]+/?')"
+_PARAGRAPHS_SQL = "regexp_extract_all(coalesce({0}[edit_section + 1], ''), '[^;/]+[;/]?')"
+_FIRST_SQL = ("(SELECT min(i) - 1 FROM (SELECT unnest(range(1, greatest(len({0}), len({1})) + 1)) AS i) "
+              "WHERE {0}[i] IS DISTINCT FROM {1}[i])")
 SQL["op8_merkle"] = f"""
 WITH own AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 beside AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, length(text) AS n FROM own
@@ -218,7 +222,10 @@ edited AS (SELECT *, substring(text, 1, n - n // 3) || substring(next_text, 1, n
 trees AS (SELECT doc_id, n, edited, {_tree_sql("text")} AS a, {_tree_sql("edited")} AS b, {_tree_sql("next_text")} AS c FROM edited)
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_PRINT_SQL.format("a")} AS fingerprint,
        {_PRINT_SQL.format("b")} AS edited_fingerprint, CAST({_NEAR_SQL.format("a", "b")} AS DOUBLE) AS near_edited,
-       CAST({_NEAR_SQL.format("a", "c")} AS DOUBLE) AS near_next FROM trees
+       CAST({_NEAR_SQL.format("a", "c")} AS DOUBLE) AS near_next, edit_section,
+       CASE WHEN edit_section IS NOT NULL THEN {_FIRST_SQL.format(_PARAGRAPHS_SQL.format("x"), _PARAGRAPHS_SQL.format("y"))} END AS edit_paragraph
+FROM (SELECT *, CASE WHEN {_ROOT_SQL.format("a")} <> {_ROOT_SQL.format("b")} THEN {_FIRST_SQL.format("x", "y")} END AS edit_section
+      FROM (SELECT *, {_SECTIONS_SQL.format("a")} AS x, {_SECTIONS_SQL.format("b")} AS y FROM trees))
 """
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import re
 import zlib
 
 import pytest
@@ -158,6 +159,35 @@ def test_merkle_locates_an_edit(spark):
     assert merkle.differences(df.select("x", F.col("x").alias("y")), "x", "y").count() == 0
 
 
+def _first_branch(x, y):
+    """Section and paragraph at which two prints part, by splitting their leaves in Python."""
+    if x is None or y is None or x.split("|")[0] == y.split("|")[0]:
+        return None, None
+
+    def parted(a, b):
+        return next((i for i in range(max(len(a), len(b))) if a[i:i + 1] != b[i:i + 1]), None)
+    trees = [re.findall("[^/]+/?", p.split("|")[1]) for p in (x, y)]
+    section = parted(*trees)
+    if section is None:
+        return None, None
+    return section, parted(*[re.findall("[^;/]+[;/]?", t[section] if section < len(t) else "") for t in trees])
+
+
+def test_merkle_descends_to_the_first_difference(spark, docs):
+    lines = [f"This is a paragraph of a longer text, with a few more words and the number {i}.\n" for i in range(60)]  # ends differ: several sections
+    texts = ["".join(lines), "".join(lines[:30]), "".join(lines[:7] + ["new\n"] + lines[7:]), "".join(["new\n"] + lines), "", "one", "one line\n", None,
+             "".join(lines[:59] + ["the last one is another"])]
+    texts += ["".join(lines[:i] + ["Another line in its place.\n"] + lines[i + 1:]) for i in range(20, 32)]
+    prints = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", merkle.fingerprint(merkle.tree(F.col("t"))).alias("x"))
+    pairs = prints.join(prints.select(F.col("i").alias("j"), F.col("x").alias("y")), F.col("i") * 0 == F.col("j") * 0)
+    found = merkle.first_difference(pairs, "x", "y").collect()
+    assert len(found) == len(texts) ** 2
+    assert all((r.section, r.paragraph) == _first_branch(r.x, r.y) for r in found)
+    assert any(r.section and r.paragraph for r in found) and merkle.first_difference(pairs.limit(0), "x", "y").count() == 0
+    for r in merkle.edited_and_next(docs).collect():
+        assert (r.edit_section, r.edit_paragraph) == _first_branch(r.fingerprint, r.edited_fingerprint)
+
+
 def test_bpe_is_the_tokenizers(docs):
     import tokenizers
     tok = tokenizers.Tokenizer.from_file(bpe_words.default_vocabulary())
