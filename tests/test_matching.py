@@ -73,6 +73,23 @@ def test_edit_distance_join_is_exact(spark, threshold):
     assert got == set(expected)
 
 
+def test_texts_that_share_their_parts_are_compared_in_blocks(spark, monkeypatch):
+    """Addresses of one site meet in most signatures; the comparison in blocks gives the same pairs."""
+    rnd = random.Random(12)
+    texts = sorted({f"https://site.example.org/{rnd.choice(['en', 'fr'])}/{rnd.randrange(9_000)}{rnd.choice(['', '.html', '?é=' + 'x' * 40])}" for _ in range(400)})
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    monkeypatch.setattr(similarity_join, "HEAVY_START", 100)
+    called = []
+    compared = similarity_join.compared_texts
+    monkeypatch.setattr(similarity_join, "compared_texts", lambda *a: called.append(1) or compared(*a, 64))
+    rows = similarity_join.similar_by_edit_distance(df, "v", 0.9).collect()
+    assert called
+    got = {(r.value_a, r.value_b) for r in rows}
+    monkeypatch.setattr(similarity_join, "HEAVY_START", 10_000)
+    expected = {(r.value_a, r.value_b) for r in similarity_join.similar_by_edit_distance(df, "v", 0.9).collect()}
+    assert len(called) == 1 and len(rows) == len(got) and got == expected and len(got) > 1000
+
+
 def test_joins_within_blocks_equal_the_dictionary(spark):
     rows = [(i, f"b{i % 3}", n) for i, n in enumerate(_names(3, 150))]
     members = similarity_join.value_members(spark.createDataFrame(rows, "id long, b string, name string"), "id", ["b"], "name")
@@ -246,6 +263,23 @@ def test_vector_buckets_prune_and_lose_nothing(spark):
     assert vector_match.bucket_pairs(distinct, 0.7, 0.999, len(rows), 64).count() < 0.1 * len(rows) * (len(rows) - 1) / 2
 
 
+def test_all_vectors_are_compared_in_blocks(spark):
+    """Near copies meet in every band, so their candidates are many times the pairs; blocks give each pair once."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.standard_normal((30, 16)), 20, axis=0) + 0.1 * rng.standard_normal((600, 16))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, v[3].tolist()), (901, [0.0] * 16), (902, None), (None, v[5].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert vector_match.all_in_blocks(200_000, 64, 301, 3) and not vector_match.all_in_blocks(10_000_000, 64, 10, 3)
+    distinct = df.filter("id < 900").select(F.col("id").alias("rep"), F.col("id").alias("node"), F.lit(1).cast("long").alias("n"), "v")
+    blocked = vector_match.compared_pairs(distinct, 0.9, 600, 16, 100).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    expected = {tuple(p) for p in np.argwhere(np.triu(unit @ unit.T >= 0.9, 1)).tolist()}
+    assert {(r.rep_a, r.rep_b) for r in blocked} == expected and len(blocked) == len(expected)
+    whole = vector_match.vector_pairs(df, "id", "v", 0.9)
+    assert "Join" not in whole._jdf.queryExecution().toString()  # pairs leave the blocks with their scores
+    assert {(r.rep_a, r.rep_b) for r in whole.collect()} == expected
+
+
 def _links(n):
     rnd = random.Random(n)
     out = ["http" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rnd.randint(8, 12))) for _ in range(n)]
