@@ -109,9 +109,21 @@ def _units(text: bytes, head: Head) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _neighbours(training: DataFrame, head, classes: np.ndarray) -> DataFrame:
+def _encoded(training: DataFrame, head) -> DataFrame:
+    """``units``: the units of the tokens of every text, two bytes each (there are fewer than 65,536 units)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                some = batch.slice(low, 512)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_units(text, head.value).astype("<u2").tobytes() for text in texts_of(some, "text")], pa.binary())], names=["units"])
+
+    return training.select("text").mapInArrow(run, "units binary")
+
+
+def _neighbours(encoded: DataFrame, n_units: int, classes: np.ndarray) -> DataFrame:
     """``unit, vector``: how often each class precedes (first half) and follows (second half) the unit's tokens."""
-    shared = training.sparkSession.sparkContext.broadcast(classes.astype(np.uint8))
+    shared = encoded.sparkSession.sparkContext.broadcast(classes.astype(np.uint8))
     width = 2 * CLASSES
 
     def counted(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -124,14 +136,15 @@ def _neighbours(training: DataFrame, head, classes: np.ndarray) -> DataFrame:
                 names=["unit", "vector"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, classes = head.value, shared.value
-        total, pending, waiting = np.zeros(own.n_units * width, np.int64), [], 0
+        classes = shared.value
+        total, pending, waiting = np.zeros(n_units * width, np.int64), [], 0
         for batch in batches:
-            for text in texts_of(batch, "text"):
-                units = _units(text, own)
-                of = classes[units].astype(np.int64)
-                pending.append((units[1:] * width + of[:-1]))
-                pending.append((units[:-1] * width + CLASSES + of[1:]))
+            for coded in batch.column("units").to_pylist():
+                units = np.frombuffer(coded, "<u2").astype(np.int64)
+                of = classes[units]
+                units *= width
+                pending.append(units[1:] + of[:-1])
+                pending.append(units[:-1] + CLASSES + of[1:])
                 waiting += len(units)
                 if waiting > 1 << 20:
                     total += np.bincount(np.concatenate(pending), minlength=len(total))
@@ -151,7 +164,7 @@ def _neighbours(training: DataFrame, head, classes: np.ndarray) -> DataFrame:
                 [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
                 names=["unit", "vector"])
 
-    parts = training.select("text").mapInArrow(run, "unit int, vector binary")
+    parts = encoded.mapInArrow(run, "unit int, vector binary")
     return parts.repartition("unit").mapInArrow(added, "unit int, vector binary")
 
 
@@ -238,8 +251,9 @@ def fit(training: DataFrame, counts: DataFrame, tokens: int, rounds: int = ROUND
     classes = 1 + classes % (CLASSES - 1)  # by rank: the most frequent words open the classes
     classes[end] = 0
     best = None
+    encoded, _ = materialise(_encoded(training, head), "class-units")  # texts are cut into words once for all rounds
     for step in range(rounds + 1):
-        vectors, _ = materialise(_neighbours(training, head, classes), "class-neighbours")
+        vectors, _ = materialise(_neighbours(encoded, own.n_units, classes), "class-neighbours")
         bigrams = _class_bigrams(vectors, classes)
         value = _likelihood(bigrams)
         if best is None or value > best[0]:
