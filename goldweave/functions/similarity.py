@@ -84,15 +84,20 @@ def jaro_winkler(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
     for a, b in batches:
         out = np.full(len(a), np.nan)
         known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
-        left, right = a.iloc[known].tolist(), b.iloc[known].tolist()
-        size = np.fromiter((max(len(x), len(y)) for x, y in zip(left, right)), dtype=np.int64, count=len(known))
+        # equal pairs of a batch are scored once
+        (at_a, texts_a), (at_b, texts_b) = (pd.factorize(c.iloc[known]) for c in (a, b))
+        pairs, place = np.unique(at_a * max(len(texts_b), 1) + at_b, return_inverse=True)
+        left, right = (list(texts[at]) for texts, at in zip((texts_a, texts_b), np.divmod(pairs, max(len(texts_b), 1))))
+        scores = np.empty(len(pairs))
+        size = np.fromiter((max(len(x), len(y)) for x, y in zip(left, right)), dtype=np.int64, count=len(pairs))
         order = np.argsort(size, kind="stable")
         start = 0
         while start < len(order):  # parts of similar length, so padding and memory stay small
             part = order[start:start + _PART]
             part = part[:max(1, _CELLS // max(1, int(size[part[-1]])))]
-            out[known[part]] = jaro_winkler_batch([left[i] for i in part], [right[i] for i in part])
+            scores[part] = jaro_winkler_batch([left[i] for i in part], [right[i] for i in part])
             start += len(part)
+        out[known] = scores[place]
         yield pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 

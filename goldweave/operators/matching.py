@@ -175,7 +175,7 @@ def similar_by_fields(df: DataFrame, keys: list[str], fields: dict[str, float],
         a, b = F.col(f"{field}_a"), F.col(f"{field}_b")
         return F.when(a == b, 1.0).otherwise(F.round(jaro_winkler(a, b), 6))
 
-    out = None
+    out, tasks = None, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for n, field in enumerate(order):
         heaviest = sum(fields[f] for f in order[n:])
         bound = 1 - (1 - threshold) * heaviest / fields[field]
@@ -183,7 +183,9 @@ def similar_by_fields(df: DataFrame, keys: list[str], fields: dict[str, float],
         values = _value_pairs(placed.filter(F.col(field).isNotNull()), field, bound, ["_at", "_key"]).select(
             "_at", "_key", F.col("value_a").alias(f"{field}_a"), F.col("value_b").alias(f"{field}_b"), F.col("score").alias(f"score_{field}"))
         differ = values.join(a, ["_at", "_key", f"{field}_a"]).join(b, ["_at", "_key", f"{field}_b"])
-        equal = (a.withColumn("_same", F.col(f"{field}_a")).join(b.withColumn("_same", F.col(f"{field}_b")).hint("merge"), ["_at", "_key", "_same"])
+        # The pairs are many times the rows, which adaptive execution does not see: a number of its own keeps all tasks.
+        same_a, same_b = (rows.withColumn("_same", F.col(f"{field}_{s}")).repartition(tasks, "_at", "_key", "_same") for rows, s in ((a, "a"), (b, "b")))
+        equal = (same_a.join(same_b.hint("merge"), ["_at", "_key", "_same"])
                  .filter("_node_a < _node_b").drop("_same").withColumn(f"score_{field}", F.lit(1.0)))
         met = differ.unionByName(equal)
         for earlier in order[:n]:  # formed by an earlier field if both know one

@@ -263,6 +263,21 @@ def test_vector_buckets_prune_and_lose_nothing(spark):
     assert vector_match.bucket_pairs(distinct, 0.7, 0.999, len(rows), 64).count() < 0.1 * len(rows) * (len(rows) - 1) / 2
 
 
+def test_equal_pairs_of_a_batch_are_scored_once(monkeypatch):
+    import pandas as pd
+
+    from goldweave.functions import similarity
+
+    words = ["gear", "gears", None, "geär", ""]
+    pairs = [(a, b) for a in words for b in words] * 20
+    scored, plain = [], similarity.jaro_winkler_batch
+    udf = similarity.jaro_winkler.func
+    monkeypatch.setitem(udf.__globals__, "jaro_winkler_batch", lambda a, b: scored.append(len(a)) or plain(a, b))
+    got = next(iter(udf(iter([tuple(pd.Series(c, dtype=object) for c in zip(*pairs))])))).tolist()
+    assert sum(scored) == 16  # of 320 known ones
+    assert got == [None if a is None or b is None else plain([a], [b])[0] for a, b in pairs]
+
+
 def test_all_vectors_are_compared_in_blocks(spark):
     """Near copies meet in every band, so their candidates are many times the pairs; blocks give each pair once."""
     rng = np.random.default_rng(5)
