@@ -103,6 +103,14 @@ def _runs(hashes: str, width: int) -> Column:
                        lambda _, i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
 
 
+def _open_runs(hashes: str, opens: str, width: int) -> Column:
+    """The hash of every run of ``width`` tokens that holds one of the places ``opens``."""
+    last = F.size(hashes) - width
+    starts = F.flatten(F.transform(opens, lambda p: F.sequence(F.greatest(p - (width - 1), F.lit(0)), F.least(p, last))))
+    runs = F.transform(F.array_distinct(starts), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+    return F.when(last >= 0, runs).otherwise(F.array().cast("array<long>"))
+
+
 def _exact_runs(slots: str, values: str, width: int) -> Column:
     """The keys of the runs of placeholders only; ``slots`` has a 1 per token that may be one. Most texts have none."""
     full = F.lit("1" * width)
@@ -189,13 +197,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage
     # Hashes alone, over all rows; the items' side is broadcast while it is small.
     typed = _typed(keyed, "text").select("doc_id", "text_hash", "values", *[
         F.transform("types", lambda t: F.xxhash64(_read(t, r[1]))).alias(f"read{n}") for n, r in enumerate(_TEXT_READINGS)],
+        F.array_compact(F.transform("types", lambda t, i: F.when(t.startswith(_OPENS), i))).alias("opens"),
         F.array_join(F.transform("types", lambda t: F.when(t.startswith("<") | t.startswith(_OPENS), "1").otherwise("0")), "").alias("slots"))
     hashed = None
     for w in widths or [width]:  # usually one; the second and later are for items shorter than a window
         if w < width:
             found = F.concat(*[_windows(f"read{n}", "values", w, True) for n in range(len(_TEXT_READINGS))])
         else:
-            found = F.concat(*[_runs(f"read{n}", w) for n in range(len(_TEXT_READINGS))], _exact_runs("slots", "values", w))
+            # Both readings differ only in the windows of an open type.
+            found = F.concat(_runs("read0", w), _open_runs("read1", "opens", w), _exact_runs("slots", "values", w))
         part = typed.select("doc_id", "text_hash", F.lit(w).alias("width"), F.explode(F.array_distinct(found)).alias("hash"))
         part = part if w < width else part.filter(~F.col("hash").isin(_slots_only(w)))
         hashed = part if hashed is None else hashed.unionByName(part)

@@ -365,3 +365,24 @@ def test_words_go_straight_to_the_merges_with_the_same_ids(documents):
 
 def test_words_are_ascii_white_space_words():
     assert words("A\x0bB C\x1cD e") == ["a", "b c\x1cd", "e"]
+
+
+def test_windows_of_open_types_complete_the_second_reading(spark):
+    """Only windows that hold an open type differ between the readings; all others are hashed once."""
+    lists = [["a", "^b", "c", "d", "e", "f", "g", "^h"], ["^a"], [], ["a", "b", "c", "d", "e", "f"], ["^a", "^b", "^c", "d", "e"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, types array<string>")
+    reads = df.select("types", *[F.transform("types", lambda t: F.xxhash64(templates._read(t, r))).alias(f"read{int(r)}") for r in (False, True)],
+                      F.array_compact(F.transform("types", lambda t, i: F.when(t.startswith("^"), i))).alias("opens"))
+    rows = reads.select("types", templates._runs("read0", 3).alias("one"), templates._runs("read1", 3).alias("two"),
+                        templates._open_runs("read1", "opens", 3).alias("some")).collect()
+    for r in rows:
+        assert set(r.one) | set(r.some) == set(r.one) | set(r.two)
+        assert len(r.some) == sum(any(t.startswith("^") for t in r.types[k:k + 3]) for k in range(len(r.types) - 2))
+
+
+def test_class_lm_units_are_kept_for_all_rounds(documents, monkeypatch):
+    """Texts are cut into words once before the rounds, not in each."""
+    said, plain = [], class_lm.materialise
+    monkeypatch.setattr(class_lm, "materialise", lambda df, purpose, **m: said.append((purpose, df.columns)) or plain(df, purpose, **m))
+    assert class_lm.score(documents.limit(20), rounds=2).count() == 20
+    assert [c for p, c in said if p == "class-units"] == [["units"]] and sum(p == "class-neighbours" for p, _ in said) == 3
