@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ SHARD_ROWS = 2048
 _FAN, _BLOCK = 64, 8192
 #: Neighbours a node keeps per shard, candidates it chooses them from (nearest and random ones), slack of the pruning.
 DEGREE, _NEAREST, _RANDOM, _ALPHA = 32, 64, 32, 1.2
-#: Queries searched side by side, nodes each opens at a time, and how far below the threshold a node is still expanded.
-_CHUNK, _STEP, _SLACK = 1024, 4, 0.05
+#: Queries searched side by side and pairs they can find at most, nodes each opens at a time, and how far below the threshold a node is still expanded.
+_CHUNK, _PAIRS, _STEP, _SLACK = 1024, 1 << 22, 4, 0.05
+#: Draws of pivots to begin with: near vectors that no shard of one draw holds together meet in another's.
+_DRAWS = 2
 #: Classes whose links are counted by brute force to measure the recall.
 AUDITED = 512
 
@@ -125,19 +128,23 @@ def _cells(some: pa.RecordBatch, node: np.ndarray, home: np.ndarray, unit: np.nd
             names=["label", "dims", "node", "vector", "home", "shard", "cell"])
 
 
-def overlapping_shards(nodes: DataFrame, shard_rows: int = SHARD_ROWS, rounds: int = 40) -> DataFrame:
+def overlapping_shards(nodes: DataFrame, shard_rows: int = SHARD_ROWS, rounds: int = 40, draw: int = 0) -> DataFrame:
     """``shard, label, dims, node, home, vector``: every node in its home shard and copies of it in neighbouring ones.
 
     A shard above ``shard_rows`` is divided by pivots until none is left; each division adds at most one copy of
-    a node. The loop raises after ``rounds`` divisions, it never keeps a large shard.
+    a node. The loop raises after ``rounds`` divisions, it never keeps a large shard. Another ``draw`` divides what is
+    above ``shard_rows`` by other pivots; homes are those of the first draw.
     """
-    rows = nodes.select(F.xxhash64("label", "dims").alias("shard"), "label", "dims", "node", F.lit(True).alias("home"), "vector")
+    whole = F.xxhash64("label", "dims", *[F.lit(draw)] * (draw > 0))
+    rows = nodes.select(whole.alias("shard"), "label", "dims", "node", F.lit(True).alias("home"), "vector")
     done = None
-    for turn in range(rounds):
+    for turn in range(draw * rounds, (draw + 1) * rounds):
         sizes, seen = materialise(rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows), "near-sizes")
+        again = draw and done is None  # what the first draw left whole
         if not seen["rows"]:
-            return rows if done is None else done.unionByName(rows)
-        small = rows.join(sizes, _GROUP, "left_anti")
+            out = rows.limit(0) if again else rows if done is None else done.unionByName(rows)
+            return out.withColumn("home", F.lit(False)) if draw else out
+        small = rows.limit(0) if again else rows.join(sizes, _GROUP, "left_anti")
         done = small if done is None else done.unionByName(small)
         rows, _ = materialise(_divided(rows, sizes, shard_rows, turn), "near-shards")
     raise RuntimeError(f"shards did not get below {shard_rows} rows within {rounds} divisions")
@@ -205,8 +212,9 @@ def robust_graph(unit: np.ndarray, degree: int = DEGREE, seed: int = 0) -> np.nd
     return out
 
 
-def _adjacency(shards: DataFrame, degree: int) -> DataFrame:
-    """``node, shard, home, medoid, neighbours`` of every member of every shard."""
+def _adjacency(shards: DataFrame, degree: int, least: float) -> DataFrame:
+    """``node, shard, home, medoid, neighbours, close`` of every member of every shard; the close ones of the neighbours
+    have a cosine of ``least``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held, _ in _groups(batches):
             table = pa.Table.from_batches(held).combine_chunks()
@@ -215,34 +223,38 @@ def _adjacency(shards: DataFrame, degree: int) -> DataFrame:
             links = robust_graph(unit, degree)
             medoid = np.zeros(len(node), bool)
             medoid[(unit @ unit.mean(axis=0)).argmax()] = True
-            many = (links >= 0).sum(axis=1)
-            flat = node[links[links >= 0]]
+            there = links >= 0
+            close = there & (np.einsum("ij,ikj->ik", unit, unit[links]) >= np.float32(least))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]), pa.int32()), pa.array(node[links[some]]))
+                     for some in (there, close)]
             yield pa.RecordBatch.from_arrays(
                 [table.column("node").combine_chunks(), table.column("shard").combine_chunks(), table.column("home").combine_chunks(),
-                 pa.array(medoid), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(flat))],
-                names=["node", "shard", "home", "medoid", "neighbours"])
+                 pa.array(medoid), *lists], names=["node", "shard", "home", "medoid", "neighbours", "close"])
 
     dealt = shards.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
-    return dealt.mapInArrow(run, "node long, shard long, home boolean, medoid boolean, neighbours array<long>")
+    return dealt.mapInArrow(run, "node long, shard long, home boolean, medoid boolean, neighbours array<long>, close array<long>")
 
 
-def united_graph(nodes: DataFrame, shards: DataFrame, degree: int = DEGREE) -> DataFrame:
+def united_graph(nodes: DataFrame, shards: DataFrame, degree: int = DEGREE, least: float = -2.0) -> DataFrame:
     """The searchable graph, dealt by home shard: ``shard, label, dims, role, node, home_shard, medoid, size, vector, neighbours``.
 
     A node's list unites its lists in all shards that hold it. Rows of role 0 are the nodes at home in the
-    shard; rows of role 1 are neighbours of those that are at home elsewhere, without a list.
+    shard; rows of role 1 are neighbours of those that are at home elsewhere, with the nodes here that chose them before
+    their own list. Only neighbours with a cosine of ``least`` are among them: where pruning drops a link, it keeps
+    a nearer node that is nearer to its other end as well.
     """
-    lists, _ = materialise(_adjacency(shards, degree), "near-lists")
+    lists, _ = materialise(_adjacency(shards, degree, least), "near-lists")
     home = F.when(F.col("home"), F.col("shard"))
     graph = lists.groupBy("node").agg(F.max(home).alias("shard"), F.max(F.col("home") & F.col("medoid")).alias("medoid"),
-                                      F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
+                                      *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("neighbours", "close")])
     graph, _ = materialise(graph, "near-graph")
     homes = graph.select("node", F.col("shard").alias("home_shard"))
-    beyond = (graph.select("shard", F.explode("neighbours").alias("node")).distinct().join(homes, "node")
-              .filter("shard <> home_shard"))
+    beyond = (graph.select("shard", F.col("node").alias("by"), F.explode("close").alias("node")).join(homes, "node").filter("shard <> home_shard")
+              .groupBy("shard", "node", "home_shard").agg(F.collect_list("by").alias("back")).join(graph.select("node", "neighbours"), "node"))
     columns = ["shard", "label", "dims", "role", "node", "home_shard", "medoid", "size", "vector", "neighbours"]
     at_home = graph.withColumns({"home_shard": F.col("shard"), "role": F.lit(0)}).join(nodes, "node").select(columns)
-    fringe = beyond.withColumns({"role": F.lit(1), "medoid": F.lit(False), "neighbours": F.array().cast("array<long>")}).join(nodes, "node").select(columns)
+    both_ways = F.array_distinct(F.concat("back", "neighbours"))
+    fringe = beyond.withColumns({"role": F.lit(1), "medoid": F.lit(False), "neighbours": both_ways}).join(nodes, "node").select(columns)
     out, _ = materialise(at_home.unionByName(fringe), "near-searchable")
     discard(lists)
     return out
@@ -263,13 +275,21 @@ class _Shard:
         order = np.argsort(self.node)
         self.order, self.sorted = order, self.node[order]
         lists = get("neighbours")
-        many = np.diff(lists.offsets.to_numpy())
-        self.links = np.full((len(self.node), max(int(many.max(initial=0)), 1)), -1, np.int64)
         flat = self.places(lists.flatten().to_numpy())
-        row = np.repeat(np.arange(len(many)), many)
-        self.links[row, np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)] = flat
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        row, flat = row[flat >= 0], flat[flat >= 0]
+        # all links by their ends; as a matrix, lists of the fringe go as far as the others do
+        order = np.argsort(flat, kind="stable")
+        self.link_from, self.link_to = row[order], flat[order]
+        many = np.bincount(row, minlength=len(lists))
+        place = np.arange(len(row)) - (np.cumsum(many) - many)[row]
+        self.links = np.full((len(self.node), max(int(many[self.at_home].max(initial=0)), 1)), -1, np.int64)
+        fits = place < self.links.shape[1]
+        self.links[row[fits], place[fits]] = flat[fits]
         middle = np.flatnonzero(get("medoid").to_numpy(zero_copy_only=False).astype(bool))
         inner = np.flatnonzero(self.at_home)
+        self.sent: dict[int, np.ndarray] = {}  # nodes that were sent to a home
+        self.chunk = max(min(_CHUNK, _PAIRS // len(self.node)), 64)
         self.start = int(middle[0] if len(middle) else inner[(self.unit[inner] @ self.unit[inner].mean(axis=0)).argmax()])
 
     def places(self, nodes: np.ndarray) -> np.ndarray:
@@ -278,22 +298,25 @@ class _Shard:
         return np.where(self.sorted[at] == nodes, self.order[at], -1)
 
 
-def range_search(shard: _Shard, query: np.ndarray, entry: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def range_search(shard: _Shard, query: np.ndarray, entries: tuple[np.ndarray, np.ndarray], threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs ``(query, place)`` of the nodes met whose similarity is near the threshold or above.
 
-    Greedy from the medoid (and an entry, if one is known): the best nodes of the beam are opened until all of
-    them are. Then the range expands: every node met within the slack is opened, until no new one comes.
+    Greedy from the medoid and the first of a query's ``entries`` (pairs of query and place: its own one or links of
+    it): the best nodes of the beam are opened until all of them are. Then the range expands, from all entries too:
+    every node met within the slack is opened, until no new one comes.
     """
     m, n = len(query), len(shard.node)
     seen, opened = np.zeros((m, n), bool), np.zeros((m, n), bool)
     beam_at, beam_sim = np.full((m, beam), -1, np.int64), np.full((m, beam), -np.inf, np.float32)
-    rows = np.arange(m)
+    rows, entry = np.arange(m), np.full(m, -1)
+    entry[entries[0][::-1]] = entries[1][::-1]
+    seen[entries] = True
     for k, start in enumerate((np.full(m, shard.start), np.where(entry == shard.start, -1, entry))):
         known = start >= 0
         beam_at[known, k] = start[known]
         beam_sim[known, k] = np.einsum("ij,ij->i", query[known], shard.unit[start[known]])
         seen[rows[known], start[known]] = True
-    found_q, found_x = [rows, rows[entry >= 0]], [np.full(m, shard.start), entry[entry >= 0]]
+    found_q, found_x = [rows, entries[0]], [np.full(m, shard.start), entries[1]]
     low = np.float32(threshold - _SLACK)
     live = rows
     while len(live):
@@ -326,24 +349,34 @@ def range_search(shard: _Shard, query: np.ndarray, entry: np.ndarray, threshold:
         beam_at[live], beam_sim[live] = np.take_along_axis(all_at, top, 1), np.take_along_axis(all_sim, top, 1)
     q, x = np.concatenate(found_q), np.concatenate(found_x)
     inside = np.einsum("ij,ij->i", query[q], shard.unit[x]) >= low
-    q, x = q[inside], x[inside]
-    out = [q * n + x]
-    while len(q):
-        fresh = ~opened[q, x]
-        q, x = q[fresh], x[fresh]
-        opened[q, x] = True
-        new = []
-        for k in range(0, len(q), 1 << 14):  # bounds the memory a dense group takes
-            more = shard.links[x[k:k + (1 << 14)]]
-            keys = (q[k:k + (1 << 14), None] * n + more)[more >= 0]
-            keys = np.unique(keys[~seen.ravel()[keys]])
-            seen.ravel()[keys] = True
-            near = np.einsum("ij,ij->i", query[keys // n], shard.unit[keys % n]) >= low
-            new.append(keys[near])
-        keys = np.concatenate(new) if new else np.empty(0, np.int64)
-        out.append(keys)
-        q, x = np.divmod(keys, n)
-    return np.divmod(np.unique(np.concatenate(out)), n)
+    # the range of all queries side by side: a row of bits for each node, one bit a query; links are followed once for all
+    hit = np.zeros((n, -(-m // 64) * 64), bool)
+    hit[x[inside], q[inside]] = True
+    fresh = np.packbits(hit, axis=1).view(np.uint64)
+    hit[:, :m] = seen.T
+    met, reached = np.packbits(hit, axis=1).view(np.uint64), fresh.copy()
+    while True:
+        open_now = np.flatnonzero(fresh.any(axis=1)[shard.link_from])
+        if not len(open_now):
+            break
+        after = np.zeros_like(fresh)
+        ends = np.append(np.flatnonzero(np.diff(shard.link_to[open_now])), len(open_now) - 1)  # the last link to each node
+        cuts = [0, *(np.flatnonzero(np.diff((ends + 1) >> 16)) + 1).tolist(), len(ends)]
+        for k, end in zip(cuts, cuts[1:]):  # bounds the memory a dense group takes
+            low_end = int(ends[k - 1]) + 1 if k else 0
+            links = open_now[low_end:int(ends[end - 1]) + 1]
+            firsts = np.concatenate([[0], ends[k:end - 1] + 1 - low_end])
+            to = shard.link_to[links[firsts]]
+            new = np.bitwise_or.reduceat(fresh[shard.link_from[links]], firsts, axis=0) & ~met[to]
+            some = new.any(axis=1)
+            to, new = to[some], new[some]
+            met[to] |= new
+            near = np.zeros((len(to), hit.shape[1]), bool)
+            near[:, :m] = shard.unit[to] @ query.T >= low
+            after[to] = new & np.packbits(near, axis=1).view(np.uint64)
+        fresh = after
+        reached |= fresh
+    return np.nonzero(np.ascontiguousarray(np.unpackbits(reached.view(np.uint8), axis=1).T))
 
 
 def _searched(base: DataFrame, queries: DataFrame | None, threshold: float, beam: int) -> DataFrame:
@@ -351,12 +384,12 @@ def _searched(base: DataFrame, queries: DataFrame | None, threshold: float, beam
 
     Kind 0: query ``a`` has links to ``n`` rows at home in ``shard``. Kind 1: ``a`` and ``b`` are connected.
     Kind 2: node ``a`` is to be searched in ``shard``, entering at ``b``. Without ``queries`` every node is
-    searched at home. Links themselves are counted, not written: a group of k near copies costs k rows.
+    searched at home, entering at itself. Links themselves are counted, not written: a group of k near copies costs k rows.
     """
     all_at_home = queries is None
     if queries is not None:
         none = {"medoid": F.lit(False), "size": F.lit(0).cast("long"), "role": F.lit(2)}
-        asked = queries.withColumns(none).withColumn("neighbours", F.array("entry")).drop("entry")
+        asked = queries.withColumns(none).withColumnRenamed("entries", "neighbours")
         base = base.join(queries.select(*_GROUP).distinct(), _GROUP, "left_semi").unionByName(asked.select(base.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,30 +399,31 @@ def _searched(base: DataFrame, queries: DataFrame | None, threshold: float, beam
                 shard, of = _Shard(held, key[2]), key[:3]
                 if all_at_home:
                     inner = np.flatnonzero(shard.at_home)
-                    for k in range(0, len(inner), _CHUNK):
-                        own = inner[k:k + _CHUNK]
-                        yield from _links(shard, key[0], shard.node[own], shard.home[own], shard.exact[own], np.full(len(own), -1), threshold, beam)
+                    for k in range(0, len(inner), shard.chunk):
+                        own = inner[k:k + shard.chunk]
+                        yield from _links(shard, key[0], shard.node[own], shard.home[own], shard.exact[own], (np.arange(len(own)), own), threshold, beam)
             elif of == key[:3]:
                 for batch in held:
-                    for k in range(0, batch.num_rows, _CHUNK):
-                        some = batch.slice(k, _CHUNK)
+                    for k in range(0, batch.num_rows, shard.chunk):
+                        some = batch.slice(k, shard.chunk)
                         node, home = (some.column(c).to_numpy() for c in ("node", "home_shard"))
                         entry = shard.places(some.column("neighbours").flatten().to_numpy())
-                        yield from _links(shard, key[0], node, home, _units(_matrix(some.column("vector"), key[2])), entry, threshold, beam)
+                        of_query = np.repeat(np.arange(len(node)), pc.list_value_length(some.column("neighbours")).to_numpy())
+                        entries = of_query[entry >= 0], entry[entry >= 0]
+                        yield from _links(shard, key[0], node, home, _units(_matrix(some.column("vector"), key[2])), entries, threshold, beam)
 
     dealt = base.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "role", "node")
     return dealt.mapInArrow(run, "kind int, a long, b long, shard long, n long")
 
 
-def _links(shard: _Shard, own: int, node: np.ndarray, home: np.ndarray, exact: np.ndarray, entry: np.ndarray,
+def _links(shard: _Shard, own: int, node: np.ndarray, home: np.ndarray, exact: np.ndarray, entries: tuple[np.ndarray, np.ndarray],
            threshold: float, beam: int) -> Iterator[pa.RecordBatch]:
     """What a chunk of queries finds in one shard, each pair verified in double precision."""
-    q, x = range_search(shard, exact.astype(np.float32), entry, threshold, beam)
+    q, x = range_search(shard, exact.astype(np.float32), entries, threshold, beam)
     keep = shard.node[x] != node[q]
     q, x = q[keep], x[keep]
-    near = np.concatenate([np.einsum("ij,ij->i", exact[q[k:k + 65536]], shard.exact[x[k:k + 65536]])
-                           for k in range(0, len(q), 65536)] or [np.empty(0)])
-    q, x, near = q[near >= threshold], x[near >= threshold], near[near >= threshold]
+    linked = _verified(exact, shard.exact, q, x, threshold)
+    q, x = q[linked], x[linked]
     inside = shard.at_home[x]
     links = np.bincount(q[inside], weights=shard.size[x[inside]], minlength=len(node)).astype(np.int64)
     yield _said(0, node, node, np.full(len(node), own), links)
@@ -401,15 +435,34 @@ def _links(shard: _Shard, own: int, node: np.ndarray, home: np.ndarray, exact: n
     union_into(label, number[q], x)
     moved = np.flatnonzero(label != np.arange(len(label)))
     yield _said(1, names[moved], names[label[moved]], np.zeros(len(moved), np.int64), np.zeros(len(moved), np.int64))
-    # links that cross shards send either end to the other's home, by the nearest way in
+    # links that cross shards send either end to the other's home, once a chunk or shard, by a link as the way in
     cross = shard.home[x] != home[q]
-    q, x, near = q[cross], x[cross], near[cross]
-    for a, b, to in ((node[q], shard.node[x], shard.home[x]), (shard.node[x], node[q], home[q])):
-        order = np.lexsort((-near, to, a))
-        a, b, to = a[order], b[order], to[order]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (to[1:] != to[:-1])
-        yield _said(2, a[first], b[first], to[first], np.zeros(int(first.sum()), np.int64))
+    q, x = q[cross], x[cross]
+    (homes, to), (origins, of) = np.unique(shard.home, return_inverse=True), np.unique(home, return_inverse=True)
+    at = np.full((len(node), len(homes)), -1)
+    at[q, to[x]] = x
+    a, b = np.nonzero(at >= 0)
+    yield _said(2, node[a], shard.node[at[a, b]], homes[b], np.zeros(len(a), np.int64))
+    at = np.full((len(origins), len(shard.node)), -1)
+    at[of[q], x] = q
+    for origin, row in zip(origins.tolist(), at):
+        sent = shard.sent.setdefault(origin, np.zeros(len(shard.node), bool))
+        a = np.flatnonzero((row >= 0) & ~sent)
+        sent[a] = True
+        yield _said(2, shard.node[a], node[row[a]], np.full(len(a), origin), np.zeros(len(a), np.int64))
+
+
+def _verified(exact: np.ndarray, held: np.ndarray, q: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs, sorted by ``q``, reach the threshold; many pairs are taken from products of blocks, and where
+    the order of a sum could matter, pair by pair."""
+    near = np.full(len(q), threshold)
+    for k in range(0, len(exact), 256):
+        low, high = np.searchsorted(q, [k, k + 256])
+        if (high - low) * 8 > min(256, len(exact) - k) * len(held):
+            near[low:high] = (exact[k:k + 256] @ held.T)[q[low:high] - k, x[low:high]]
+    for some in np.array_split(unsure := np.flatnonzero(np.abs(near - threshold) < 1e-9), len(unsure) // 65536 + 1):
+        near[some] = np.einsum("ij,ij->i", exact[q[some]], held[x[some]])
+    return near >= threshold
 
 
 def _said(kind: int, a: np.ndarray, b: np.ndarray, shard: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -421,14 +474,14 @@ def search_all(nodes: DataFrame, graph: DataFrame, threshold: float, beam: int,
     """``node, n_links`` of every node, and edges ``a, b`` that connect what links connect.
 
     Every node is searched at home first. Where it meets a node of another shard within the threshold, it is
-    searched there too, entering at that node, and that node is searched at the first one's home; until no
+    searched there too, entering at the nearest of those nodes of each search that met some, and that node is searched at the first one's home; until no
     search asks for a new one.
     """
     home = graph.filter("role = 0").select("node", F.col("shard").alias("home_shard"))
     found, _ = materialise(_searched(graph, None, threshold, beam), "near-found")
     everything, done = found, home.select("node", F.col("home_shard").alias("shard"))
     for _ in range(rounds):
-        asked = found.filter("kind = 2").groupBy(F.col("a").alias("node"), "shard").agg(F.min("b").alias("entry"))
+        asked = found.filter("kind = 2").groupBy(F.col("a").alias("node"), "shard").agg(F.sort_array(F.collect_set("b")).alias("entries"))
         fresh, seen = materialise(asked.join(done, ["node", "shard"], "left_anti"), "near-asked")
         if not seen["rows"]:
             break
@@ -479,9 +532,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
     other rows linked with a row, ``component_id`` is the smallest id that links reach, the own one included,
     and ``kept`` marks the rows that have it. Equal vectors of a label are one class, so copies cost a count.
     Classes are cut into overlapping shards, a robust-pruned graph is built on each, the lists are united, and
-    every class is searched greedily from its shard's medoid with an expanding range, on into other shards
+    every class is searched greedily from its shard's medoid and itself with an expanding range, on into other shards
     where links lead there. Every link is verified. ``recall`` is measured against brute force on some
-    classes; below ``least_recall`` the search is repeated with twice the beam, and raises in the end.
+    classes; below ``least_recall`` the lists of shards by other pivots are added, which can hold the pairs that no
+    shard had, the search is repeated with twice the beam, and raises in the end.
 
     A vector that is null, zero or empty, or holds a null or non-finite component, links with nothing, nor does
     one with a null label; vectors of different lengths are not compared. A null id stays null and is never
@@ -494,15 +548,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
     classes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"))
     nodes, _ = materialise(classes.withColumns({"node": F.monotonically_increasing_id(), "dims": F.size("vector")}), "near-nodes")
     # a class without a partner of its label and length needs no graph, but costs nothing in one
-    graph = united_graph(nodes, overlapping_shards(nodes, shard_rows), degree)
+    shards = overlapping_shards(nodes, shard_rows)
+    for draw in range(1, _DRAWS):
+        shards = shards.unionByName(overlapping_shards(nodes, shard_rows, draw=draw))
     for attempt in range(4):
+        graph = united_graph(nodes, shards, degree, threshold - _SLACK)
         links, edges = search_all(nodes, graph, threshold, beam << attempt)
         recall = measured_recall(nodes, links, threshold)
+        discard(graph)
         if recall >= least_recall:
             break
+        shards = shards.unionByName(overlapping_shards(nodes, shard_rows, draw=_DRAWS + attempt))
     else:
         raise RuntimeError(f"recall {recall:.3f} is below {least_recall}")
-    discard(graph)
     parts = connected_components(edges)
     rooted = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))

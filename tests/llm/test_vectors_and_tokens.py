@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 
+import numpy as np
 import pytest
 from brute import aligned, codes, near_vectors
 
@@ -137,3 +138,22 @@ def test_the_graph_reaches_all_nodes_and_keeps_its_degree():
         front = [x for x in {y for f in front for y in links[f].tolist() if y >= 0} - met]
         met |= set(front)
     assert len(met) >= 0.99 * 700
+
+
+def test_pairs_and_groups_split_over_many_small_shards_are_found(spark):
+    """Near pairs and small groups among random vectors, where each shard holds little of them."""
+    rng = np.random.default_rng(3)
+
+    def near(center, n, cosine):
+        aside = rng.normal(size=(n, len(center)))
+        aside = vector_graph._units(aside - (aside @ center)[:, None] * center)
+        return cosine * center + np.sqrt(1 - cosine * cosine) * aside
+
+    centers = vector_graph._units(rng.normal(size=(340, 48)))
+    parts = [centers, *[near(c, 1, 0.97) for c in centers[:300]], *[near(c, 19, 0.985) for c in centers[300:]], rng.normal(size=(900, 48))]
+    vectors = np.vstack(parts).astype("f4")
+    unit = vector_graph._units(vectors.astype(float))
+    there = int((unit @ unit.T >= 0.93).sum()) - len(unit)
+    table = [(i, v.tolist(), 1, 0, "x") for i, v in enumerate(vectors)]
+    rows = vector_graph.near_duplicates(_vectors(spark, table), least_recall=0.0, shard_rows=64).collect()
+    assert there - sum(r.n_links for r in rows) <= there // 100
