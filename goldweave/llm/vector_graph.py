@@ -548,17 +548,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
     classes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"))
     nodes, _ = materialise(classes.withColumns({"node": F.monotonically_increasing_id(), "dims": F.size("vector")}), "near-nodes")
     # a class without a partner of its label and length needs no graph, but costs nothing in one
-    shards = overlapping_shards(nodes, shard_rows)
-    for draw in range(1, _DRAWS):
-        shards = shards.unionByName(overlapping_shards(nodes, shard_rows, draw=draw))
+    shards, draws = overlapping_shards(nodes, shard_rows), 1
     for attempt in range(4):
+        for draw in range(draws, draws := _DRAWS + attempt):
+            shards = shards.unionByName(overlapping_shards(nodes, shard_rows, draw=draw))
         graph = united_graph(nodes, shards, degree, threshold - _SLACK)
         links, edges = search_all(nodes, graph, threshold, beam << attempt)
         recall = measured_recall(nodes, links, threshold)
         discard(graph)
         if recall >= least_recall:
             break
-        shards = shards.unionByName(overlapping_shards(nodes, shard_rows, draw=_DRAWS + attempt))
     else:
         raise RuntimeError(f"recall {recall:.3f} is below {least_recall}")
     parts = connected_components(edges)
